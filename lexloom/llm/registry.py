@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import read_table, spread
-from . import lookalike, sentences
+from . import bpe, lookalike, sentences
 
 
 def p1_found(spark, sf_dir):
@@ -27,8 +27,18 @@ def p3_forms(spark, sf_dir):
     return lookalike.forms_of(spread(table), "row_id", ["article", "highlights"])
 
 
+def p6_ids(spark, sf_dir):
+    """Token ids of every document."""
+    return bpe.encode_ids(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p6_decoded(spark, sf_dir):
+    """Every document's text again, decoded from its token ids."""
+    return bpe.decode_ids(p6_ids(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p3_found, p3_forms, p6_ids, p6_decoded)}
 
 
 def oracle_sql() -> dict:
