@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import read_table, spread
-from . import bpe, lookalike, sentences
+from . import bpe, language, lookalike, sentences
 
 
 def p1_found(spark, sf_dir):
@@ -37,8 +37,19 @@ def p6_decoded(spark, sf_dir):
     return bpe.decode_ids(p6_ids(spark, sf_dir))
 
 
+def p8_languages(spark, sf_dir):
+    """Every stretch of every document with its language, place and confidence."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.languages(spread(documents), language.train(documents))
+
+
+def p8_found(spark, sf_dir):
+    """The stretches of documents in several languages or with a missing or wrong label."""
+    return p8_languages(spark, sf_dir).where("is_case").select("doc_id", "seg_no", "lang")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p3_found, p3_forms, p6_ids, p6_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p3_found, p3_forms, p6_ids, p6_decoded, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:

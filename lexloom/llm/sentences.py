@@ -87,7 +87,7 @@ _STRONG = frozenset("!?。！？｡．।॥؟۔‼⁇⁈⁉։።፧፨၊။។
 _DOTS = frozenset("….‥。")
 _HARD = regex.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|\|{5}| +")
 _MARKS = regex.compile(r"[!?。！？｡．।॥؟۔‼⁇⁈⁉։።፧፨။។៕.…‥\"＂“”„«»‹›「」『』｢｣《》〈〉()\[\]{}（）［］【】]")
-_THAI_GAP = regex.compile(r"(?<=[\p{Thai}”’」）)\]»])\s+(?=\p{Thai})")
+_THAI_GAP = regex.compile(r"(?<=[\p{Thai}”’」）)\]»])\s+(?=[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Devanagari}\p{Cyrillic}])")
 _VISIBLE = regex.compile(r"[\p{L}\p{Nd}\p{No}\p{Nl}]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}.\-‐‑&]*\Z")
 _IGNORED = regex.compile(r"\p{Default_Ignorable_Code_Point}")
