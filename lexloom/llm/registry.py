@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import read_table, spread
-from . import bpe, language, lookalike, sentences
+from . import bpe, language, lookalike, nearcopies, sentences
 
 
 def p1_found(spark, sf_dir):
@@ -16,6 +16,12 @@ def p1_lists(spark, sf_dir):
     return sentences.sentence_lists(spread(read_table(spark, sf_dir, "articles").select("row_id", "article")))
 
 
+def p2_found(spark, sf_dir):
+    """Pairs of rows whose articles are near-duplicates."""
+    articles = spread(read_table(spark, sf_dir, "articles").select("row_id", "article"))
+    return nearcopies.near_pairs(articles).select("row_a", "row_b")
+
+
 def p3_found(spark, sf_dir):
     """Pairs of rows whose article or highlights read the same in other code points."""
     return lookalike.same_reading(spread(read_table(spark, sf_dir, "articles").select("row_id", "article", "highlights")))
@@ -49,7 +55,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p3_found, p3_forms, p6_ids, p6_decoded, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p6_ids, p6_decoded, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:
