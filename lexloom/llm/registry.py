@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import read_table, spread
-from . import bpe, language, lookalike, nearcopies, sentences
+from . import bpe, language, lookalike, nearcopies, overlap, sentences
 
 
 def p1_found(spark, sf_dir):
@@ -33,6 +33,21 @@ def p3_forms(spark, sf_dir):
     return lookalike.forms_of(spread(table), "row_id", ["article", "highlights"])
 
 
+def _overlaps(spark, sf_dir):
+    articles = read_table(spark, sf_dir, "articles").select("row_id", "article", "highlights", "split_name", "source")
+    return overlap.overlaps(spread(articles))
+
+
+def p4_found(spark, sf_dir):
+    """Pairs of a training row and an evaluation row whose article or highlights overlap."""
+    return overlap.overlap_pairs(_overlaps(spark, sf_dir))
+
+
+def p4_counts(spark, sf_dir):
+    """Overlaps counted by evaluation split and source."""
+    return overlap.overlap_counts(_overlaps(spark, sf_dir))
+
+
 def p6_ids(spark, sf_dir):
     """Token ids of every document."""
     return bpe.encode_ids(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -55,7 +70,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p6_ids, p6_decoded, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p6_ids, p6_decoded, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:
