@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..sources.tables import read_table, spread
-from . import bpe, language, lookalike, nearcopies, overlap, sentences
+from ..sources.tables import read_table, settled, spread
+from . import binpack, bpe, language, lookalike, nearcopies, overlap, sentences
 
 
 def p1_found(spark, sf_dir):
@@ -58,6 +58,17 @@ def p6_decoded(spark, sf_dir):
     return bpe.decode_ids(p6_ids(spark, sf_dir))
 
 
+def p7_containers(spark, sf_dir):
+    """Every document assigned to containers of every capacity by its token count."""
+    sizes = settled(bpe.count_ids(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return binpack.containers(sizes, read_table(spark, sf_dir, "capacities"))
+
+
+def p7_usage(spark, sf_dir):
+    """Containers, lower bound by volume and unused share of every capacity."""
+    return binpack.usage(p7_containers(spark, sf_dir), read_table(spark, sf_dir, "capacities"))
+
+
 def p8_languages(spark, sf_dir):
     """Every stretch of every document with its language, place and confidence."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -70,7 +81,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p6_ids, p6_decoded, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:
