@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import read_table, settled, spread
-from . import binpack, bpe, language, lookalike, nearcopies, overlap, sentences
+from . import binpack, bpe, language, lookalike, nearcopies, overlap, sentences, varied
 
 
 def p1_found(spark, sf_dir):
@@ -48,6 +48,27 @@ def p4_counts(spark, sf_dir):
     return overlap.overlap_counts(_overlaps(spark, sf_dir))
 
 
+def _subsets(spark, sf_dir):
+    requests = read_table(spark, sf_dir, "subset_sizes")
+    base = varied.records(
+        spread(read_table(spark, sf_dir, "processed").select("id", "sentences")),
+        read_table(spark, sf_dir, "articles").select("id", "split_name", "source"),
+        read_table(spark, sf_dir, "predictions").select("id", "selected_indices"),
+        requests,
+    )
+    return varied.subsets(base, requests), base
+
+
+def p5_subsets(spark, sf_dir):
+    """The sentences chosen for every request, with the share of predictions that chose them too."""
+    return _subsets(spark, sf_dir)[0]
+
+
+def p5_comparison(spark, sf_dir):
+    """Coverage and redundancy of the chosen sentences against those of the predictions."""
+    return varied.comparison(*_subsets(spark, sf_dir))
+
+
 def p6_ids(spark, sf_dir):
     """Token ids of every document."""
     return bpe.encode_ids(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -81,7 +102,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p5_subsets, p5_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:
