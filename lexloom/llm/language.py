@@ -135,12 +135,16 @@ class Model:
         at = 0
         while at < len(lines):  # blocks of bounded size, so that memory stays flat
             stop, size = at, 0
-            while stop < len(lines) and (size < 200_000 or stop == at):
+            while stop < len(lines) and (size < 60_000 or stop == at):
                 size += len(lines[stop]) + 1
                 stop += 1
             c = folded(lines[at:stop])
             starts = np.concatenate([[0], np.flatnonzero(c == 10)[:-1] + 1])
-            total = sum(np.add.reduceat(self.table[h], starts, axis=0) for h in hashed(c))
+            first, *others = hashed(c)
+            sums = self.table[first]
+            for h in others:
+                sums += self.table[h]
+            total = np.add.reduceat(sums, starts, axis=0)
             size = np.diff(np.append(starts, len(c)))
             out[at:stop] = total[:, : len(self.names)] / (size[:, None] * KINDS) + self.bias
             letters[at:stop] = np.add.reduceat((c > 32).astype(np.int64) + 2 * ((c >= 0x3040) & (c < 0xA000)), starts)
@@ -309,12 +313,16 @@ def _join(model: Model, z, p, letters, known, told, cuts) -> list[tuple[str, int
     """
     if not len(z) or letters.sum() == 0:
         return []
-    gain = np.maximum(np.log(np.maximum(p, 1e-9)), FLOOR)
     if not told.any():
         if (known * letters).sum() < LEAST_KNOWN * letters.sum():
             return []  # letters that form no words of any language
         gain = np.tile((z * letters[:, None]).sum(axis=0) / letters.sum(), (len(z), 1))
     else:
+        firm = p[told].argmax(axis=1)
+        if (firm == firm[0]).all():  # nothing speaks for a change
+            weight = np.maximum(letters, 1)
+            return [(model.names[firm[0]], cuts[0][0], cuts[-1][1], float((p[:, firm[0]] * weight).sum() / weight.sum()))]
+        gain = np.maximum(np.log(np.maximum(p, 1e-9)), FLOOR)
         gain[~told] = 0
     score, back = gain[0], []
     for row in gain[1:]:

@@ -14,6 +14,7 @@ however long.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import lru_cache
 
 import regex
 import unicodedata
@@ -23,6 +24,7 @@ from .batches import map_columns
 from .forms import skeleton
 
 
+@lru_cache(maxsize=1 << 16)
 def _fold(token: str) -> str:
     return skeleton(token).lower()
 
