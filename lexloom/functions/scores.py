@@ -8,37 +8,52 @@ from pyspark.sql import functions as F
 EMPTY = "CAST(array() AS array<double>)"
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
+def _ranged(values: Column, then) -> Column:
+    """``then(x, low, high)`` for each value, with the extremes computed once."""
+
+    def inner(v):
+        return let(F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda r: F.transform(v, lambda x: then(x, r["low"], r["high"])))
+
+    return let(values, inner)
+
+
 def over_max(values: Column) -> Column:
     """Divide by the largest value; 0 counts as 1 and a negative maximum stays."""
-    top = F.array_max(values)
-    return F.transform(values, lambda x: x / F.when(top == 0, F.lit(1.0)).otherwise(top))
+    return _ranged(values, lambda x, low, high: x / F.when(high == 0, F.lit(1.0)).otherwise(high))
 
 
 def minmax(values: Column, constant: float = 0.5, eps: float = 1e-9) -> Column:
     """Rescale to [0, 1]; ``constant`` where the range is below ``eps``."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda x: F.when(high - low < eps, F.lit(constant)).otherwise((x - low) / (high - low)))
+    return _ranged(values, lambda x, low, high: F.when(high - low < eps, F.lit(constant)).otherwise((x - low) / (high - low)))
 
 
 def minmax_zero(values: Column) -> Column:
     """Rescale to [0, 1]; 0 where the range is within 1e-12."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda x: F.when(high - low <= 1e-12, F.lit(0.0)).otherwise((x - low) / (high - low)))
+    return _ranged(values, lambda x, low, high: F.when(high - low <= 1e-12, F.lit(0.0)).otherwise((x - low) / (high - low)))
 
 
 def minmax_unit(values: Column) -> Column:
     """Rescale with the range, or with 1 where there is none."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda x: (x - low) / F.when(high <= low, F.lit(1.0)).otherwise(high - low))
+    return _ranged(values, lambda x, low, high: (x - low) / F.when(high <= low, F.lit(1.0)).otherwise(high - low))
 
 
 def zscore(values: Column) -> Column:
     """Centre and divide by the sample deviation; a deviation of 0 counts as 1."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    deviation = F.when(n > 1, F.sqrt(square / F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(0.0))
-    return F.transform(values, lambda x: (x - mean) / F.when(deviation == 0, F.lit(1.0)).otherwise(deviation))
+
+    def spread(v, mean):
+        square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        return F.when(F.size(v) > 1, F.sqrt(square / F.greatest(F.size(v) - 1, F.lit(1)))).otherwise(F.lit(0.0))
+
+    def inner(v):
+        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(v), F.lit(1))
+        return let(mean, lambda m: let(spread(v, m), lambda d: F.transform(v, lambda x: (x - m) / F.when(d == 0, F.lit(1.0)).otherwise(d))))
+
+    return let(values, inner)
 
 
 def weighted(features: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -46,12 +61,16 @@ def weighted(features: dict[str, Column], weights: dict[str, float]) -> Column:
     used = [(f, float(weights[name])) for name, f in features.items() if weights.get(name)]
     if not used:
         return F.transform(next(iter(features.values())), lambda x: F.lit(0.0))
-    total = F.transform(used[0][0], lambda x: x * used[0][1])
+    total = scaled(*used[0])
     for f, w in used[1:]:
-        total = F.zip_with(total, f, lambda a, x, w=w: a + x * w)
+        total = F.zip_with(total, scaled(f, w), lambda a, x: a + x)
     return total
 
 
+def scaled(values: Column, by: float) -> Column:
+    return F.transform(values, lambda x: x * by)
+
+
 def combine_v1(features: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted sum over its maximum."""
     return over_max(weighted(features, weights))
@@ -63,7 +82,7 @@ def combine_v2(features: dict[str, Column], weights: dict[str, float], interacti
     total = weighted(ready, weights)
     for a, b, w in interactions:
         if a in ready and b in ready:
-            product = F.zip_with(ready[a], ready[b], lambda x, y, w=w: x * y * float(w))
+            product = scaled(F.zip_with(ready[a], ready[b], lambda x, y: x * y), float(w))
             total = F.zip_with(total, product, lambda x, y: x + y)
     return minmax(total)
 
@@ -94,7 +113,7 @@ def top_k(values: Column, k: int) -> Column:
 
 
 def boosted(values: Column, pool: Column, factor: float = 1.05) -> Column:
-    return F.transform(values, lambda x, i: F.when(F.array_contains(pool, i), x * factor).otherwise(x))
+    return let(pool, lambda p: F.transform(values, lambda x, i: F.when(F.array_contains(p, i), x * factor).otherwise(x)))
 
 
 def fill_budget(order: Column, cost: Column, budget: int) -> Column:

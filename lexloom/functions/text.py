@@ -37,7 +37,7 @@ def collapsed(text: Column) -> Column:
 def split_sentences(text: Column) -> Column:
     """Cut behind every terminator; pieces are trimmed and empty ones dropped."""
     parts = F.split(collapsed(text), f"(?<=[{TERMINATORS}]) *")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:
