@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 
-from .forms import bare, mixed, run_hashes, visible_count
+from .forms import bare, bare_batch, classes, mixed, run_hashes, visible_count
 from .lookalike import LEAST_VISIBLE
 
 WIDTH = 10  # characters of a run
 GROUPS, PACK = 256, 15
 CELLS, RANGES = 32, 4
-_EDGES = (np.arange(CELLS * RANGES, dtype=np.uint64) << np.uint64(64 - 7)).astype(np.uint64)
 _SALT = mixed(np.arange(1, CELLS + 1, dtype=np.uint64))
 
 
@@ -35,33 +34,58 @@ def tokens(text: str | None, least: int = LEAST_VISIBLE) -> np.ndarray:
     c = bare(text)
     if len(c) < least or visible_count(c) < least:
         return np.empty(0, np.uint64)
-    return np.unique(run_hashes(c, WIDTH))
-
-
-def fingerprint(t: np.ndarray) -> tuple[int, int]:
-    """128 bits that depend on the set of tokens only."""
-    with np.errstate(over="ignore"):
-        a, b = t.sum(dtype=np.uint64), mixed(t + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
-
-
-def cell_keys(t: np.ndarray) -> np.ndarray:
-    """The keys of the cells the set lies in."""
-    place = np.searchsorted(t, _EDGES)
-    place[place == len(t)] = 0
-    first = t[place].reshape(RANGES, CELLS)
-    with np.errstate(over="ignore"):
-        key = _SALT.copy()
-        for row in first:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return key.astype(np.int64)
-
-
-def packed(t: np.ndarray) -> tuple[bytes, int]:
-    """Four-bit counts of the groups, and the number of tokens above fifteen in any group."""
-    counts = np.bincount((t & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    low = np.minimum(counts, PACK).astype(np.uint8)
-    return (low[0::2] << 4 | low[1::2]).tobytes(), int(counts.sum() - low.sum())
+    return distinct(run_hashes(c, WIDTH))
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting beats hashing at the size of a text)."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+class Sketches:
+    """Sizes, fingerprints, cell keys and packed counts of the token sets of many texts at once."""
+
+    def __init__(self, texts: list[str | None], least: int = LEAST_VISIBLE):
+        c, sizes = bare_batch(texts)
+        table = classes()
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        seen = np.bincount(owner[table[np.minimum(c, len(table) - 1)] != 3], minlength=len(texts))
+        runs = np.where(seen >= least, np.maximum(sizes - WIDTH + 1, 0), 0)
+        hashes = run_hashes(c, WIDTH)
+        begin = np.cumsum(sizes) - sizes
+        #: numbers of the texts that have tokens
+        self.which = np.flatnonzero(runs)
+        sets = [distinct(hashes[a : a + n]) for a, n in zip(begin[self.which].tolist(), runs[self.which].tolist())]
+        self.n = np.array([len(t) for t in sets], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        t = self.tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        m = len(sets)
+        own = np.repeat(np.arange(m), self.n)
+        with np.errstate(over="ignore"):
+            if m:
+                self.fp_a = np.add.reduceat(t, self.start).astype(np.int64)
+                self.fp_b = np.add.reduceat(mixed(t + np.uint64(0x5851F42D4C957F2D)), self.start).astype(np.int64)
+            self.keys = self._keys(own)
+        counts = np.bincount(own * GROUPS + (t & np.uint64(GROUPS - 1)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
+        low = np.minimum(counts, PACK).astype(np.uint8)
+        self.excess = (counts - low).sum(axis=1)
+        self.packed = low[:, 0::2] << 4 | low[:, 1::2]
+
+    def _keys(self, own: np.ndarray) -> np.ndarray:
+        """Keys of the cells each set lies in, from its first token at or behind each range's edge."""
+        m, places = len(self.n), CELLS * RANGES
+        first = np.full((m, places), len(self.tokens), np.int64)
+        back = np.arange(len(self.tokens))[::-1]
+        first[own[back], (self.tokens[back] >> np.uint64(57)).astype(np.int64)] = back
+        first = np.minimum.accumulate(first[:, ::-1], axis=1)[:, ::-1]
+        # behind the last token it starts over
+        first = np.where(first >= (self.start + self.n)[:, None], self.start[:, None], first)
+        key = np.tile(_SALT, (m, 1))
+        if m:
+            for row in range(RANGES):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + self.tokens[first[:, row * CELLS : (row + 1) * CELLS]])
+        return key.astype(np.int64)
 
 
 def unpacked(vectors: list[bytes]) -> np.ndarray:

@@ -121,13 +121,62 @@ def classes() -> np.ndarray:
     return _CLASS
 
 
+_SMALL: np.ndarray | None = None
+
+
+def _lower_table() -> np.ndarray:
+    """Lower case of each code point below ``_TOP`` that is one character, built once a worker."""
+    global _SMALL
+    if _SMALL is None:
+        low = [chr(cp).lower() for cp in range(_TOP)]
+        _SMALL = np.array([ord(x) if len(x) == 1 else cp for cp, x in enumerate(low)], np.uint32)
+    return _SMALL
+
+
+def lowered(c: np.ndarray) -> np.ndarray:
+    """Code points in lower case."""
+    return np.where(c < _TOP, _lower_table()[np.minimum(c, _TOP - 1)], c)
+
+
 def bare(text: str) -> np.ndarray:
     """Code points of the lower-cased consistent form, letters, marks and digits only."""
-    c = codes(skeleton(text).lower())
+    c = lowered(codes(skeleton(text)))
     table = classes()
     return c[table[np.minimum(c, len(table) - 1)] > 0]
 
 
+def bare_batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`bare` of every text, end to end, and the number of code points of each.
+
+    The same result as text by text: what :func:`bare` drops (white space, controls) need not be
+    brought to one form first, and texts with characters of several prototypes go one by one.
+    """
+    big = "\n".join("" if t is None else t.replace("\n", " ") for t in texts) + "\n"
+    if not big.isascii():
+        big = unicodedata.normalize("NFD", _IGNORABLE.sub("", big))
+    c = codes(big)
+    to = np.where(c < _TOP, _DIRECT[np.minimum(c, _TOP - 1)], c)
+    owner = np.cumsum(c == 10) - (c == 10)
+    odd = np.unique(owner[to == 0])
+    c = lowered(to)
+    table = classes()
+    keep = table[np.minimum(c, len(table) - 1)] > 0
+    if len(odd):
+        keep &= ~np.isin(owner, odd)
+    c, owner = c[keep], owner[keep]
+    sizes = np.bincount(owner, minlength=len(texts))
+    if len(odd):
+        stops = np.cumsum(sizes)
+        pieces, begin = [], 0
+        for k in odd.tolist():
+            one = bare(texts[k])
+            pieces += [c[begin : stops[k]], one]
+            begin = stops[k]
+            sizes[k] = len(one)
+        c = np.concatenate([*pieces, c[begin:]])
+    return c, sizes
+
+
 def visible_count(c: np.ndarray) -> int:
     """Letters and digits (no marks) among code points made by :func:`bare`."""
     table = classes()
