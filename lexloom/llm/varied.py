@@ -251,6 +251,13 @@ def _rows(schema, rows):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _chunks(batches, records: int = 256):
+    """The rows of the batches, a few records at a time, so that memory stays flat."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, records):
+            yield batch.slice(at, records).to_pylist()
+
+
 def _arrow(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -267,8 +274,7 @@ def within_records(base: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
     schema = _arrow(_PICK)
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in _chunks(batches):
             found = [_different(r["sentences"]) for r in rows]
             v = vectors([s for _, texts in found for s in texts])
             out, at = [], 0
@@ -296,8 +302,7 @@ def _summaries(base: DataFrame) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         trees: dict[int, CFTree] = {}
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in _chunks(batches):
             found = [_different(r["sentences"])[1] for r in rows]
             v = vectors([s for texts in found for s in texts]).astype(float)
             owner = np.repeat(np.arange(len(rows)), [len(t) for t in found])
@@ -352,15 +357,14 @@ def centres(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
 def across_records(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
     """Picks of whole scopes: the sentence nearest each centre whose text no other centre took."""
     found = centres(base, wanted).orderBy("request_id", "centre").collect()  # at most the sum of the requested counts
-    by = {q: np.array([r.at for r in found if r.request_id == q]) for q in {r.request_id for r in found}}
+    by = {q: np.array([r.at for r in found if r.request_id == q], np.float32) for q in {r.request_id for r in found}}
     shared = base.sparkSession.sparkContext.broadcast(by)
     ddl = "request_id int, centre int, far double, text bigint, rec bigint, id string, pos int, sentence string, selected_by double"
     schema = _arrow(ddl)
 
     def run(batches):
         best: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in _chunks(batches):
             flat = [(r, k, t) for r in rows for k, t in zip(*_different(r["sentences"]))]
             v = vectors([t for _, _, t in flat])
             for q, at in shared.value.items():
@@ -442,8 +446,7 @@ def comparison(picked: DataFrame, base: DataFrame) -> DataFrame:
         return float(s.max(axis=1).mean()), float(pairs)
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in _chunks(batches):
             v = vectors([s or "" for r in rows for s in r["sentences"]])
             out, at = [], 0
             for r in rows:
