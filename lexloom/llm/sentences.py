@@ -40,17 +40,17 @@ NEVER = _words(
     "mr mrs ms dr prof capt lt sgt col gen maj cmdr rev hon sen gov rep pres mt st ft messrs cpl adm",
     "approx vs incl eg ie viz cf i.e e.g",
     # German
-    "hr fr hrn frl nr ca bzw insb inkl exkl evtl ggf sog mio mrd tsd vgl abs art dipl ing bd hl str z.b d.h u.a z.t i.d.r",
+    "hr fr hrn frl nr ca bzw insb inkl exkl evtl ggf sog mio mrd tsd vgl dipl ing bd hl str z.b d.h u.a z.t i.d.r",
     # French
-    "m mm mme mmes mlle mgr me env cf p.ex c.-à-d av boul bd",
+    "m mm mme mmes mlle mgr env cf p.ex c.-à-d av boul bd",
     # Spanish and Portuguese
     "sr sra srta sres dra dña don ud uds av avda pág págs núm aprox fig ee gral prof profa eng exmo exma p.ej pe",
     # Italian
-    "sig sigg sig.ra sig.na dott dott.ssa prof.ssa avv ing geom arch on es ad.es ca pag pagg",
+    "sig sigg sig.ra sig.na dott dott.ssa prof.ssa avv ing geom arch ca pag pagg",
     # Dutch
     "dhr mevr mw drs ir bijv nr mln mld ca o.a d.w.z m.b.t i.v.m t.a.v",
     # Russian
-    "ул пл пр просп пер обл р-н тыс млн млрд трлн проф акад доц инж гл им напр см ср стр рис табл т.е",
+    "ул пл пр просп пер обл р-н тыс млн млрд трлн проф акад доц инж гл напр см ср стр табл т.е",
     # Hindi
     "डॉ प्रो श्री सुश्री कु",
     # Arabic
