@@ -120,8 +120,10 @@ class CFTree:
         order = np.argsort(-self.n, kind="stable")
         old = self.n[order], self.sums[order], self.squares[order]
         self.n, self.sums, self.squares = np.zeros(0), np.zeros((0, DIM)), np.zeros(0)
-        for at in range(0, len(order), 256):
-            self._insert(*(x[at : at + 256] for x in old))
+        # entries of one step don't absorb each other, so a step is small against the limit
+        step = max(1, min(256, self.most // 4))
+        for at in range(0, len(order), step):
+            self._insert(*(x[at : at + step] for x in old))
 
 
 def ward(n: np.ndarray, centres: np.ndarray) -> list[tuple[int, int]]:
