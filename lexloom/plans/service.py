@@ -6,6 +6,7 @@ import re
 import time
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,8 +139,6 @@ def handle(spark: SparkSession, body: dict) -> tuple[int, dict]:
 
 def register_functions(spark: SparkSession) -> None:
     """SQL functions: count_tokens, split_sentences, summarize_sentences, textrank, rouge_f, sentence_tokens."""
-    import pandas as pd
-
     from ..operators.summarize import summarize_one
     from .config import Config
 

@@ -60,14 +60,14 @@ def tagged_topics(spark: SparkSession, root: str) -> DataFrame:
     The sentence elements inside each TEXT block are joined by spaces, the documents of a topic by
     line feeds in the order of their file names; a missing summary is empty.
     """
-    files = spark.read.option("wholetext", True).text(f"{root}/*/*.S").withColumn("path", F.input_file_name())
+    files = spark.read.text(f"{root}/*/*.S", wholetext=True).withColumn("path", F.input_file_name())
     body = F.regexp_extract("value", r"(?s)<TEXT>(.*?)</TEXT>", 1)
     parts = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)<s.*?>(.*?)</s>"), F.lit(1)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     pieces = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("id"), "path", F.array_join(parts, " ").alias("text"), F.col("value").rlike(r"(?s)<TEXT>.*?</TEXT>").alias("has"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("has"), F.struct("path", "text"))))
     topics = pieces.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("article"))
     if any(name.endswith(".A") for name in os.listdir(root)):
-        notes = spark.read.option("wholetext", True).text(f"{root}/*.A").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.A$", 1).alias("id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("highlights"))
+        notes = spark.read.text(f"{root}/*.A", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.A$", 1).alias("id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("highlights"))
         topics = topics.join(notes, "id", "left")
     else:
         topics = topics.withColumn("highlights", F.lit(None).cast("string"))
