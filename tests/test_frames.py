@@ -119,8 +119,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "duc" / "d01.A").write_text("The summary.\n")
     row = formats.tagged_topics(spark, f"{tmp_path}/duc").first()
     assert (row.id, row.article, row.highlights) == ("d01", "First one. And two.\nSecond file.", "The summary.")
-    names = spark.createDataFrame([("tune1-grasp-k20-20240101-101010",), ("tune2-fused-k15-k22-cap9-wb0.5-a0.7-20240101-101010",), ("fast2-fast_nsga2-k13-k24-cap7-20240101-101010-x",), ("other",)], "name string")
-    assert [(r.stage, r.method, r.k1, r.k2, r.cap) for r in formats.run_layout(names).collect()] == [("stage1", "grasp", 20, None, None), ("stage2", "fused", 5, 2, 9), ("stage2", "fast_nsga2", 3, 4, 7), (None,) * 5]
+    names = spark.createDataFrame([("tune1-grasp-k20-20240101-101010",), ("tune2-fused-k15-k22-cap9-wb0.5-a0.7-20240101-101010",), ("fast2-fast_grasp-k13-k24-cap7-20240101-101010-x",), ("other",)], "name string")
+    assert [(r.stage, r.method, r.k1, r.k2, r.cap) for r in formats.run_layout(names).collect()] == [("stage1", "grasp", 20, None, None), ("stage2", "fused", 5, 2, 9), ("stage2", "fast_grasp", 3, 4, 7), (None,) * 5]
     metrics = spark.createDataFrame([("rouge1", 0.5)], "metric string, value double")
     formats.write_metrics(metrics, f"{tmp_path}/m", {"seconds": 1.25})
     assert {r.metric: r.value for r in formats.read_metrics(spark, f"{tmp_path}/m").collect()} == {"rouge1": 0.5, "seconds": 1.25}
