@@ -39,6 +39,8 @@ SEED = 20240229
 CHANGE, FLOOR, LEAST_LETTERS = 2.5, -9.0, 32
 #: A line with a smaller share of character runs that the training sample has is rejected.
 LEAST_KNOWN = 0.45
+#: A line with at most so many different characters has no words.
+LEAST_VARIETY = 6
 
 # Two- and three-letter codes of the languages by ISO 639-1 code, and English name.
 CODES = {
@@ -277,6 +279,8 @@ def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, int
         cuts += found
         lines += [text[a:b] for a, b in found]
     z, letters, known = model.logits(lines)
+    # a run of one or two characters is no word of any language
+    letters *= np.array([len(set(line)) > LEAST_VARIETY for line in lines], bool) if lines else 1
     p = softmax(z) if len(lines) else z
     told = (p.max(axis=1) >= model.reject) & (letters >= LEAST_LETTERS) & (known >= LEAST_KNOWN) if len(lines) else letters > 0
     out, at = [], 0
