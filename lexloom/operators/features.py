@@ -29,7 +29,7 @@ def long_form(df: DataFrame, values: Column, name: str) -> DataFrame:
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_tokens", F.transform("sentences", lambda s: F.size(F.split(s, " "))))
+    return docs.withColumn("n_tokens", F.transform("sentences", lambda s: T.count_tokens(s)))
 
 
 def kernel_scores(docs: DataFrame, name: str, kernel: Callable[[list[str]], np.ndarray], digits: int = 6) -> DataFrame:
@@ -49,7 +49,8 @@ def kernel_array(docs: DataFrame, name: str, kernel: Callable[[list[str]], np.nd
         s = row["sentences"] or []
         return [(row["doc_id"], s, kernel(s).tolist() if s else [])]
 
-    return per_document(docs.select("doc_id", "sentences"), f"doc_id bigint, sentences array<string>, {name} array<double>", make)
+    kind = dict(docs.dtypes)["doc_id"]
+    return per_document(docs.select("doc_id", "sentences"), f"doc_id {kind}, sentences array<string>, {name} array<double>", make)
 
 
 def base_parts(docs: DataFrame) -> DataFrame:

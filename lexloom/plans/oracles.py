@@ -116,6 +116,22 @@ def _union(cut: str) -> str:
     u AS (SELECT pd.id, pd.sents, list_sort(list_distinct(list_filter({every}, lambda i: i >= 0 AND i < len(pd.sents)))) AS places FROM pd {joins})"""
 
 
+# base scores of processed records: tokens by white space, sentences as they are
+_PS = f"ps AS ({_long('pd', 'id AS doc_id', 'sents', 'raw')}), s AS (SELECT doc_id, pos, list_filter(string_split(lower({_collapsed('raw')}), ' '), lambda t: t <> '') AS words, count(*) OVER (PARTITION BY doc_id) AS cnt FROM ps)"
+_PBASE = f"""{_PS.replace("AS words, count", "AS words, len(list_filter(string_split(lower(" + _collapsed('raw') + "), ' '), lambda t: t <> '')) AS n, count")}, {_tf_isf('words', 'c', '1.0')},
+    parts AS (SELECT doc_id, pos, {_over_max('raw')} AS importance, {_over_max('least(n, 40)::DOUBLE')} AS length, {_POSITION} AS position FROM raw),
+    base AS (SELECT doc_id, pos, {_over_max('importance + 0.3 * length + 0.3 * position')} AS score FROM parts)"""
+
+
+def _steps(n: int) -> str:
+    """CTEs p0 to pn of the damped iteration over e(doc_id, i, j, x)."""
+    out = ["p0 AS MATERIALIZED (SELECT doc_id, pos, cnt, 1.0::DOUBLE / cnt AS p FROM s)"]
+    for k in range(n):
+        out.append(f"""p{k + 1} AS MATERIALIZED (SELECT a.doc_id, a.pos, a.cnt, coalesce(b.q, 0.0) * 0.85 + 0.15::DOUBLE / a.cnt AS p FROM p{k} a
+            LEFT JOIN (SELECT e.doc_id, e.j, sum(e.x * p{k}.p) AS q FROM e JOIN p{k} ON e.doc_id = p{k}.doc_id AND e.i = p{k}.pos GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.pos = b.j)""")
+    return ", ".join(out)
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
@@ -178,6 +194,16 @@ ORACLES = {
         SELECT DISTINCT doc_id, pos FROM ({_top('score DESC', 'r1')} UNION ALL {_top('c DESC', 'r2')} UNION ALL SELECT doc_id, pos FROM s WHERE pos < 5)""".replace("r1 AS (SELECT doc_id, pos, sum(", "r0 AS (SELECT doc_id, pos, sum(").replace("coalesce(r1.raw", "coalesce(r0.raw").replace("LEFT JOIN r1 ON s.doc_id = r1.doc_id AND s.pos = r1.pos", "LEFT JOIN r0 ON s.doc_id = r0.doc_id AND s.pos = r0.pos"),
     "soft_boost": f"{_BASE}, r AS (SELECT *, row_number() OVER ({_W} ORDER BY round(score, 9) DESC, pos) AS k FROM base) SELECT doc_id, pos, round(CASE WHEN k <= 5 THEN score * 1.05 ELSE score END, 6) AS score FROM r",
     "trim_tokens": f"WITH {_S}, t AS (SELECT doc_id, pos, sum(n) OVER ({_W} ORDER BY pos) AS total FROM s) SELECT doc_id, pos FROM t WHERE total <= 100",
+    "word_budget_fill": f"""{_BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS MATERIALIZED (SELECT doc_id, pos, n, row_number() OVER ({_W} ORDER BY round(score, 9) DESC, pos DESC) AS k FROM base),
+        f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS used, false AS taken FROM r
+            UNION ALL SELECT r.doc_id, r.k, r.pos, f.used + CASE WHEN f.used + r.n <= 100 THEN r.n ELSE 0 END, f.used + r.n <= 100 FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)
+        SELECT doc_id, pos FROM f WHERE taken""",
+    "textrank_steps": f"""{_UNI}, {_SIM}, t AS (SELECT doc_id, i, sum(x) AS t FROM sim GROUP BY ALL), e AS MATERIALIZED (SELECT sim.doc_id, sim.i, sim.j, sim.x / t.t AS x FROM sim JOIN t ON sim.doc_id = t.doc_id AND sim.i = t.i), {_steps(8)}
+        SELECT doc_id, pos, round(CASE WHEN cnt = 1 THEN 1.0 ELSE p END, 6) AS score FROM p8""",
+    "feature_dump": f"""WITH {_P}, {_PBASE}, a AS (SELECT doc_id, string_agg(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS base_scores FROM base GROUP BY doc_id)
+        SELECT pd.id, coalesce(a.base_scores, '') AS base_scores, CAST(len(pd.sents) AS BIGINT) AS n_sentences FROM pd LEFT JOIN a ON a.doc_id = pd.id""",
+    "union_capped": f"""{_union('')}, {_PBASE}, m AS (SELECT id, unnest(places) AS pos FROM u), r AS (SELECT m.id, m.pos, row_number() OVER (PARTITION BY m.id ORDER BY round(base.score, 10) DESC, m.pos) AS k FROM m JOIN base ON base.doc_id = m.id AND base.pos = m.pos)
+        SELECT id, CAST(pos AS BIGINT) AS pos FROM r WHERE k <= 4""",
     "trim_sentences": f"WITH {_S} SELECT doc_id, pos, CAST(length(sentence) AS BIGINT) AS n_chars FROM s WHERE {_FIRST3}",
     "grasp_objective": f"""{_UNI}, f AS (SELECT doc_id, pos, {_over_max('least(n, 40)::DOUBLE')} AS a, {_POSITION} AS b FROM s), g AS (SELECT doc_id, pos, {_over_max('a + b')} AS score FROM f),
         o AS (SELECT doc_id, sum(score) AS o FROM g WHERE {_FIRST3} GROUP BY doc_id), {_SIM}, r AS (SELECT doc_id, sum(x) AS x FROM sim WHERE i < j AND j < 3 GROUP BY doc_id)

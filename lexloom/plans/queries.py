@@ -197,9 +197,11 @@ def zscore(spark, d):
 
 @query
 def feature_dump(spark, d):
-    """Base scores of every processed record, as one array."""
-    rows = read_table(spark, d, "processed").select(F.xxhash64("id", "sentences").alias("doc_id"), "id", F.transform(F.filter("sentences", lambda s: s.isNotNull()), lambda s: s).alias("sentences")).where("sentences IS NOT NULL")
-    return O.base_scores_v1(spread(rows)).select(F.size("sentences").alias("n_sentences"), F.transform("score", lambda x: F.round(x, 6)).alias("base_scores"))
+    """Base scores and number of sentences of every processed record."""
+    rows = _processed(spark, d).select("id", F.filter("sentences", lambda s: s.isNotNull()).alias("sentences")).where("sentences IS NOT NULL")
+    keyed = rows.withColumn("doc_id", F.col("id"))
+    dumped = O.feature_dump(keyed, "id")
+    return dumped.select("id", F.array_join(F.transform("base_scores", lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",").alias("base_scores"), F.col("n_sentences").cast("bigint").alias("n_sentences"))
 
 
 # ---- vectors and graph ----
