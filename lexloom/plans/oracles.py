@@ -132,6 +132,22 @@ def _steps(n: int) -> str:
     return ", ".join(out)
 
 
+def _greedy(cost: str, limit: int) -> str:
+    """Greedy marginal relevance over the pool of the 15 best scores; selections grow in a list."""
+    base = _BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{base}, {_vectors(_VECTOR, 'c')}, {_SIM},
+    c AS MATERIALIZED (SELECT doc_id, pos, {cost} AS n, round(score * 1e10) / 1e10 AS score FROM (SELECT *, row_number() OVER ({_W} ORDER BY score DESC, pos) AS r FROM base) WHERE r <= 15),
+    x AS MATERIALIZED (SELECT sim.doc_id, i, j, round(x * 1e10) / 1e10 AS x FROM sim JOIN c a ON a.doc_id = sim.doc_id AND a.pos = i JOIN c b ON b.doc_id = sim.doc_id AND b.pos = j),
+    g AS (SELECT doc_id, CAST([] AS BIGINT[]) AS sel, CAST(0 AS BIGINT) AS used FROM d
+        UNION ALL SELECT doc_id, list_append(any_value(sel), arg_max(pos, o)), any_value(used) + arg_max(n, o)
+        FROM (SELECT g.doc_id, any_value(g.sel) AS sel, any_value(g.used) AS used, c.pos, any_value(c.n) AS n,
+                struct_pack(u := round((0.7::DOUBLE * any_value(c.score) - (1 - 0.7::DOUBLE) * coalesce(max(x.x) FILTER (WHERE list_contains(g.sel, x.j)), 0.0)) * 1e10), p := -c.pos) AS o
+            FROM g JOIN c ON c.doc_id = g.doc_id AND NOT list_contains(g.sel, c.pos) AND g.used + c.n <= {limit} LEFT JOIN x ON x.doc_id = c.doc_id AND x.i = c.pos GROUP BY g.doc_id, c.pos) q
+        GROUP BY doc_id),
+    w2 AS (SELECT doc_id, list_sort(arg_max(sel, len(sel))) AS sel FROM g GROUP BY doc_id)
+    SELECT CAST(d.doc_id AS VARCHAR) AS id, array_to_string(sel, ',') AS places, coalesce(array_to_string(list_transform(sel, lambda i: d.sents[i + 1]), ' '), '') AS summary FROM d JOIN w2 ON w2.doc_id = d.doc_id"""
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
@@ -194,6 +210,8 @@ ORACLES = {
         SELECT DISTINCT doc_id, pos FROM ({_top('score DESC', 'r1')} UNION ALL {_top('c DESC', 'r2')} UNION ALL SELECT doc_id, pos FROM s WHERE pos < 5)""".replace("r1 AS (SELECT doc_id, pos, sum(", "r0 AS (SELECT doc_id, pos, sum(").replace("coalesce(r1.raw", "coalesce(r0.raw").replace("LEFT JOIN r1 ON s.doc_id = r1.doc_id AND s.pos = r1.pos", "LEFT JOIN r0 ON s.doc_id = r0.doc_id AND s.pos = r0.pos"),
     "soft_boost": f"{_BASE}, r AS (SELECT *, row_number() OVER ({_W} ORDER BY round(score, 9) DESC, pos) AS k FROM base) SELECT doc_id, pos, round(CASE WHEN k <= 5 THEN score * 1.05 ELSE score END, 6) AS score FROM r",
     "trim_tokens": f"WITH {_S}, t AS (SELECT doc_id, pos, sum(n) OVER ({_W} ORDER BY pos) AS total FROM s) SELECT doc_id, pos FROM t WHERE total <= 100",
+    "greedy_mmr_tokens": _greedy("n", 100),
+    "greedy_mmr_sentences": _greedy("CAST(1 AS BIGINT)", 3),
     "word_budget_fill": f"""{_BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS MATERIALIZED (SELECT doc_id, pos, n, row_number() OVER ({_W} ORDER BY round(score, 9) DESC, pos DESC) AS k FROM base),
         f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS used, false AS taken FROM r
             UNION ALL SELECT r.doc_id, r.k, r.pos, f.used + CASE WHEN f.used + r.n <= 100 THEN r.n ELSE 0 END, f.used + r.n <= 100 FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)

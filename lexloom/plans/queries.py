@@ -360,7 +360,7 @@ def word_budget_fill(spark, d):
 
 
 def _selection(spark, d, cfg):
-    return summarize(_as_ids(_docs(spark, d)), cfg).select("id", "selected_indices", "summary")
+    return summarize(_as_ids(_docs(spark, d)), cfg).select("id", F.array_join("selected_indices", ",").alias("places"), "summary")
 
 
 @query
