@@ -132,11 +132,22 @@ def _steps(n: int) -> str:
     return ", ".join(out)
 
 
-def _greedy(cost: str, limit: int) -> str:
+def _fused() -> str:
+    """Half base score, half centroid cosine of the pool's own 1-2-gram vectors, both rescaled."""
+    pairs = f"list_concat({_VECTOR}, {_pairs(_VECTOR, ' ')})"
+    own = f"{_vectors(pairs, '1.0 + ln(c)')}, {_SUMS}, {_CENTROID}".replace("FROM s)", "FROM s2)").replace("FROM s LEFT", "FROM s2 LEFT").replace("s.doc_id, s.pos, s.cnt", "s2.doc_id, s2.pos, s2.cnt").replace("s.doc_id = rs0.doc_id AND s.pos = rs0.pos", "s2.doc_id = rs0.doc_id AND s2.pos = rs0.pos")
+    a, b = _minmax("score", "0.0", "<= 1e-12"), _minmax("c", "0.0", "<= 1e-12")
+    return f"""pool AS (SELECT *, row_number() OVER ({_W} ORDER BY score DESC, pos) AS r FROM base),
+    s2 AS (SELECT pool.doc_id, pool.pos, pool.n, pool.score, s.sentence, count(*) OVER (PARTITION BY pool.doc_id) AS cnt FROM pool JOIN s ON s.doc_id = pool.doc_id AND s.pos = pool.pos WHERE r <= 15),
+    {own}, j AS (SELECT s2.doc_id, s2.pos, s2.n, s2.score, cc.c FROM s2 JOIN cc ON cc.doc_id = s2.doc_id AND cc.pos = s2.pos),
+    fused AS (SELECT doc_id, pos, n, 0.5::DOUBLE * {a} + 0.5::DOUBLE * {b} AS score FROM j)"""
+
+
+def _greedy(cost: str, limit: int, scored: str | None = None, source: str = "base") -> str:
     """Greedy marginal relevance over the pool of the 15 best scores; selections grow in a list."""
     base = _BASE.replace("WITH ", "WITH RECURSIVE ", 1)
-    return f"""{base}, {_vectors(_VECTOR, 'c')}, {_SIM},
-    c AS MATERIALIZED (SELECT doc_id, pos, {cost} AS n, round(score * 1e10) / 1e10 AS score FROM (SELECT *, row_number() OVER ({_W} ORDER BY score DESC, pos) AS r FROM base) WHERE r <= 15),
+    return f"""{base}, {scored or _vectors(_VECTOR, 'c')}, {_SIM},
+    c AS MATERIALIZED (SELECT doc_id, pos, {cost} AS n, round(score * 1e10) / 1e10 AS score FROM (SELECT *, row_number() OVER ({_W} ORDER BY score DESC, pos) AS r FROM {source}) WHERE r <= 15),
     x AS MATERIALIZED (SELECT sim.doc_id, i, j, round(x * 1e10) / 1e10 AS x FROM sim JOIN c a ON a.doc_id = sim.doc_id AND a.pos = i JOIN c b ON b.doc_id = sim.doc_id AND b.pos = j),
     g AS (SELECT doc_id, CAST([] AS BIGINT[]) AS sel, CAST(0 AS BIGINT) AS used FROM d
         UNION ALL SELECT doc_id, list_append(any_value(sel), arg_max(pos, o)), any_value(used) + arg_max(n, o)
@@ -212,6 +223,7 @@ ORACLES = {
     "trim_tokens": f"WITH {_S}, t AS (SELECT doc_id, pos, sum(n) OVER ({_W} ORDER BY pos) AS total FROM s) SELECT doc_id, pos FROM t WHERE total <= 100",
     "greedy_mmr_tokens": _greedy("n", 100),
     "greedy_mmr_sentences": _greedy("CAST(1 AS BIGINT)", 3),
+    "fast_fused": _greedy("n", 100, _fused(), "fused"),
     "word_budget_fill": f"""{_BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS MATERIALIZED (SELECT doc_id, pos, n, row_number() OVER ({_W} ORDER BY round(score, 9) DESC, pos DESC) AS k FROM base),
         f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS used, false AS taken FROM r
             UNION ALL SELECT r.doc_id, r.k, r.pos, f.used + CASE WHEN f.used + r.n <= 100 THEN r.n ELSE 0 END, f.used + r.n <= 100 FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)
