@@ -69,6 +69,12 @@ def p5_comparison(spark, sf_dir):
     return varied.comparison(*_subsets(spark, sf_dir))
 
 
+def p5_scope_comparison(spark, sf_dir):
+    """Coverage of whole scopes by the chosen sentences and by the most predicted ones."""
+    picked, base = _subsets(spark, sf_dir)
+    return varied.scope_comparison(picked, base, varied.whole_scopes(read_table(spark, sf_dir, "subset_sizes")))
+
+
 def p6_ids(spark, sf_dir):
     """Token ids of every document."""
     return bpe.encode_ids(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -102,7 +108,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p5_subsets, p5_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p5_subsets, p5_comparison, p5_scope_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:

@@ -468,3 +468,64 @@ def comparison(picked: DataFrame, base: DataFrame) -> DataFrame:
         F.sum("picks").alias("picks"), F.count(F.lit(1)).alias("records"), F.round(F.sum("agree") / F.sum("known"), 4).alias("selected_by"),
         mean("cover"), mean("cover_predicted"), mean("repeat"), mean("repeat_predicted"),
     )
+
+
+def scope_comparison(picked: DataFrame, base: DataFrame, wanted: dict[int, int]) -> DataFrame:
+    """Per request over a whole scope: how well the picks and the predictions cover it.
+
+    The other selection has as many sentences: those of the scope that most predictions selected.
+    ``cover`` is the mean, over all different sentences of each record of the scope, of the
+    similarity to the nearest selected one; ``repeat`` the mean similarity of two selected ones.
+    Both selections are bounded by the requested counts, and only they reach the driver.
+    """
+    from pyspark.sql import Window
+
+    ours = [(r.request_id, r.sentence) for r in picked.where(F.col("request_id").isin(list(wanted))).select("request_id", "sentence").collect()]
+    votes = base.where("votes IS NOT NULL").select(F.explode("asked").alias("request_id"), "rec", "sentences", F.explode("votes").alias("k", "c"))
+    most = Window.partitionBy("request_id").orderBy(F.desc("c"), "rec", "k")
+    top = votes.withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= max([1, *wanted.values()]))
+    theirs = [(r.request_id, r.sentence) for r in top.select("request_id", "nth", F.get("sentences", F.col("k")).alias("sentence")).collect() if r.nth <= wanted.get(r.request_id, 0)]
+    sets = {}
+    for name, rows in (("ours", ours), ("theirs", theirs)):
+        for q in wanted:
+            texts = [t or "" for r, t in rows if r == q]
+            if texts:
+                sets[name, q] = vectors(texts)
+    shared = base.sparkSession.sparkContext.broadcast(sets)
+    ddl = "request_id int, n bigint, ours double, theirs double"
+    schema = _arrow(ddl)
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for rows in _chunks(batches):
+            found = [_different(r["sentences"])[1] for r in rows]
+            v = vectors([t for texts in found for t in texts])
+            owner = np.repeat(np.arange(len(rows)), [len(t) for t in found])
+            for q in sorted({q for r in rows for q in r["asked"]}):
+                own = v[np.array([q in r["asked"] for r in rows], bool)[owner]] if len(owner) else v
+                if len(own):
+                    near = [(own @ shared.value[k, q].T).max(axis=1).sum() if (k, q) in shared.value else 0.0 for k in ("ours", "theirs")]
+                    total[q] = total.get(q, np.zeros(3)) + [len(own), *near]
+        yield _rows(schema, [(q, int(t[0]), float(t[1]), float(t[2])) for q, t in total.items()])
+
+    sums = base.select("sentences", "asked").mapInArrow(run, ddl).groupBy("request_id").agg(F.sum("n").alias("n"), F.sum("ours").alias("ours"), F.sum("theirs").alias("theirs"))
+
+    def repeat(name, q):
+        x = sets.get((name, q))
+        m = 0 if x is None else len(x)
+        return float(((x @ x.T).sum() - (x * x).sum()) / (m * (m - 1))) if m > 1 else 0.0
+
+    known = base.sparkSession.createDataFrame(
+        [(q, len(sets.get(("ours", q), ())), round(repeat("ours", q), 4), round(repeat("theirs", q), 4)) for q in wanted] or [(None, 0, 0.0, 0.0)],
+        "request_id int, picks int, repeat double, repeat_predicted double",
+    ).where("request_id IS NOT NULL")
+    return sums.join(known, "request_id").select(
+        "request_id", "picks", F.col("n").alias("sentences"), F.round(F.col("ours") / F.col("n"), 4).alias("cover"),
+        F.round(F.col("theirs") / F.col("n"), 4).alias("cover_predicted"), "repeat", "repeat_predicted",
+    )
+
+
+def whole_scopes(requests: DataFrame) -> dict[int, int]:
+    """Requested counts of the requests over whole scopes."""
+    rows = requests.where("scope_kind IN ('all', 'split', 'source') AND pick_count > 0").select("request_id", "pick_count").collect()
+    return {r.request_id: r.pick_count for r in rows}

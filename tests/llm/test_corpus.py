@@ -175,6 +175,8 @@ def test_subsets(spark):
     assert shares.get(("train_0", 0), 1.0) == 1.0
     measured = {r.request_id: r for r in varied.comparison(picked, base).collect()}
     assert measured[2].picks == 46 and 0 < measured[2].cover <= 1.0001
+    whole = {r.request_id: r for r in varied.scope_comparison(picked, base, varied.whole_scopes(requests)).collect()}
+    assert set(whole) == {1, 3, 4} and whole[4].cover > 0.999 and whole[1].cover > whole[1].cover_predicted
 
 
 def test_ward_merges_like_brute_force():
