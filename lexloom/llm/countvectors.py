@@ -43,8 +43,8 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-class Sketches:
-    """Sizes, fingerprints, cell keys and packed counts of the token sets of many texts at once."""
+class TokenSets:
+    """Sizes, fingerprints and tokens of the token sets of many texts at once."""
 
     def __init__(self, texts: list[str | None], least: int = LEAST_VISIBLE):
         c, sizes = bare_batch(texts)
@@ -60,12 +60,20 @@ class Sketches:
         self.n = np.array([len(t) for t in sets], np.int64)
         self.start = np.cumsum(self.n) - self.n
         t = self.tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        m = len(sets)
-        own = np.repeat(np.arange(m), self.n)
         with np.errstate(over="ignore"):
-            if m:
+            if len(sets):
                 self.fp_a = np.add.reduceat(t, self.start).astype(np.int64)
                 self.fp_b = np.add.reduceat(mixed(t + np.uint64(0x5851F42D4C957F2D)), self.start).astype(np.int64)
+
+
+class Sketches(TokenSets):
+    """Token sets with their cell keys and packed counts."""
+
+    def __init__(self, texts: list[str | None], least: int = LEAST_VISIBLE):
+        super().__init__(texts, least)
+        m, t = len(self.n), self.tokens
+        own = np.repeat(np.arange(m), self.n)
+        with np.errstate(over="ignore"):
             self.keys = self._keys(own)
         counts = np.bincount(own * GROUPS + (t & np.uint64(GROUPS - 1)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
         low = np.minimum(counts, PACK).astype(np.uint8)

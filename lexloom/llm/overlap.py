@@ -1,8 +1,8 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
-1. Sketches of all values of both fields (:mod:`countvectors`) route evaluation values and training
-   texts to each other: cells of equal keys, then the R-tree bound.  Values with equal token sets
-   collapse first, so mass copies cost one representative.
+1. The rarest passages of all values of both fields (:mod:`prefixes`) route evaluation values and
+   training texts to each other, so that every pair that can reach the threshold meets.  Values
+   with equal token sets collapse first, so mass copies cost one representative.
 2. Evaluation values are put into shards.  Each shard builds Aho-Corasick automata over the
    passages (every second run of 10 characters) of its normalised evaluation values and scans every
    training text routed to the shard once, against all of the shard's values.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import settled
 from .countvectors import WIDTH, distinct, similarity
 from .forms import bare, run_hashes
-from .nearcopies import THRESHOLD, candidates, representatives, sketches
+from .nearcopies import THRESHOLD
+from .prefixes import fingerprints, prefix_pairs
 
 FIELDS = ["article", "highlights"]
 SHARD_VALUES = 16
@@ -134,18 +135,12 @@ def overlaps(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "row_
     """
     split = split_of(F.col(f"`{split_column}`"))
     rows = df.select(F.col(f"`{id_column}`").alias("row_id"), *FIELDS, F.col(f"`{source_column}`").alias("source"), split.alias("split")).where(split.isin("train", "validation", "test"))
-    base = settled(sketches(rows, "row_id", FIELDS, "split"))
+    base = settled(fingerprints(rows, "row_id", FIELDS, "split"))
     # a value's id says its field too, so that both fields share the plan
     numbered = base.withColumn("row", F.col("row") * 2 + F.col("field")).withColumn("train", F.col("tag") == "train")
-    reps = settled(representatives(numbered, F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")))
-    sides = reps.select("row", "in_train", "in_eval")
-    pairs = candidates(reps, threshold)
-    pairs = pairs.join(sides.toDF("row_a", "train_a", "eval_a"), "row_a").join(sides.toDF("row_b", "train_b", "eval_b"), "row_b")
-    ways = F.array(
-        F.when(F.col("eval_a") & F.col("train_b"), F.struct(F.col("row_a").alias("e"), F.col("row_b").alias("t"))),
-        F.when(F.col("eval_b") & F.col("train_a"), F.struct(F.col("row_b").alias("e"), F.col("row_a").alias("t"))),
-    )
-    routed = settled(pairs.select(F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("w")).select("w.e", "w.t"))
+    # one row per distinct token set: the smallest row and the number of copies
+    reps = settled(numbered.groupBy("field", "fp_a", "fp_b").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")))
+    routed = settled(prefix_pairs(rows, base, "row_id", FIELDS, threshold, F.col("split") != "train", F.col("split") == "train"))
     shards = max(1, -(-routed.select("e").distinct().count() // SHARD_VALUES))
     shard = F.pmod(F.xxhash64("e"), F.lit(shards))
     asked = routed.select(shard.alias("shard"), F.lit(False).alias("train"), F.col("e").alias("row")).unionByName(

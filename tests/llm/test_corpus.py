@@ -89,6 +89,24 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def short_pairs(count=300):
+    """Pairs of 31 runs each that share 24 of them: similarity 24 / 38."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(count):
+        common = "".join(rng.choice(letters) for _ in range(33))
+        yield common + "".join(rng.choice(letters[:13]) for _ in range(7)), common + "".join(rng.choice(letters[13:]) for _ in range(7))
+
+
+def test_overlaps_of_short_highlights_are_all_found(spark):
+    rows = []
+    for k, (x, y) in enumerate(short_pairs()):
+        rows += [(2 * k, None, x, "train", "s"), (2 * k + 1, None, y, "test", "s")]
+    df = spark.createDataFrame(rows, "row_id bigint, article string, highlights string, split_name string, source string")
+    found = overlap.overlap_pairs(overlap.overlaps(df)).collect()
+    assert {(r.row_a, r.row_b) for r in found} == {(2 * k, 2 * k + 1) for k in range(300)}
+
+
 def test_encoding_equals_the_library_and_decodes(spark):
     tiktoken = pytest.importorskip("tiktoken")
     own = bpe.tokenizer()
