@@ -7,7 +7,9 @@ Sentences become unit vectors of hashed character runs and words.  For requests
 2. the entries of ``MERGE`` tasks at a time are merged into one tree, until few summaries are left,
 3. Ward linkage agglomerates the leaf entries, and the tree of merges is cut at k groups,
 4. a second pass finds the sentences nearest each centre; the nearest one with a text that no other
-   centre has taken is returned.
+   centre has taken is returned,
+5. a request that is still short takes, in one more pass over its scope, the different texts least
+   alike to the chosen ones.
 
 For requests within each record every sentence is a leaf entry of its own (condensed first if the
 record is very long), and the record's own merges are cut at k.
@@ -295,7 +297,7 @@ def within_records(base: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
 _ENTRY = "request_id int, part int, n double, sums array<double>, squares double"
 
 
-def _summaries(base: DataFrame) -> DataFrame:
+def _summaries(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
     """Leaf entries of one cluster-feature tree for each task and scope."""
     schema = _arrow(_ENTRY)
 
@@ -311,7 +313,7 @@ def _summaries(base: DataFrame) -> DataFrame:
             for request in sorted({q for r in rows for q in r["asked"]}):
                 member = np.array([request in r["asked"] for r in rows], bool)
                 own = v[member[owner]] if len(owner) else v
-                trees.setdefault(request, CFTree(LEAVES)).add(np.ones(len(own)), own, (own**2).sum(axis=1))
+                trees.setdefault(request, CFTree(max(LEAVES, wanted.get(request, 0)))).add(np.ones(len(own)), own, (own**2).sum(axis=1))
         for request, tree in trees.items():
             yield _rows(schema, [(request, part, *x) for x in zip(tree.n.tolist(), tree.sums.tolist(), tree.squares.tolist())])
 
@@ -330,12 +332,12 @@ def _entries(table: pa.Table, most: int) -> CFTree:
 def centres(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
     """``request_id, centre, at``: the centres of the requested number of groups of each scope."""
     parts = base.rdd.getNumPartitions()
-    entries = _summaries(base)
+    entries = _summaries(base, wanted)
     schema = _arrow(_ENTRY)
 
     def merge(table: pa.Table) -> pa.Table:
-        tree = _entries(table, MERGED_LEAVES)
         request, part = table.column("request_id")[0].as_py(), table.column("part")[0].as_py()
+        tree = _entries(table, max(MERGED_LEAVES, wanted.get(request, 0)))
         rows = [(request, part, *x) for x in zip(tree.n.tolist(), tree.sums.tolist(), tree.squares.tolist())]
         return pa.Table.from_batches([_rows(schema, rows)])
 
@@ -346,7 +348,7 @@ def centres(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
 
     def cut(table: pa.Table) -> pa.Table:
         request = table.column("request_id")[0].as_py()
-        tree = _entries(table, MERGED_LEAVES)
+        tree = _entries(table, max(MERGED_LEAVES, wanted[request]))
         k = min(wanted[request], len(tree.n))
         at = tree.sums / tree.n[:, None]
         group = groups_at(len(tree.n), ward(tree.n, at), k)
@@ -369,17 +371,19 @@ def across_records(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
         for rows in _chunks(batches):
             flat = [(r, k, t) for r in rows for k, t in zip(*_different(r["sentences"]))]
             v = vectors([t for _, _, t in flat])
+            names = np.array([_name(t) for _, _, t in flat], np.int64)
             for q, at in shared.value.items():
-                own = np.flatnonzero([q in r["asked"] for r, _, _ in flat])
+                own = np.array([i for i, (r, _, _) in enumerate(flat) if q in r["asked"]], np.int64)
                 if not len(own):
                     continue
+                own = own[_first_places(names[own], [flat[i] for i in own])]
                 d = 1 - 2 * v[own] @ at.T + (at**2).sum(axis=1)
                 few = min(len(own), 4 * RUNNERS_UP)
                 for g in range(len(at)):
                     column = d[:, g]
                     for i in np.argpartition(column, few - 1)[:few]:
                         r, k, t = flat[own[i]]
-                        best.setdefault((q, g), []).append((round(float(column[i]), 9), xxhash.xxh3_64_intdigest(t) - (1 << 63), r["rec"], r["id"], k, r["sentences"][k], _share(r["votes"], r["voters"], k)))
+                        best.setdefault((q, g), []).append((round(float(column[i]), 9), int(names[own[i]]), r["rec"], r["id"], k, r["sentences"][k], _share(r["votes"], r["voters"], k)))
                     best[q, g] = _front(best[q, g])
         yield _rows(schema, [(q, g, *x) for (q, g), held in best.items() for x in held])
 
@@ -401,9 +405,62 @@ def across_records(base: DataFrame, wanted: dict[int, int]) -> DataFrame:
     from pyspark.sql import Window
 
     # the few nearest of each centre over all tasks; then one request's candidates are few
+    best = near.groupBy("request_id", "centre", "text").agg(F.min(F.struct("far", "rec", "pos", "id", "sentence", "selected_by")).alias("best"))
     order = Window.partitionBy("request_id", "centre").orderBy("far", "text", "rec", "pos")
-    few = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 8 * RUNNERS_UP).drop("nth")
-    return few.groupBy("request_id").applyInArrow(choose, _PICK)
+    few = best.select("request_id", "centre", "text", "best.*").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 8 * RUNNERS_UP).drop("nth")
+    picked = settled(few.groupBy("request_id").applyInArrow(choose, _PICK))
+    chosen: dict[int, list[str]] = {}  # at most the sum of the requested counts
+    for r in picked.select("request_id", "sentence").collect():
+        chosen.setdefault(r.request_id, []).append(" ".join(r.sentence.split()))
+    missing = {q: wanted[q] - len(texts) for q, texts in chosen.items() if len(texts) < wanted[q]}
+    return picked.unionByName(_rest(base, chosen, missing)) if missing else picked
+
+
+def _name(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _first_places(names: np.ndarray, flat: list) -> np.ndarray:
+    """The first place, by record and position, of each different text."""
+    order = np.lexsort(([k for _, k, _ in flat], [r["rec"] for r, _, _ in flat], names))
+    ordered = names[order]
+    return order[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+
+
+def _rest(base: DataFrame, chosen: dict[int, list[str]], missing: dict[int, int]) -> DataFrame:
+    """The ``missing`` different texts of each scope least alike to its chosen ones, none of them chosen."""
+    held = {q: (vectors(chosen[q]), {_name(t) for t in chosen[q]}) for q in missing}
+    shared = base.sparkSession.sparkContext.broadcast(held)
+    ddl = "request_id int, near double, text bigint, rec bigint, pos int, id string, sentence string, selected_by double"
+    schema = _arrow(ddl)
+
+    def run(batches):
+        best: dict[int, dict[int, tuple]] = {q: {} for q in missing}
+        for rows in _chunks(batches):
+            flat = [(r, k, t) for r in rows for k, t in zip(*_different(r["sentences"]))]
+            names = [_name(t) for _, _, t in flat]
+            v = vectors([t for _, _, t in flat])
+            for q, (at, taken) in shared.value.items():
+                own = [i for i, (r, _, _) in enumerate(flat) if q in r["asked"] and names[i] not in taken]
+                if not own:
+                    continue
+                found = best[q]
+                for i, near in zip(own, (v[own] @ at.T).max(axis=1).round(4).tolist()):
+                    r, k, _ = flat[i]
+                    old = found.get(names[i])
+                    if old is None or (r["rec"], k) < old[2:4]:
+                        found[names[i]] = (near if old is None else old[0], names[i], r["rec"], k, r["id"], r["sentences"][k], _share(r["votes"], r["voters"], k))
+                if len(found) > 2 * missing[q] + 4096:
+                    best[q] = {x[1]: x for x in sorted(found.values(), key=lambda x: x[:2])[: missing[q]]}
+        yield _rows(schema, [(q, *x) for q, found in best.items() for x in sorted(found.values(), key=lambda x: x[:2])[: missing[q]]])
+
+    from pyspark.sql import Window
+
+    each = base.select("rec", "id", "sentences", "asked", "votes", "voters").mapInArrow(run, ddl)
+    best = each.groupBy("request_id", "text").agg(F.min(F.struct("rec", "pos", "near", "id", "sentence", "selected_by")).alias("best")).select("request_id", "text", "best.*")
+    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("near", "text"))
+    left = F.coalesce(*(F.when(F.col("request_id") == q, F.lit(n)) for q, n in missing.items()))
+    return best.withColumn("nth", nth).where(F.col("nth") <= left).select("request_id", "rec", "id", "pos", "sentence", "selected_by")
 
 
 def _front(held: list) -> list:

@@ -197,6 +197,18 @@ def test_subsets(spark):
     assert set(whole) == {1, 3, 4} and whole[4].cover > 0.999 and whole[1].cover > whole[1].cover_predicted
 
 
+def test_scope_of_alike_sentences_gives_the_whole_count(spark):
+    lists = [[f"Flight {k} landed at gate {k + n}." for n in range(3)] for k in range(10)] * 2 + [["One other sentence stands here."]] * 40
+    processed = spark.createDataFrame([(f"train_{k}", x) for k, x in enumerate(lists)], "id string, sentences array<string>")
+    articles = spark.createDataFrame([(f"train_{k}", "test" if k < 15 else "train", "s1") for k in range(len(lists))], "id string, split_name string, source string")
+    predictions = spark.createDataFrame([("train_0", [0])], "id string, selected_indices array<int>")
+    requests = spark.createDataFrame([(1, "all", None, 25), (2, "split", "test", 30), (3, "source", "s1", 900)], "request_id int, scope_kind string, scope_name string, pick_count int")
+    rows = varied.subsets(varied.records(processed, articles, predictions, requests), requests).collect()
+    for request, count in ((1, 25), (2, 30), (3, 31)):
+        own = [r for r in rows if r.request_id == request]
+        assert len(own) == count == len({r.sentence for r in own})
+
+
 def test_ward_merges_like_brute_force():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(12, varied.DIM))
