@@ -6,8 +6,9 @@
 2. Evaluation values are put into shards.  Each shard builds Aho-Corasick automata over the
    passages (every second run of 10 characters) of its normalised evaluation values and scans every
    training text routed to the shard once, against all of the shard's values.
-3. The matched intervals merge into the coverage of each evaluation value; values with enough
-   matched passages are held against the text exactly.
+3. Values with enough matched passages are held against the text exactly.
+4. The coverage of an evaluation value unites its runs that stand in any training text, also in
+   those that are no near-duplicates (:mod:`coverage`).
 
 A single automaton set that every training text is scanned against would cost shards x texts,
 which grows with the square of the data; routing keeps each text to the shards it can match.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
+from .coverage import covered
 from .countvectors import WIDTH, distinct, similarity
 from .forms import bare, run_hashes
 from .nearcopies import THRESHOLD
@@ -131,7 +133,8 @@ def _tasks(df: DataFrame, shards: int) -> int:
 def overlaps(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "row_id", split_column: str = "split_name", source_column: str = "source") -> DataFrame:
     """Pairs of an evaluation and a training row: ``eval_row, train_row, field, similarity, coverage, eval_split, source``.
 
-    ``coverage`` is the share of the evaluation value's characters that lie in matched passages.
+    ``coverage`` is the share of the evaluation value's characters that lie in passages matched in
+    this training value; :func:`coverages` unites all training values.
     """
     split = split_of(F.col(f"`{split_column}`"))
     rows = df.select(F.col(f"`{id_column}`").alias("row_id"), *FIELDS, F.col(f"`{source_column}`").alias("source"), split.alias("split")).where(split.isin("train", "validation", "test"))
@@ -168,9 +171,34 @@ def overlap_pairs(found: DataFrame) -> DataFrame:
     return found.select("eval_split", "source", a.alias("row_a"), b.alias("row_b")).distinct()
 
 
-def overlap_counts(found: DataFrame) -> DataFrame:
-    """Pairs, evaluation rows, training rows and mean coverage per evaluation split and source."""
-    pairs = found.groupBy("eval_split", "source", "eval_row", "train_row").agg(F.max("coverage").alias("coverage"))
-    return pairs.groupBy("eval_split", "source").agg(
-        F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_row").alias("eval_rows"), F.countDistinct("train_row").alias("train_rows"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
-    )
+def coverages(df: DataFrame, id_column: str = "row_id", split_column: str = "split_name", source_column: str = "source") -> DataFrame:
+    """``eval_row, field, coverage, eval_split, source`` of every evaluation value that takes part.
+
+    ``coverage`` is the share of its characters in runs of 10 that stand in the same field of any
+    training row, united over all of them.
+    """
+    split = split_of(F.col(f"`{split_column}`"))
+    rows = df.select(F.col(f"`{id_column}`").alias("row_id"), *FIELDS, F.col(f"`{source_column}`").alias("source"), split.alias("split")).where(split.isin("train", "validation", "test"))
+    base = settled(fingerprints(rows, "row_id", FIELDS, "split"))
+    shares = covered(rows, base, "row_id", FIELDS, F.col("split") != "train")
+    values = base.where("tag <> 'train'").select((F.col("row") * 2 + F.col("field")).alias("row"), F.col("row").alias("eval_row"), F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1).alias("field"))
+    about = rows.where("split <> 'train'").select(F.col("row_id").alias("eval_row"), F.col("split").alias("eval_split"), "source")
+    return values.join(shares, "row", "left").join(about, "eval_row").select("eval_row", "field", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "eval_split", "source")
+
+
+def overlap_counts(found: DataFrame, shares: DataFrame | None = None) -> DataFrame:
+    """Pairs, evaluation rows and training rows per evaluation split and source.
+
+    With the coverages ``shares`` every split and source with an evaluation value is there, and
+    ``mean_coverage`` is the mean over its evaluation rows, each with its better covered field.
+    """
+    group = ["eval_split", "source"]
+    pairs = found.select(*group, "eval_row", "train_row").distinct()
+    counts = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_row").alias("eval_rows"), F.countDistinct("train_row").alias("train_rows"))
+    if shares is None:
+        return counts
+    means = shares.groupBy(*group, "eval_row").agg(F.max("coverage").alias("coverage")).groupBy(*group).agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    left, right = means.alias("m"), counts.alias("c")
+    same = F.col("m.eval_split").eqNullSafe(F.col("c.eval_split")) & F.col("m.source").eqNullSafe(F.col("c.source"))
+    zero = [F.coalesce(f"c.{n}", F.lit(0)).alias(n) for n in ("pairs", "eval_rows", "train_rows")]
+    return left.join(right, same, "left").select("m.eval_split", "m.source", *zero, "mean_coverage")

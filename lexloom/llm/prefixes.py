@@ -24,7 +24,7 @@ SAMPLE_ROWS = 2_000
 RARITY_BITS = 22
 #: One more common token is asked of the prefixes for so many of the smaller set.
 STEP = 20
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 5_000_000
 #: Meetings held at a time.
 HELD = 4_000_000
 

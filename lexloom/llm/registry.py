@@ -33,9 +33,12 @@ def p3_forms(spark, sf_dir):
     return lookalike.forms_of(spread(table), "row_id", ["article", "highlights"])
 
 
+def _evaluated(spark, sf_dir):
+    return spread(read_table(spark, sf_dir, "articles").select("row_id", "article", "highlights", "split_name", "source"))
+
+
 def _overlaps(spark, sf_dir):
-    articles = read_table(spark, sf_dir, "articles").select("row_id", "article", "highlights", "split_name", "source")
-    return overlap.overlaps(spread(articles))
+    return overlap.overlaps(_evaluated(spark, sf_dir))
 
 
 def p4_found(spark, sf_dir):
@@ -44,8 +47,13 @@ def p4_found(spark, sf_dir):
 
 
 def p4_counts(spark, sf_dir):
-    """Overlaps counted by evaluation split and source."""
-    return overlap.overlap_counts(_overlaps(spark, sf_dir))
+    """Overlaps counted by evaluation split and source, with the united coverage of their rows."""
+    return overlap.overlap_counts(_overlaps(spark, sf_dir), overlap.coverages(_evaluated(spark, sf_dir)))
+
+
+def p4_coverage(spark, sf_dir):
+    """Share of every evaluation value that stands in the training rows."""
+    return overlap.coverages(_evaluated(spark, sf_dir))
 
 
 def _subsets(spark, sf_dir):
@@ -108,7 +116,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p5_subsets, p5_comparison, p5_scope_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p4_coverage, p5_subsets, p5_comparison, p5_scope_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:

@@ -107,6 +107,28 @@ def test_overlaps_of_short_highlights_are_all_found(spark):
     assert {(r.row_a, r.row_b) for r in found} == {(2 * k, 2 * k + 1) for k in range(300)}
 
 
+def test_coverage_unites_all_training_texts(spark):
+    rng = random.Random(21)
+    a, b, c, own = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(4))
+    rows = [
+        (1, a + "".join(rng.choice("abcdefghij") for _ in range(900)), None, "train", "s"),  # holds a, far longer
+        (2, b, None, "train", "s"), (3, c, None, "train", "s"),
+        (4, a, None, "test", "s"), (5, b + c, None, "test", "s"), (6, own, None, "test", "s"), (7, own + own + b, a, "dev", None),
+    ]
+    df = spark.createDataFrame(rows, "row_id bigint, article string, highlights string, split_name string, source string")
+    train = {k[i : i + 10] for _, k, *_ in rows[:3] for i in range(len(k) - 9)}
+
+    def share(text):
+        marked = {j for i in range(len(text) - 9) if text[i : i + 10] in train for j in range(i, i + 10)}
+        return len(marked) / len(text)
+
+    found = {(r.eval_row, r.field): r.coverage for r in overlap.coverages(df).collect()}
+    want = {(k, "article"): share(text) for k, text, *_ in rows[3:]} | {(7, "highlights"): 0.0}
+    assert found == pytest.approx(want) and found[4, "article"] == found[5, "article"] == 1.0
+    means = {(r.eval_split, r.source): r for r in overlap.overlap_counts(overlap.overlaps(df), overlap.coverages(df)).collect()}
+    assert means["test", "s"].mean_coverage == pytest.approx(2 / 3, abs=1e-5) and means["validation", None].mean_coverage == pytest.approx(1 / 3, abs=1e-5)
+
+
 def test_encoding_equals_the_library_and_decodes(spark):
     tiktoken = pytest.importorskip("tiktoken")
     own = bpe.tokenizer()
