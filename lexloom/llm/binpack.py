@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from ..sources.tables import settled
 
 PARTITION_ITEMS = 20_000
-ROUNDS = 3
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -127,15 +126,18 @@ def _used(packed: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in bins.collect()}
 
 
-def containers(sizes: DataFrame, capacities: DataFrame, rounds: int = ROUNDS, id_column: str = "doc_id") -> DataFrame:
+def containers(sizes: DataFrame, capacities: DataFrame, rounds: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """``capacity_id, container_no, doc_id, piece, n_tokens, container_tokens, certified``.
 
     Container numbers are dense from 0 for each capacity.  ``certified`` says that the container
-    is completely filled or belongs to a partition proven optimal.
+    is completely filled or belongs to a partition proven optimal.  The exchange ends when no
+    capacity gets better or all partitions are certified, or after ``rounds`` if they are given.
     """
     current = _packed(items_of(sizes, capacities, id_column), 0)
     final: list[DataFrame] = []
-    for k in range(1, rounds + 1):
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
         again = (F.col("gap") > 0) & (F.col("fill") < F.col("capacity"))
         open_items = current.where(again)
         before = {r[0]: r[1] for r in open_items.groupBy("capacity_id", "part").agg(F.countDistinct("bin").alias("n")).groupBy("capacity_id").agg(F.sum("n")).collect()}
@@ -149,7 +151,7 @@ def containers(sizes: DataFrame, capacities: DataFrame, rounds: int = ROUNDS, id
         moved = F.col("capacity_id").isin(better)
         final.append(current.where(~(again & moved)).withColumn("round", F.lit(k - 1)))
         current = repacked.where(moved)
-    final.append(current.withColumn("round", F.lit(rounds)))
+    final.append(current.withColumn("round", F.lit(k)))
     whole = final[0]
     for part in final[1:]:
         whole = whole.unionByName(part)

@@ -193,6 +193,15 @@ def test_containers(spark, monkeypatch):
     assert binpack.containers(df.limit(0), asked).count() == 0
 
 
+def test_exchange_goes_on_while_containers_fall(spark, monkeypatch):
+    monkeypatch.setattr(binpack, "PARTITION_ITEMS", 20)
+    rng = random.Random(1)
+    df = spark.createDataFrame([(k, rng.randrange(26, 50)) for k in range(4000)], "doc_id bigint, n_tokens bigint")
+    asked = spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")
+    used = [binpack.containers(df, asked, **rounds).agg({"container_no": "max"}).first()[0] + 1 for rounds in ({"rounds": 3}, {})]
+    assert used[1] < used[0]
+
+
 def test_subsets(spark):
     rng = random.Random(3)
     topics = [[f"{w} and {rng.choice(WORDS)} went to {w} with {rng.choice(WORDS)}." for _ in range(30)] for w in WORDS[:6]]
