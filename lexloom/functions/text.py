@@ -110,3 +110,9 @@ def dashed_documents(text: Column) -> Column:
     """Documents of a text parted by lines of at least three dashes."""
     parts = F.split(F.coalesce(text, F.lit("")), r"\n-{3,}\n")
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, f"^{SPACE}+|{SPACE}+$", "")), lambda p: p != "")
+
+
+#: The sentence split and the token count as SQL expressions over ``{0}``.
+_PLAIN = "trim(regexp_replace(coalesce({0}, ''), r'" + SPACE.replace("{", "{{").replace("}", "}}") + "+', ' '))"
+SQL_SPLIT = "filter(transform(split(" + _PLAIN + ", r'(?<=[" + TERMINATORS + "]) *'), s -> trim(s)), s -> s <> '')"
+SQL_COUNT = "size(filter(split(" + _PLAIN + ", ' '), t -> t <> ''))"

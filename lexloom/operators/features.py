@@ -94,11 +94,14 @@ def term_weights(docs: DataFrame, pairs: bool = False, sublinear: bool = False)
 
 def nearest_similarity(sentences: list[str]) -> np.ndarray:
     """Similarity of each sentence to the most similar other one; 0 for a lone sentence."""
-    s = K.TermVectors(sentences).similarity()
-    if len(s) < 2:
-        return np.zeros(len(s))
-    np.fill_diagonal(s, -1)
-    return s.max(axis=1)
+    if len(sentences) < 2:
+        return np.zeros(len(sentences))
+    out = []
+    for first, block in K.TermVectors(sentences).blocks():
+        here = np.arange(len(block))
+        block[here, first + here] = -1
+        out.append(block.max(axis=1))
+    return np.concatenate(out)
 
 
 def group_embedding_rank(df: DataFrame, group: str = "label", vector: str = "embedding", key: str = "vec_id") -> DataFrame:

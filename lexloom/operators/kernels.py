@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 
@@ -18,7 +19,8 @@ from ..functions.text import STOP_WORDS
 _STOPS = frozenset(STOP_WORDS)
 _NOT_WORD = re.compile(r"[^\w\s]")
 _WORDS = re.compile(r"\w\w+")
-SLICE = 4096
+#: Cells of a dense slice or block that is held at a time.
+SLICE_CELLS = 1 << 22
 
 
 def lower_tokens(s: str) -> list[str]:
@@ -107,25 +109,51 @@ class TermVectors:
         norm = np.sqrt(np.bincount(self.rows, weights**2, minlength=self.n)) if len(rows) else np.zeros(self.n)
         self.weights = weights / norm[self.rows] if len(rows) else weights
 
-    def similarity(self) -> np.ndarray:
-        """All cosines of two rows."""
-        out = np.zeros((self.n, self.n))
-        order = np.argsort(self.columns, kind="stable")
-        rows, columns, weights = self.rows[order], self.columns[order], self.weights[order]
-        edges = np.searchsorted(columns, np.arange(0, len(self.terms) + SLICE, SLICE))
+    def similarity(self, rows=None, others=None) -> np.ndarray:
+        """Cosines of the given rows (all if none are given) and the other ones."""
+        rows = np.arange(self.n) if rows is None else np.asarray(rows, np.int64)
+        others = rows if others is None else np.asarray(others, np.int64)
+        out = np.zeros((len(rows), len(others)))
+        if not len(self.rows) or not out.size:
+            return out
+        # only the terms of the asked rows, in column slices of a bounded size
+        asked = np.full(self.n, -1)
+        members = np.unique(np.concatenate([rows, others]))
+        asked[members] = np.arange(len(members))
+        held = np.flatnonzero(asked[self.rows] >= 0)
+        if not len(held):
+            return out
+        held = held[np.argsort(self.columns[held], kind="stable")]
+        r, w = asked[self.rows[held]], self.weights[held]
+        c = np.cumsum(np.concatenate([[0], np.diff(self.columns[held]) > 0]))
+        width = max(64, SLICE_CELLS // len(members))
+        edges = np.searchsorted(c, np.arange(0, int(c[-1]) + 1 + width, width))
+        left, right = asked[rows], asked[others]
+        same = len(left) == len(members) and np.array_equal(left, right) and np.array_equal(left, np.arange(len(members)))
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             if b > a:
-                x = np.zeros((self.n, SLICE if b < len(columns) else int(columns[-1]) - k * SLICE + 1))
-                x[rows[a:b], columns[a:b] - k * SLICE] = weights[a:b]
-                out += x @ x.T
+                x = np.zeros((len(members), int(c[b - 1]) - k * width + 1))
+                x[r[a:b], c[a:b] - k * width] = w[a:b]
+                out += x @ x.T if same else x[left] @ x[right].T
         return out
 
-    def row_sums(self) -> np.ndarray:
-        """Sum of each row of :meth:`similarity` without forming it."""
+    def blocks(self):
+        """(first row, its cosines with all rows) of bounded blocks of rows, for matrices too large to hold."""
+        step = max(1, SLICE_CELLS // max(1, self.n))
+        every = np.arange(self.n)
+        for a in range(0, self.n, step):
+            yield a, self.similarity(every[a : a + step], every)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The similarity matrix times ``v``, without the matrix."""
         if not len(self.rows):
             return np.zeros(self.n)
-        total = np.bincount(self.columns, self.weights, minlength=len(self.terms))
-        return np.bincount(self.rows, self.weights * total[self.columns], minlength=self.n)
+        along = np.bincount(self.columns, self.weights * v[self.rows], minlength=len(self.terms))
+        return np.bincount(self.rows, self.weights * along[self.columns], minlength=self.n)
+
+    def row_sums(self) -> np.ndarray:
+        """Sum of each row of :meth:`similarity` without forming it."""
+        return self.times(np.ones(self.n))
 
     def to_centroid(self) -> np.ndarray:
         """Cosine of each row and the mean row."""
@@ -138,19 +166,24 @@ class TermVectors:
         return np.divide(dot, scale, out=np.zeros(self.n), where=scale > 0)
 
 
-def centrality(similarity: np.ndarray) -> np.ndarray:
-    """Mean similarity of a sentence to all, itself included, rescaled."""
-    return minmax(similarity.mean(axis=1)) if len(similarity) else np.zeros(0)
+Similar = TermVectors | np.ndarray  # term vectors, or a given symmetric matrix
+
+
+def _row_sums(x: Similar) -> np.ndarray:
+    return x.row_sums() if isinstance(x, TermVectors) else np.asarray(x, float).sum(axis=1)
+
 
+def centrality(x: Similar) -> np.ndarray:
+    """Mean similarity of a sentence to all, itself included, rescaled; of term vectors without their matrix."""
+    total = _row_sums(x)
+    return minmax(np.round(total / len(total), 12)) if len(total) else total
 
-def novelty(similarity: np.ndarray) -> np.ndarray:
+
+def novelty(x: Similar) -> np.ndarray:
     """One less the mean similarity to the others (self-similarity taken as 1), rescaled."""
-    n = len(similarity)
-    if n == 0:
-        return np.zeros(0)
-    if n == 1:
-        return np.ones(1)
-    return minmax(1 - (similarity.sum(axis=1) - 1) / (n - 1))
+    total = _row_sums(x)
+    n = len(total)
+    return minmax(np.round(1 - (total - 1) / (n - 1), 12)) if n > 1 else np.ones(n)
 
 
 def thresholded(similarity: np.ndarray, threshold: float) -> np.ndarray:
@@ -158,23 +191,41 @@ def thresholded(similarity: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(similarity < threshold, 0.0, similarity) if threshold > 0 else similarity
 
 
-def textrank(similarity: np.ndarray, threshold: float = 0.0, damping: float = 0.85, most: int = 100, eps: float = 1e-6) -> np.ndarray:
-    """Power iteration over the row-normalised matrix, self loops kept; empty rows lose their mass."""
-    n = len(similarity)
-    if n <= 1:
-        return np.ones(n)
-    m = thresholded(similarity, threshold)
-    total = m.sum(axis=1, keepdims=True)
-    step = np.divide(m, total, out=np.zeros_like(m), where=total > 0).T * damping
+def _iterated(times: Callable[[np.ndarray], np.ndarray], n: int, damping: float, most: int, eps: float) -> np.ndarray:
+    total = times(np.ones(n))
     p = np.full(n, 1 / n)
     for _ in range(most):
-        new = step @ p + (1 - damping) / n
+        new = damping * times(np.divide(p, total, out=np.zeros(n), where=total > 0)) + (1 - damping) / n
         if np.abs(new - p).sum() < eps:
             return new
         p = new
     return p
 
 
+def textrank(x: Similar, threshold: float = 0.0, damping: float = 0.85, most: int = 100, eps: float = 1e-6) -> np.ndarray:
+    """Power iteration over the row-normalised similarity, self loops kept; empty rows lose their mass.
+
+    Of term vectors a step without a threshold is two passes over the terms; with one, only the
+    entries that reach it are held.
+    """
+    if not isinstance(x, TermVectors):
+        m = thresholded(np.asarray(x, float), threshold)
+        return _iterated(lambda v: m.T @ v, len(m), damping, most, eps) if len(m) > 1 else np.ones(len(m))
+    n = x.n
+    if n <= 1:
+        return np.ones(n)
+    if threshold <= 0:
+        return _iterated(x.times, n, damping, most, eps)
+    rows, columns, values = [], [], []
+    for first, block in x.blocks():
+        r, c = np.nonzero(block >= threshold)
+        rows.append(r + first)
+        columns.append(c)
+        values.append(block[r, c])
+    rows, columns, values = (np.concatenate(part) for part in (rows, columns, values))
+    return _iterated(lambda v: np.bincount(columns, values * v[rows], minlength=n), n, damping, most, eps)
+
+
 def embedding_centroid(x: np.ndarray) -> np.ndarray:
     """Cosine of each embedding and their mean; norms are padded by 1e-12."""
     mean = x.mean(axis=0)

@@ -30,28 +30,33 @@ def _double(word: str) -> bool:
 
 
 def _short(word: str) -> bool:
-    """Ends consonant, vowel, consonant, the last not w, x or y."""
+    """Ends consonant, vowel, consonant, the last not w, x or y; or is vowel, consonant."""
     n = len(word)
+    if n == 2:
+        return _vowel(word, 0) and not _vowel(word, 1)
     return n > 2 and not _vowel(word, n - 1) and _vowel(word, n - 2) and not _vowel(word, n - 3) and word[-1] not in "wxy"
 
 
-# Suffixes of the published stemmer and what replaces them.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize"
+# Suffixes of the published stemmer with its common extensions, what replaces them,
+# and the words with stems of their own.
+STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble fulli:ful logi:log"
+STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+STEP4 = "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize"
+IRREGULAR = "skies:sky sky:sky dying:die lying:lie tying:tie news:news innings:inning inning:inning outings:outing outing:outing cannings:canning canning:canning howe:howe proceed:proceed exceed:exceed succeed:succeed"
 
 
 def _rules(text: str) -> list[tuple[str, str]]:
     return sorted((tuple(r.split(":")) for r in text.split()), key=lambda r: -len(r[0]))
 
 
-_TWO, _THREE = _rules(_STEP2), _rules(_STEP3)
-_FOUR = sorted(_STEP4.split(), key=len, reverse=True)
+_TWO, _THREE = _rules(STEP2), _rules(STEP3)
+_FOUR = sorted(STEP4.split(), key=len, reverse=True)
+_OWN = dict(_rules(IRREGULAR))
 _KNOWN: dict[str, str] = {}
 
 
 def stem(word: str) -> str:
-    """Porter's stem of a lower-case word."""
+    """Porter's stem of a lower-case word, with the common extensions."""
     found = _KNOWN.get(word)
     if found is None:
         if len(_KNOWN) > 100_000:
@@ -60,14 +65,32 @@ def stem(word: str) -> str:
     return found
 
 
+def _replaced(w: str, rules: list[tuple[str, str]]) -> str:
+    """The word with the longest of the suffixes replaced, if what precedes it has a measure."""
+    for end, to in rules:
+        if w.endswith(end):
+            # "logi" is measured with its first letter
+            if _measure(w[: -len(end)] + ("l" if end == "logi" else "")) == 0:
+                return w
+            w = w[: -len(end)] + to
+            return _replaced(w, rules) if end == "alli" else w
+    return w
+
+
 def _stem(w: str) -> str:
+    if w in _OWN:
+        return _OWN[w]
     if len(w) <= 2:
         return w
-    if w.endswith("sses") or w.endswith("ies"):
+    if w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith(("sses", "ies")):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     else:
@@ -76,23 +99,16 @@ def _stem(w: str) -> str:
             w = cut
             if w.endswith(("at", "bl", "iz")):
                 w += "e"
-            elif _double(w) and w[-1] not in "lsz":
-                w = w[:-1]
+            elif _double(w):
+                w = w if w[-1] in "lsz" else w[:-1]
             elif _measure(w) == 1 and _short(w):
                 w += "e"
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and not _vowel(w, len(w) - 2):
         w = w[:-1] + "i"
-    for rules in (_TWO, _THREE):
-        for end, to in rules:
-            if w.endswith(end):
-                if _measure(w[: -len(end)]) > 0:
-                    w = w[: -len(end)] + to
-                break
+    w = _replaced(_replaced(w, _TWO), _THREE)
     for end in _FOUR:
         if w.endswith(end):
-            base = w[: -len(end)]
-            if end in ("sion", "tion"):
-                base = w[:-3]
+            base = w[:-3] if end in ("sion", "tion") else w[: -len(end)]
             if _measure(base) > 1:
                 w = base
             break
@@ -100,7 +116,7 @@ def _stem(w: str) -> str:
         m = _measure(w[:-1])
         if m > 1 or m == 1 and not _short(w[:-1]):
             w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
+    if w.endswith("ll") and _measure(w[:-1]) > 1:
         w = w[:-1]
     return w
 

@@ -12,7 +12,6 @@ from collections import Counter
 import numpy as np
 
 GRID = 1e10
-EXACT_UP_TO = 15
 
 
 class Budget:
@@ -177,53 +176,89 @@ def redundancy(similarity: np.ndarray, chosen) -> float:
 
 
 class _Problem:
-    """Objectives (to minimise) and constraint of whole populations of 0/1 vectors."""
+    """Objectives (to minimise) and violation of whole populations of 0/1 vectors.
+
+    Coverage is a running maximum over the columns, so the memory is population x sentences.
+    """
 
     def __init__(self, scores, similarity, budget: Budget, method: str):
         self.scores, self.sim, self.budget, self.method = np.asarray(scores, float), np.asarray(similarity, float), budget, method
+        self.own = np.diag(self.sim)
+        # small problems take all columns at once
+        self.whole = len(self.scores) <= 64
+
+    def _top(self, x: np.ndarray) -> np.ndarray:
+        """Largest similarity of every sentence to a chosen one."""
+        if self.whole:
+            return np.where(x[:, None, :], self.sim[None], -np.inf).max(axis=2)
+        top = np.full(x.shape, -np.inf)
+        for j in np.flatnonzero(x.any(axis=0)):
+            rows = np.flatnonzero(x[:, j])
+            top[rows] = np.maximum(top[rows], self.sim[:, j])
+        return top
 
     def values(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(float)
-        size = x.sum(axis=1)
-        importance = x @ self.scores
-        masked = np.where(x[:, None, :] > 0, self.sim[None], -np.inf).max(axis=2)
+        dense = x.astype(float)
+        size = dense.sum(axis=1)
+        top = self._top(x)
         if self.method == "set":
-            masked = np.maximum(masked, 0)
-        cover = np.where(size > 0, np.where(np.isfinite(masked), masked, 0).mean(axis=1), 0)
+            top = np.maximum(top, 0)
+        cover = np.where(size > 0, top.mean(axis=1), 0)
         pairs = size * (size - 1) / 2
-        inside = (np.einsum("pi,ij,pj->p", x, self.sim, x) - x @ np.diag(self.sim)) / 2
+        inside = ((dense @ self.sim * dense).sum(axis=1) - dense @ self.own) / 2
         repeat = np.divide(inside, pairs, out=np.zeros(len(x)), where=pairs > 0)
         if self.method == "diversity":
             cover = cover - np.where(size > 1, 0.3 * repeat, 0)
-        over = x @ self.budget.cost - self.budget.limit
-        return np.stack([-importance, -cover, repeat], axis=1), np.maximum(over, 0)
-
-
-def _fronts(f: np.ndarray, over: np.ndarray) -> np.ndarray:
-    """Rank of each vector by constrained domination: less violation first, then Pareto."""
-    le, lt = (f[:, None] <= f[None]).all(axis=2), (f[:, None] < f[None]).any(axis=2)
-    feasible = over <= 0
-    beats = np.where(feasible[:, None] & feasible[None], le & lt, over[:, None] < over[None])
-    rank, left, level = np.zeros(len(f), int), np.ones(len(f), bool), 0
-    while left.any():
-        front = left & ~(beats & left[:, None]).any(axis=0)
+        over = dense @ self.budget.cost - self.budget.limit
+        return np.stack([-(dense @ self.scores), -cover, repeat], axis=1), np.maximum(over, 0)
+
+
+def _fronts(f: np.ndarray, over: np.ndarray, enough: int) -> np.ndarray:
+    """Rank of each vector by constrained domination, until ``enough`` have one (the rest rank last)."""
+    # a violation stands in for the objectives, behind every feasible value
+    behind = np.abs(f).max(initial=0) + 1
+    f = np.where(over[:, None] > 0, behind + over[:, None], f)
+    a, b, c = np.ascontiguousarray(f.T, np.float64)
+    le = a[:, None] <= a
+    le &= b[:, None] <= b
+    le &= c[:, None] <= c
+    beats = le & ~le.T
+    ahead = beats.sum(axis=0, dtype=np.int16)
+    rank, level, done = np.full(len(f), np.iinfo(np.int16).max, np.int16), 0, 0
+    while done < min(enough, len(f)):
+        front = np.flatnonzero(ahead == 0)
         rank[front] = level
-        left &= ~front
-        level += 1
+        ahead -= beats[front].sum(axis=0, dtype=np.int16)
+        ahead[front] = -1
+        level, done = level + 1, done + len(front)
     return rank
 
 
-def _crowding(f: np.ndarray) -> np.ndarray:
+def _crowding(f: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Crowding distance of every vector inside its rank."""
     out = np.zeros(len(f))
     for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
-        span = f[order[-1], k] - f[order[0], k]
-        out[order[[0, -1]]] = np.inf
-        if span > 0 and len(f) > 2:
-            out[order[1:-1]] += (f[order[2:], k] - f[order[:-2], k]) / span
+        order = np.lexsort((f[:, k], rank))
+        value, r = f[order, k], rank[order]
+        first = np.concatenate([[True], r[1:] != r[:-1]])
+        edges = np.flatnonzero(first)
+        last = np.append(edges[1:], len(r)) - 1
+        span = np.repeat(value[last] - value[edges], np.diff(np.append(edges, len(r))))
+        gap = np.zeros(len(r))
+        gap[1:-1] = np.divide(value[2:] - value[:-2], span[1:-1], out=np.zeros(max(0, len(r) - 2)), where=span[1:-1] > 0)
+        gap[edges] = gap[last] = np.inf
+        out[order] += gap
     return out
 
 
+def _keys(x: np.ndarray) -> np.ndarray:
+    """A sortable key of each 0/1 vector."""
+    if x.shape[1] < 63:
+        return x @ (1 << np.arange(x.shape[1], dtype=np.int64))
+    packed = np.ascontiguousarray(np.packbits(x, axis=1))
+    return packed.view(np.dtype((np.void, packed.shape[1]))).ravel()
+
+
 def _subset_table(scores, sim, cost, method: str):
     """Importance, coverage, redundancy and cost of every subset, built by doubling."""
     n = len(scores)
@@ -248,47 +283,57 @@ def _subset_table(scores, sim, cost, method: str):
     return importance, cover, repeat, used
 
 
-def nsga2(scores, similarity, budget: Budget, weights=(1.0, 0.8, 0.7), method: str = "max", seed: int = 0, pop_size: int = 100, n_gen: int = 100, exact_up_to: int = EXACT_UP_TO) -> list[int]:
-    """The feasible Pareto subset with the largest weighted value of importance, coverage, redundancy.
+def best_subset(scores, similarity, budget: Budget, weights=(1.0, 0.8, 0.7), method: str = "max") -> list[int]:
+    """The feasible subset with the largest weighted value, by valuing all of them: the measure of :func:`nsga2`."""
+    scores, sim = np.asarray(scores, float), np.asarray(similarity, float)
+    n, (wi, wc, wr) = len(scores), weights
+    if not n:
+        return []
+    importance, cover, repeat, used = _subset_table(scores, sim, budget.cost, method)
+    value = np.round((wi * importance + wc * cover - wr * repeat) * GRID)
+    value[used > budget.limit] = -np.inf
+    best = int(value.argmax())
+    return [k for k in range(n) if best >> k & 1]
+
+
+def nsga2(scores, similarity, budget: Budget, weights=(1.0, 0.8, 0.7), method: str = "max", seed: int = 0, pop_size: int = 100, n_gen: int = 100) -> list[int]:
+    """The feasible vector of the last front with the largest weighted importance, coverage, redundancy.
 
-    Up to ``exact_up_to`` sentences every subset is valued, which gives the true optimum of the
-    front; above, the evolutionary search with non-dominated sorting and crowding runs.
+    Evolutionary search: random binary start, tournaments by rank and crowding, two-point crossover
+    (0.9), bit flips (1/n), no duplicates.  Where no more different vectors exist than the
+    population holds, they are the population and nothing can evolve.
     """
     scores, sim = np.asarray(scores, float), np.asarray(similarity, float)
     n, (wi, wc, wr) = len(scores), weights
     if n == 0:
         return []
-    if n <= exact_up_to:
-        importance, cover, repeat, used = _subset_table(scores, sim, budget.cost, method)
-        value = np.round((wi * importance + wc * cover - wr * repeat) * GRID)
-        value[used > budget.limit] = -np.inf
-        best = int(value.argmax())
-        return [k for k in range(n) if best >> k & 1]
     rng = np.random.default_rng(seed)
     problem = _Problem(scores, sim, budget, method)
-    x = np.unique(rng.random((pop_size, n)) < 0.5, axis=0)
+    if n < 30 and 1 << n <= pop_size:
+        x, n_gen = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(bool), 0
+    else:
+        x = rng.random((pop_size, n)) < 0.5
+        x = x[np.unique(_keys(x), return_index=True)[1]]
     f, over = problem.values(x)
-    rank = _fronts(f, over)
+    rank = _fronts(f, over, len(x))
+    crowd = _crowding(f, rank)
+    place = np.arange(n)
     for _ in range(n_gen):
-        crowd = np.zeros(len(x))
-        for r in np.unique(rank):
-            crowd[rank == r] = _crowding(f[rank == r])
         a, b = rng.integers(0, len(x), (2, 2 * pop_size))
         first = (rank[a] < rank[b]) | (rank[a] == rank[b]) & (crowd[a] >= crowd[b])
         parents = x[np.where(first, a, b)]
         left, right = parents[:pop_size], parents[pop_size:]
         cut = np.sort(rng.integers(0, n + 1, (pop_size, 2)), axis=1)
-        place = np.arange(n)
         middle = (place >= cut[:, :1]) & (place < cut[:, 1:]) & (rng.random((pop_size, 1)) < 0.9)
         child = np.where(middle, right, left) ^ (rng.random((pop_size, n)) < 1 / n)
-        merged = np.unique(np.concatenate([x, child]), axis=0)
-        f, over = problem.values(merged)
-        rank = _fronts(f, over)
-        crowd = np.zeros(len(merged))
-        for r in np.unique(rank):
-            crowd[rank == r] = _crowding(f[rank == r])
+        merged = np.concatenate([x, child])
+        fresh = np.sort(np.unique(_keys(merged), return_index=True)[1])[len(x) :]
+        merged, (new_f, new_over) = np.concatenate([x, merged[fresh]]), problem.values(merged[fresh])
+        f, over = np.concatenate([f, new_f]), np.concatenate([over, new_over])
+        rank = _fronts(f, over, pop_size)
+        crowd = _crowding(f, rank)
         keep = np.lexsort((-crowd, rank))[:pop_size]
-        x, f, over, rank = merged[keep], f[keep], over[keep], rank[keep]
+        x, f, over, rank, crowd = merged[keep], f[keep], over[keep], rank[keep], crowd[keep]
     front = (rank == 0) & (over <= 0)
     if not front.any():
         return []
@@ -323,11 +368,11 @@ def word_fill(scores, cost, max_words: int) -> list[int]:
 
 def near_dropped(places: list[int], similarity: np.ndarray, threshold: float) -> list[int]:
     """Keep, in order, places whose similarity to all kept ones is below the threshold."""
-    kept: list[int] = []
-    for k, i in enumerate(places):
-        if all(similarity[k, j] < threshold for j in (places.index(x) for x in kept)):
-            kept.append(i)
-    return kept
+    kept: list[int] = []  # rows of the matrix
+    for k in range(len(places)):
+        if not kept or (similarity[k, kept] < threshold).all():
+            kept.append(k)
+    return [places[k] for k in kept]
 
 
 # ---- overlap with a reference text ----

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,21 +19,47 @@ from .rouge import words
 Embed = Callable[[list[str]], np.ndarray]
 
 
-def stand_in_embedding(sentences: list[str], dim: int = 64) -> np.ndarray:
-    """A deterministic hashed bag of words.  It stands in for an encoder; no model is shipped."""
-    out = np.zeros((len(sentences), dim))
+@lru_cache(maxsize=1 << 16)
+def _slot(token: str) -> tuple[int, int]:
+    h = hashlib.md5(token.encode()).hexdigest()
+    return int(h[:2], 16) % 64, 1 if int(h[2], 16) >= 8 else -1
+
+
+def stand_in_embedding(sentences: list[str]) -> np.ndarray:
+    """A deterministic hashed bag of words in 64 dimensions.  It stands in for an encoder; no model is shipped."""
+    out = np.zeros((len(sentences), 64))
     for i, s in enumerate(sentences):
         for t in K.vectorizer_tokens(s):
-            h = zlib.crc32(t.encode())
-            out[i, h % dim] += 1 if h >> 16 & 1 else -1
+            k, sign = _slot(t)
+            out[i, k] += sign
     return out
 
 
+class Encoder:
+    """Sentence vectors by a model that is loaded once a worker and fed in batches.
+
+    ``load`` returns a function from a list of texts to an array; it runs at the first use in each
+    Python worker, since the loaded model is no part of what is shipped.
+    """
+
+    _loaded: dict = {}
+
+    def __init__(self, name: str, load: Callable[[], Embed], batch: int = 16):
+        self.name, self.load, self.batch = name, load, batch
+
+    def __call__(self, sentences: list[str]) -> np.ndarray:
+        if self.name not in Encoder._loaded:
+            Encoder._loaded[self.name] = self.load()
+        embed = Encoder._loaded[self.name]
+        parts = [np.asarray(embed(sentences[k : k + self.batch])) for k in range(0, len(sentences), self.batch)]
+        return np.concatenate(parts) if parts else np.zeros((0, 1))
+
+
 def costs(sentences: list[str]) -> np.ndarray:
     return np.array([len(s.split()) for s in sentences], np.int64)
 
 
-def features(sentences: list[str], cfg, similarity: np.ndarray | None) -> dict[str, np.ndarray]:
+def features(sentences: list[str], cfg, terms: K.TermVectors | None = None) -> dict[str, np.ndarray]:
     """The six feature vectors; those without weight stay zero and are not computed."""
     n, w = len(sentences), cfg.weights
     place = np.arange(n)
@@ -42,29 +70,29 @@ def features(sentences: list[str], cfg, similarity: np.ndarray | None) -> dict[s
         position = np.ones(n) if n <= 1 else 1 - place / (n - 1)
     zero = np.zeros(n)
     on = {k: abs(w.get(k, 0)) > 1e-9 for k in ("graph", "centrality", "novelty")}
-    sim = similarity
-    if sim is None and (on["graph"] or on["novelty"]):
-        sim = K.TermVectors(sentences).similarity()
+    if terms is None and any(on.values()):
+        terms = K.TermVectors(sentences)
     central = zero
     if on["centrality"]:
-        central = K.centrality(similarity) if similarity is not None else K.minmax(K.TermVectors(sentences).to_centroid())
+        central = K.centrality(terms) if cfg.similarity else K.minmax(np.round(terms.to_centroid(), 12))
     return {
         "importance": K.tf_isf_v2(sentences, cfg.stop_words, cfg.sublinear, cfg.bigrams) if cfg.importance_version == "v2" else K.tf_isf(sentences),
         "length": K.over_max(np.minimum(costs(sentences), 40).astype(float)),
         "position": position,
-        "graph": K.textrank(sim) if on["graph"] else zero,
+        "graph": K.textrank(terms) if on["graph"] else zero,
         "centrality": central,
-        "novelty": K.novelty(sim) if on["novelty"] else zero,
+        "novelty": K.novelty(terms) if on["novelty"] else zero,
     }
 
 
-def base_scores(sentences: list[str], cfg, similarity: np.ndarray | None = None) -> np.ndarray:
+def base_scores(sentences: list[str], cfg, terms: K.TermVectors | None = None) -> np.ndarray:
     """Features combined by the configured weights."""
     if not sentences:
         return np.zeros(0)
-    found, w = features(sentences, cfg, similarity), cfg.weights
+    found, w = features(sentences, cfg, terms), cfg.weights
     if cfg.fusion_version == "v2":
-        ready = {k: K.minmax(v) if w.get(k) else np.zeros(len(v)) for k, v in found.items()}
+        plain = cfg.normalize == "minmax"
+        ready = {k: (K.minmax(v) if plain else v) if w.get(k) else np.zeros(len(v)) for k, v in found.items()}
         total = sum(w.get(k, 0) * v for k, v in ready.items())
         for a, b, x in cfg.interactions:
             if a in ready and b in ready:
@@ -76,7 +104,9 @@ def base_scores(sentences: list[str], cfg, similarity: np.ndarray | None = None)
 class Pool:
     """Candidate sources of a document; rankings are made once and cut at any size."""
 
-    def __init__(self, sentences, scores, similarity, cfg):
+    def __init__(self, sentences, scores, cfg, terms: K.TermVectors | None = None):
+        if terms is None and {"centrality", "graph", "textrank"} & set(cfg.sources):
+            terms = K.TermVectors(sentences)
         self.n = len(sentences)
         self.scores = K.ranks(scores)
         self.orders = []
@@ -86,10 +116,9 @@ class Pool:
             elif name == "position":
                 self.orders.append(np.arange(self.n))
             elif name == "centrality":
-                self.orders.append(K.ranks(np.round(K.TermVectors(sentences).to_centroid(), 10)))
+                self.orders.append(K.ranks(np.round(terms.to_centroid(), 10)))
             elif name in ("graph", "textrank"):
-                p = K.textrank(similarity, cfg.graph_threshold) if similarity is not None else K.textrank(K.TermVectors(sentences).similarity())
-                self.orders.append(K.ranks(np.round(p, 10)))
+                self.orders.append(K.ranks(np.round(K.textrank(terms, cfg.graph_threshold if cfg.similarity else 0.0), 10)))
 
     def at(self, k: int) -> list[int]:
         """Union of the first ``k`` of every source, ascending."""
@@ -103,65 +132,108 @@ def document_seed(seed: int | None, key) -> int:
     return zlib.crc32(f"{seed}|{key}".encode())
 
 
+def _fused(sentences, scores, cfg):
+    terms = K.TermVectors(sentences, pairs=True, sublinear=True)
+    return cfg.w_base * K.minmax_zero(np.asarray(scores, float)) + cfg.w_semantic * K.minmax_zero(terms.to_centroid()), terms.similarity()
+
+
 def select(sentences, scores, similarity, cfg, key, embed: Embed = stand_in_embedding) -> tuple[list[int], str | None]:
-    """Run the configured selector; the second value says why another one had to step in."""
+    """Run the configured selector; the second value says why another one had to step in.
+
+    The multi-objective and the fused selector fall back to greedy if they can't run (without
+    similarity, or on a numerical failure); randomised fused ones and encoders raise.
+    """
     budget = S.Budget(costs(sentences), cfg.unit, cfg.max_tokens, cfg.max_sentences)
     weights = (cfg.lambda_importance, cfg.lambda_coverage, cfg.lambda_redundancy)
-    search = {"pop_size": cfg.pop_size, "n_gen": cfg.n_gen, "seed": document_seed(cfg.seed, key)}
+    seed = document_seed(cfg.seed, key)
+    search = {"pop_size": cfg.pop_size, "n_gen": cfg.n_gen, "seed": seed}
     if cfg.method in ("bert", "roberta", "xlnet"):
         return S.ranked_fill(K.embedding_centroid(embed(sentences)), budget), None
-    if cfg.method.startswith("fast"):
-        terms = K.TermVectors(sentences, pairs=True, sublinear=True)
-        sim = terms.similarity()
-        fused = cfg.w_base * K.minmax_zero(np.asarray(scores, float)) + cfg.w_semantic * K.minmax_zero(terms.to_centroid())
-        if cfg.method == "fast":
-            return S.greedy(fused, sim, budget, cfg.alpha), None
-        if cfg.method == "fast_grasp":
-            return S.grasp(fused, sim, budget, cfg.alpha, cfg.grasp_iters or 15, cfg.rcl_ratio, cfg.seed), None
+    if cfg.method == "fast_grasp":
+        fused, sim = _fused(sentences, scores, cfg)
+        return S.grasp(fused, sim, budget, cfg.alpha, cfg.grasp_iters or 15, cfg.rcl_ratio, seed), None
+    if cfg.method == "fast_nsga2":
+        fused, sim = _fused(sentences, scores, cfg)
         return S.nsga2(fused, sim, budget, weights, **search), None
+    if cfg.method == "fast":
+        try:
+            fused, sim = _fused(sentences, scores, cfg)
+            return S.greedy(fused, sim, budget, cfg.alpha), None
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+            return S.greedy(scores, None, budget, cfg.alpha), f"fast failed: {e}"
     if cfg.method == "grasp":
-        return S.grasp(scores, similarity, budget, cfg.alpha, cfg.grasp_iters or 10, cfg.rcl_ratio, cfg.seed), None
+        return S.grasp(scores, similarity, budget, cfg.alpha, cfg.grasp_iters or 10, cfg.rcl_ratio, seed), None
     if cfg.method == "nsga2":
         if similarity is None:
             return S.greedy(scores, None, budget, cfg.alpha), "nsga2 without similarity"
-        return S.nsga2(scores, similarity, budget, weights, cfg.coverage_method, **search), None
+        try:
+            return S.nsga2(scores, similarity, budget, weights, cfg.coverage_method, **search), None
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+            return S.greedy(scores, similarity, budget, cfg.alpha), f"nsga2 failed: {e}"
     return S.greedy(scores, similarity, budget, cfg.alpha), None
 
 
-def summarize_one(key, sentences: list[str], reference: str | None, cfg, embed: Embed = stand_in_embedding) -> dict:
-    """Summary of one document; no sentences give no places and an empty summary."""
-    sentences = [s or "" for s in sentences or ()]
+class Prepared:
+    """What several configurations share of one document: terms, base scores by weights, pools."""
+
+    def __init__(self, sentences: list[str] | None):
+        self.sentences = [s or "" for s in sentences or ()]
+        self._terms: K.TermVectors | None = None
+        self._scores: dict = {}
+
+    @property
+    def terms(self) -> K.TermVectors:
+        if self._terms is None:
+            self._terms = K.TermVectors(self.sentences)
+        return self._terms
+
+    def scores(self, cfg) -> np.ndarray:
+        mark = repr((cfg.similarity, cfg.importance_version, cfg.stop_words, cfg.sublinear, cfg.bigrams, cfg.position_version, cfg.position_method, cfg.position_decay, sorted(cfg.weights.items()), cfg.fusion_version, cfg.normalize, cfg.interactions))
+        if mark not in self._scores:
+            needs = any(abs(cfg.weights.get(k, 0)) > 1e-9 for k in ("graph", "centrality", "novelty"))
+            self._scores[mark] = base_scores(self.sentences, cfg, self.terms if needs else None)
+        return self._scores[mark]
+
+
+def summarize_one(key, sentences: list[str] | Prepared, reference: str | None, cfg, embed: Embed = stand_in_embedding) -> dict:
+    """Summary of one document; no sentences give no places and an empty summary.
+
+    The similarity matrix is made over the candidates only; what scores and pools need of the whole
+    document comes from row sums and products with its term vectors.
+    """
+    ready = sentences if isinstance(sentences, Prepared) else Prepared(sentences)
+    sentences = ready.sentences
     out = {"selected_indices": [], "summary": "", "fallback_reason": None}
     n = len(sentences)
     if not n:
         return out
-    similarity = K.TermVectors(sentences).similarity() if cfg.similarity else None
-    scores = base_scores(sentences, cfg, similarity)
-    pool = Pool(sentences, scores, similarity, cfg)
+    scores = ready.scores(cfg)
+    pool = Pool(sentences, scores, cfg, ready.terms if {"centrality", "graph", "textrank"} & set(cfg.sources) else None)
     k = cfg.k if cfg.k is not None else min(15, n)
     chosen = pool.at(k)
     if cfg.recall_target is not None:
-        oracle = set(S.greedy_oracle([words(s, False) for s in sentences], words(reference, False), costs(sentences), cfg.max_tokens or 10**9))
+        oracle = set(S.greedy_oracle([words(s, cfg.stemmed) for s in sentences], words(reference, cfg.stemmed), costs(sentences), cfg.max_tokens or 10**9))
         k = len(chosen)
         while oracle and len(oracle & set(chosen)) / len(oracle) < cfg.recall_target - 1e-12 and k < n:
             k = min(n, max(k + 1, -(-3 * k // 2)))
             chosen = pool.at(k)
-    if similarity is not None and {"graph", "textrank"} & set(cfg.sources):
-        similarity = K.thresholded(similarity, cfg.graph_threshold)
     back = list(range(n))
+    sentences_in = sentences
     if cfg.use_candidates and cfg.mode == "hard":
         back = chosen
         sentences_in = [sentences[i] for i in chosen]
         scores = scores[chosen]
-        similarity = similarity[np.ix_(chosen, chosen)] if similarity is not None else None
-    else:
-        sentences_in = sentences
-        if cfg.use_candidates:
-            scores = scores.copy()
-            scores[chosen] *= cfg.soft_boost
+    elif cfg.use_candidates:
+        scores = scores.copy()
+        scores[chosen] *= cfg.soft_boost
     if cfg.unit == "words":
         picked, reason = S.word_fill(scores, costs(sentences_in).tolist(), cfg.max_words), None
     else:
+        similarity = None
+        if cfg.similarity and cfg.method in ("greedy", "grasp", "nsga2"):
+            similarity = ready.terms.similarity(back)
+            if {"graph", "textrank"} & set(cfg.sources):
+                similarity = K.thresholded(similarity, cfg.graph_threshold)
         picked, reason = select(sentences_in, scores, similarity, cfg, key, embed)
     places = sorted(back[i] for i in picked)
     return {"selected_indices": places, "summary": " ".join(sentences[i] for i in places), "fallback_reason": reason}

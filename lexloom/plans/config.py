@@ -27,6 +27,7 @@ class Config:
     weights: dict = field(default_factory=lambda: {"importance": 1.0, "length": 0.3, "position": 0.3, "graph": 0.0, "centrality": 0.0, "novelty": 0.0})
     fusion_version: str = "v1"
     interactions: tuple = ()
+    normalize: str = "minmax"
     unit: str = "tokens"
     max_tokens: int | None = 100
     max_sentences: int | None = None
@@ -38,6 +39,7 @@ class Config:
     sources: tuple = ("score",)
     soft_boost: float = 1.05
     recall_target: float | None = None
+    stemmed: bool = True
     graph_threshold: float = 0.0
     method: str = "greedy"
     grasp_iters: int | None = None  # 10, and 15 for fast_grasp
@@ -67,6 +69,9 @@ class Config:
     def of(tree: dict[str, Any] | None) -> Config:
         """From the nested form; keys without a reader are reported and ignored."""
         tree = dict(tree or {})
+        vectors = str((tree.get("representations") or {}).get("method", "tfidf")).lower()
+        if vectors != "tfidf":
+            raise ValueError(f"unknown sentence vectors {vectors!r}: tfidf is the only kind")
         out: dict[str, Any] = {}
         for path, name in _PATHS.items():
             node: Any = tree
@@ -94,7 +99,7 @@ _PATHS = {
     "representations.use": "similarity", "features.tf_isf.version": "importance_version", "features.tf_isf.use_stopwords": "stop_words",
     "features.tf_isf.use_sublinear_tf": "sublinear", "features.tf_isf.use_bigrams": "bigrams", "features.position.version": "position_version",
     "features.position.method": "position_method", "features.position.decay": "position_decay", "features.fusion.version": "fusion_version",
-    "features.fusion.interactions": "interactions", "length_control.unit": "unit", "length_control.max_tokens": "max_tokens",
+    "features.fusion.interactions": "interactions", "features.fusion.normalize": "normalize", "length_control.unit": "unit", "length_control.max_tokens": "max_tokens",
     "length_control.max_sentences": "max_sentences", "length_control.max_words": "max_words", "redundancy.lambda": "alpha",
     "candidates.use": "use_candidates", "candidates.k": "k", "candidates.mode": "mode", "candidates.sources": "sources",
     "candidates.soft_boost": "soft_boost", "candidates.recall_target": "recall_target", "graph_params.threshold": "graph_threshold",

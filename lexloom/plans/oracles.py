@@ -100,12 +100,11 @@ def _top(order: str, source: str, k: int = 5) -> str:
 
 
 _P = "p AS (SELECT id, max_by({0}, {0}) AS v FROM processed WHERE id IS NOT NULL GROUP BY id), pd AS (SELECT id, list_filter(v.sentences, lambda s: s IS NOT NULL) AS sents FROM p WHERE v.sentences IS NOT NULL)".format("struct_pack(sentences := sentences, highlights := highlights)")
-_RUNS = ("greedy-k10-stage1", "nsga2-k10-stage1", "fast-k10-stage1")
 
 
 def _view(k: int) -> str:
     # as in the query, a null selection counts as the last one too
-    return f"v{k} AS (SELECT id, arg_max(struct_pack(s := selected_indices), struct_pack(a := written_at, b := pred_id)).s AS sel FROM predictions WHERE run_id = '{_RUNS[k]}' AND id IS NOT NULL GROUP BY id)"
+    return f"v{k} AS (SELECT id, arg_max(struct_pack(s := selected_indices), struct_pack(a := written_at, b := pred_id)).s AS sel FROM predictions WHERE run_id = (SELECT run_id FROM runs WHERE stage_name = 'stage1' AND keep_k = 10 ORDER BY run_no LIMIT 1 OFFSET {k}) AND id IS NOT NULL GROUP BY id)"
 
 
 def _union(cut: str) -> str:
@@ -176,7 +175,6 @@ def _rouge(n: int) -> str:
 
 
 _NUM = "n::DOUBLE"
-_FIRST3 = "pos < 3"
 _PAIR = "list_transform(string_split({0}, ' '), lambda t: t)"
 
 ORACLES = {
@@ -234,13 +232,6 @@ ORACLES = {
         SELECT pd.id, coalesce(a.base_scores, '') AS base_scores, CAST(len(pd.sents) AS BIGINT) AS n_sentences FROM pd LEFT JOIN a ON a.doc_id = pd.id""",
     "union_capped": f"""{_union('')}, {_PBASE}, m AS (SELECT id, unnest(places) AS pos FROM u), r AS (SELECT m.id, m.pos, row_number() OVER (PARTITION BY m.id ORDER BY round(base.score, 10) DESC, m.pos) AS k FROM m JOIN base ON base.doc_id = m.id AND base.pos = m.pos)
         SELECT id, CAST(pos AS BIGINT) AS pos FROM r WHERE k <= 4""",
-    "trim_sentences": f"WITH {_S} SELECT doc_id, pos, CAST(length(sentence) AS BIGINT) AS n_chars FROM s WHERE {_FIRST3}",
-    "grasp_objective": f"""{_UNI}, f AS (SELECT doc_id, pos, {_over_max('least(n, 40)::DOUBLE')} AS a, {_POSITION} AS b FROM s), g AS (SELECT doc_id, pos, {_over_max('a + b')} AS score FROM f),
-        o AS (SELECT doc_id, sum(score) AS o FROM g WHERE {_FIRST3} GROUP BY doc_id), {_SIM}, r AS (SELECT doc_id, sum(x) AS x FROM sim WHERE i < j AND j < 3 GROUP BY doc_id)
-        SELECT o.doc_id, round(o - (1 - 0.7::DOUBLE) * coalesce(x, 0.0), 6) AS value FROM o LEFT JOIN r ON o.doc_id = r.doc_id""",
-    "coverage_of_lead": f"""{_UNI}, {_SIM}, m AS (SELECT doc_id, i, max(x) AS x FROM sim WHERE j < 3 GROUP BY ALL), c AS (SELECT s.doc_id, any_value(cnt) AS cnt, avg(coalesce(x, 0.0)) AS c FROM s LEFT JOIN m ON s.doc_id = m.doc_id AND s.pos = m.i GROUP BY s.doc_id),
-        r AS (SELECT doc_id, sum(x) AS x FROM sim WHERE i < j AND j < 3 GROUP BY doc_id)
-        SELECT c.doc_id, round(c, 6) AS coverage, round(CASE WHEN cnt < 2 THEN 0.0 WHEN cnt = 2 THEN coalesce(x, 0.0) ELSE coalesce(x, 0.0) / 3 END, 6) AS redundancy FROM c LEFT JOIN r ON c.doc_id = r.doc_id""",
     "union_views": f"{_union('')} SELECT id, CAST(unnest(places) AS BIGINT) AS pos FROM u",
     "union_first_k": f"{_union('[1:2]')} SELECT id, CAST(unnest(places) AS BIGINT) AS pos FROM u",
     "ordered_union": f"""WITH {_P}, {_view(0)}, {_view(1)}, x AS (SELECT p.id, list_concat(coalesce(v0.sel, []), coalesce(v1.sel, [])) AS l FROM p LEFT JOIN v0 ON v0.id = p.id LEFT JOIN v1 ON v1.id = p.id),
@@ -248,12 +239,8 @@ ORACLES = {
     "rouge1": f"WITH {_rouge(1)} SELECT pred_id, rouge1 FROM f",
     "rouge2": f"WITH {_rouge(2)} SELECT pred_id, rouge2 FROM f",
     "rouge1_mean": f"WITH {_rouge(1)} SELECT run_id, CAST(sum(CAST(round(rouge1 * 1000000) AS BIGINT)) AS BIGINT) AS micro, count(*) AS n FROM f GROUP BY run_id",
-    "split_70_20_10": """WITH n AS (SELECT count(*) AS n FROM articles), c AS (SELECT n, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS a, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS b FROM n)
-        SELECT * FROM (SELECT 'train' AS split, a AS n FROM c UNION ALL SELECT 'validation', b FROM c UNION ALL SELECT 'test', n - a - b FROM c) WHERE n > 0""",
-    "sample_n": "SELECT least(count(*), 100) AS n FROM articles",
     "jsonl_to_csv": "SELECT pred_id, coalesce(summary, '') AS article, coalesce(nullif(reference, ''), '') AS reference FROM predictions",
     "run_summary_union": "SELECT run_id, selector, CAST(keep_k AS VARCHAR) AS keep_k, '' AS max_tokens FROM runs WHERE stage_name = 'stage1' UNION ALL SELECT run_id, '', '', CAST(max_tokens AS VARCHAR) FROM runs WHERE stage_name <> 'stage1'",
-    "hub_rows": f"""SELECT 'train_' || row_id AS id, CAST(len({_kept("replace(article, '|||||', ' ')")}) AS BIGINT) AS n_sentences, regexp_replace(trim(coalesce(highlights, '')), '^- ', '') AS highlights FROM articles""",
     "preprocessed": f"""WITH k AS (SELECT row_id, {_kept('article')}[1:25] AS k, highlights FROM articles) SELECT CAST(row_id AS VARCHAR) AS id, CAST(len(k) AS BIGINT) AS n_sentences, array_to_string(k, chr(10)) AS kept, coalesce(highlights, '') AS highlights FROM k""",
     "rerank_fuse": """WITH c AS (SELECT id, pred_id, summary, coalesce(len(selected_indices), 0)::DOUBLE AS b, length(summary)::DOUBLE AS c, row_number() OVER (PARTITION BY id ORDER BY pred_id) - 1 AS k FROM predictions WHERE id IS NOT NULL AND summary IS NOT NULL),
         m AS (SELECT *, (c - min(c) OVER (PARTITION BY id)) / (CASE WHEN max(c) OVER (PARTITION BY id) <= min(c) OVER (PARTITION BY id) THEN 1.0 ELSE max(c) OVER (PARTITION BY id) - min(c) OVER (PARTITION BY id) END) AS mc,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ from ..operators import fusion as U
 from ..operators import kernels as K
 from ..operators import selectors as S
 from ..operators.arrow import per_document
-from ..operators.summarize import Pool, base_scores, costs, summarize, summarize_one
+from ..operators.summarize import Pool, base_scores, costs, features, summarize, summarize_one
 from ..sources import formats
-from ..sources.tables import read_table, spread
-from .config import PRESETS, Config
-from .service import Request, two_stage
+from ..sources.tables import read_table, scratch, spread
+from ..streaming import read_documents, summarize_stream
+from .config import PRESETS, Config, stage1
+from .service import Request, handle, health, legacy_request, payload_of, register_functions, two_stage
 
 QUERIES: dict = {}
 
@@ -41,6 +44,12 @@ def _processed(spark, d):
     return spread(U.last_by_id(rows, ["sentences", "highlights"], ["sentences", "highlights"]))
 
 
+def _stage1_runs(spark, d, n=3):
+    """The first ``n`` first-stage runs that keep ten sentences; ``runs`` does not grow."""
+    rows = read_table(spark, d, "runs").where("stage_name = 'stage1' AND keep_k = 10").orderBy("run_no").limit(n).collect()
+    return [r.run_id for r in rows]
+
+
 def _view(spark, d, run_id):
     """The last predictions of one run for each id."""
     rows = read_table(spark, d, "predictions").where(F.col("run_id") == run_id)
@@ -231,32 +240,28 @@ def centroid_cosine(spark, d):
 @query
 def centrality(spark, d):
     """From row sums in linear form; the matrix is never made."""
-    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.minmax(np.round(K.TermVectors(s).row_sums() / len(s), 12)))
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.centrality(K.TermVectors(s)))
 
 
 @query
 def novelty(spark, d):
-    def score(s):
-        n = len(s)
-        return np.ones(1) if n == 1 else K.minmax(np.round(1 - (K.TermVectors(s).row_sums() - 1) / (n - 1), 12))
-
-    return O.kernel_scores(_docs(spark, d), "score", score)
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.novelty(K.TermVectors(s)))
 
 
 @query
 def textrank(spark, d):
-    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.textrank(K.TermVectors(s).similarity()))
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.textrank(K.TermVectors(s)))
 
 
 @query
 def textrank_threshold(spark, d):
-    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.textrank(K.TermVectors(s).similarity(), 0.2))
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.textrank(K.TermVectors(s), 0.2))
 
 
 @query
 def textrank_steps(spark, d):
     """Eight steps of the iteration, without early stop."""
-    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.textrank(K.TermVectors(s).similarity(), most=8, eps=0.0))
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: K.textrank(K.TermVectors(s), most=8, eps=0.0))
 
 
 @query
@@ -298,7 +303,7 @@ def topk_centrality(spark, d):
 
 @query
 def topk_graph(spark, d):
-    return _kernel_places(_docs(spark, d), lambda s: sorted(K.ranks(np.round(K.textrank(K.TermVectors(s).similarity(), 0.2), 10))[:5].tolist()))
+    return _kernel_places(_docs(spark, d), lambda s: sorted(K.ranks(np.round(K.textrank(K.TermVectors(s), 0.2), 10))[:5].tolist()))
 
 
 @query
@@ -307,7 +312,7 @@ def candidate_union(spark, d):
     cfg = Config(sources=("score", "position", "centrality"))
 
     def pick(s):
-        return Pool(s, np.round(base_scores(s, cfg), 9), None, cfg).at(5)
+        return Pool(s, np.round(base_scores(s, cfg), 9), cfg).at(5)
 
     return _kernel_places(_docs(spark, d), pick)
 
@@ -321,9 +326,9 @@ def soft_boost(spark, d):
 
 @query
 def oracle_candidates(spark, d):
-    """Greedy ROUGE-1 oracle against the first three sentences, 60 tokens."""
+    """Greedy ROUGE-1 oracle (stemmed) against the first three sentences, 60 tokens."""
     def pick(s):
-        words = [E.rouge.words(x, False) for x in s]
+        words = [E.rouge.words(x) for x in s]
         return S.greedy_oracle(words, [w for x in words[:3] for w in x], costs(s), 60)
 
     return _kernel_places(_docs(spark, d), pick)
@@ -331,7 +336,23 @@ def oracle_candidates(spark, d):
 
 @query
 def recall_target(spark, d):
-    return summarize(_as_ids(_docs(spark, d)), Config(k=3, recall_target=0.8)).select("id", "selected_indices")
+    """Pools grow until they hold four fifths of the oracle's sentences."""
+    found = summarize(_as_ids(_docs(spark, d)), Config(k=3, recall_target=0.8))
+    return found.select("id", F.array_join("selected_indices", ",").alias("places"), "summary")
+
+
+@query
+def weight_gates(spark, d):
+    """Base scores with a graph weight too small to count and an importance weight of zero."""
+    cfg = Config(weights={"importance": 0.0, "length": 1.0, "position": 1.0, "graph": 1e-10})
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: base_scores(s, cfg) + 1e-9)  # off the ties of rounding
+
+
+@query
+def centroid_centrality(spark, d):
+    """Centrality without a similarity matrix."""
+    cfg = Config(similarity=False, weights={"centrality": 1.0})
+    return O.kernel_scores(_docs(spark, d), "score", lambda s: features(s, cfg)["centrality"])
 
 
 # ---- length control ----
@@ -344,7 +365,7 @@ def trim_tokens(spark, d):
 
 @query
 def trim_sentences(spark, d):
-    return O.long_form(O.documents(_texts(spark, d), most=3), F.transform("sentences", lambda s: F.length(s).cast("bigint")), "n_chars")
+    return O.long_form(O.documents(_texts(spark, d), most=3), F.col("sentences"), "sentence")
 
 
 @query
@@ -419,40 +440,77 @@ def words_preset(spark, d):
     return _selection(spark, d, PRESETS["400words"])
 
 
+@query
+def grasp_plain(spark, d):
+    """GRASP with a candidate list of one: construction and local search without chance."""
+    return _selection(spark, d, Config(method="grasp", rcl_ratio=0.0, seed=2024))
+
+
+@query
+def fast_grasp_plain(spark, d):
+    return _selection(spark, d, Config(method="fast_grasp", rcl_ratio=0.0, seed=2024))
+
+
+@query
+def nsga2_small_pool(spark, d):
+    """Pools of six: the population holds every subset, so the best of the front is known."""
+    return _selection(spark, d, Config(method="nsga2", k=6, coverage_method="set", seed=2024))
+
+
+@query
+def nsga2_diversity_small_pool(spark, d):
+    return _selection(spark, d, Config(method="nsga2", k=6, coverage_method="diversity", seed=2024))
+
+
+@query
+def fast_nsga2_small_pool(spark, d):
+    return _selection(spark, d, PRESETS["fusion"].with_(k=6))
+
+
+@query
+def nsga2_base_preset(spark, d):
+    """The first benchmark view: pools of 40, 300 tokens."""
+    return _selection(spark, d, PRESETS["base"])
+
+
+@query
+def fallback_without_similarity(spark, d):
+    """The multi-objective selector steps back to greedy where there is no similarity."""
+    found = summarize(_as_ids(_docs(spark, d)), Config(method="nsga2", similarity=False))
+    return found.select("id", F.array_join("selected_indices", ",").alias("places"), "summary", "fallback_reason")
+
+
 @query
 def grasp_objective(spark, d):
-    """Objective of the first three sentences."""
+    """Objective of the first ten sentences under the base scores."""
     def make(row):
         s = row["sentences"] or []
         if not s:
             return []
-        scores = base_scores(s, Config(weights={"importance": 0.0, "length": 1.0, "position": 1.0}))
-        return [(row["doc_id"], round(S.objective(range(min(3, len(s))), scores, K.TermVectors(s).similarity(), 0.7), 6))]
+        lead = range(min(10, len(s)))
+        return [(row["doc_id"], round(S.objective(lead, base_scores(s, Config()), K.TermVectors(s).similarity(lead), 0.7) + 1e-9, 6))]
 
     return per_document(_docs(spark, d), "doc_id bigint, value double", make)
 
 
 @query
 def coverage_of_lead(spark, d):
-    """Coverage and redundancy of the first three sentences."""
+    """Coverage of each kind, and redundancy, of every second sentence."""
     def make(row):
         s = row["sentences"] or []
         if not s:
             return []
-        sim, lead = K.TermVectors(s).similarity(), list(range(min(3, len(s))))
-        return [(row["doc_id"], round(S.coverage(sim, lead), 6), round(S.redundancy(sim, lead), 6))]
+        sim, lead = K.TermVectors(s).similarity(), list(range(0, len(s), 2))
+        return [(row["doc_id"], *(round(S.coverage(sim, lead, m), 6) for m in ("max", "set", "diversity")), round(S.redundancy(sim, lead), 6))]
 
-    return per_document(_docs(spark, d), "doc_id bigint, coverage double, redundancy double", make)
+    return per_document(_docs(spark, d), "doc_id bigint, coverage double, coverage_set double, coverage_diversity double, redundancy double", make)
 
 
 # ---- fusion ----
 
-_RUNS = ("greedy-k10-stage1", "nsga2-k10-stage1", "fast-k10-stage1")
-
-
 def _three(spark, d, first=None):
     docs = _processed(spark, d).select("id", F.filter("sentences", lambda s: s.isNotNull()).alias("sentences")).where("sentences IS NOT NULL")
-    return U.union_views(docs, [_view(spark, d, r) for r in _RUNS], first)
+    return U.union_views(docs, [_view(spark, d, r) for r in _stage1_runs(spark, d)], first)
 
 
 @query
@@ -473,9 +531,11 @@ def union_capped(spark, d):
 
 @query
 def ordered_union(spark, d):
-    views = [_view(spark, d, r).withColumnRenamed("selected_indices", f"v{k}") for k, r in enumerate(_RUNS[:2])]
-    joined = _processed(spark, d).select("id").join(views[0], "id", "left").join(views[1], "id", "left")
-    return joined.select("id", F.array_join(U.ordered_union([F.col("v0"), F.col("v1")], 6), ",").alias("places"))
+    joined, names = _processed(spark, d).select("id"), []
+    for k, r in enumerate(_stage1_runs(spark, d, 2)):
+        joined = joined.join(_view(spark, d, r).withColumnRenamed("selected_indices", f"v{k}"), "id", "left")
+        names.append(F.col(f"v{k}"))
+    return joined.select("id", F.array_join(U.ordered_union(names, 6), ",").alias("places"))
 
 
 @query
@@ -483,6 +543,47 @@ def near_dup_drop(spark, d):
     return U.near_dropped(_three(spark, d), 0.9).select("id", F.explode(F.col("orig_indices").cast("array<bigint>")).alias("pos"))
 
 
+@query
+def union_documents(spark, d):
+    """The sentences of every union document."""
+    united = U.sub_lists(_three(spark, d))
+    return united.select("id", F.array_join(F.transform("sentences", lambda s: F.coalesce(s, F.lit(""))), " | ").alias("members"))
+
+
+@query
+def fusion_fast(spark, d):
+    """Three stored views, near-duplicates dropped, cap, and the fused greedy selection over the union document."""
+    united = U.sub_lists(U.capped(U.near_dropped(_three(spark, d)), 6))
+    final = summarize(united.withColumn("highlights", F.lit("")), Config(method="fast", max_tokens=60, use_candidates=False))
+    return final.select("id", F.array_join("selected_indices", ",").alias("places"), "summary")
+
+
+def _scored_docs(spark, d):
+    return _processed(spark, d).where("sentences IS NOT NULL")
+
+
+@query
+def three_view_benchmark(spark, d):
+    """The benchmark of three own views (multi-objective, encoder, graph), their union and the final selection."""
+    found = E.view_pipeline(_scored_docs(spark, d), [PRESETS["base"], PRESETS["encoder"], PRESETS["graph"]], PRESETS["fusion"].with_(use_candidates=False))
+    return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("view0", "view1", "view2", "union", "selected_indices")), "summary")
+
+
+@query
+def three_view_metrics(spark, d):
+    """ROUGE of the three-view benchmark."""
+    found = E.view_pipeline(_scored_docs(spark, d), [PRESETS["base"], PRESETS["encoder"], PRESETS["graph"]], PRESETS["fusion"].with_(use_candidates=False))
+    return E.metric_rows(E.rouge_mean(E.rouge_rows(found, "id")))
+
+
+@query
+def two_base_routes(spark, d):
+    """Two metaheuristic first stages instead of an encoder, united, and the fused selection."""
+    routes = [Config(method=m, unit="sentences", max_sentences=10, k=10, seed=2024) for m in ("grasp", "nsga2")]
+    found = E.view_pipeline(_scored_docs(spark, d), routes, Config(method="fast", unit="sentences", max_sentences=3, use_candidates=False), cap=15)
+    return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("view0", "view1", "union", "selected_indices")), "summary")
+
+
 @query
 def fusion_pipeline(spark, d):
     """Three views, near-duplicates dropped, cap, and the final selection over the union document."""
@@ -498,7 +599,7 @@ def service_two_stage(spark, d):
     reports = F.split(F.coalesce("article", F.lit("")), r"\|{5}")
     docs = rows.select(F.col("row_id").cast("string").alias("id"), F.flatten(F.transform(reports, T.split_sentences)).alias("sentences"))
     request = Request(["-"], ["greedy"], ["bert"], max_sentences=3)
-    return two_stage(docs, request).select("id", "selected_indices", "candidate_indices", "summary")
+    return two_stage(docs, request).select("id", F.array_join("selected_indices", ",").alias("places"), F.array_join("candidate_indices", ",").alias("candidates"), "summary")
 
 
 # ---- evaluation ----
@@ -524,8 +625,7 @@ def rouge_stemmed(spark, d):
 
 
 def _scored_runs(spark, d):
-    rows = _predictions(spark, d)
-    return rows.select("pred_id", "run_id").join(E.rouge_rows(rows, "pred_id"), "pred_id")
+    return E.rouge_rows(_predictions(spark, d), "pred_id", keep=("run_id",))
 
 
 @query
@@ -536,8 +636,8 @@ def rouge_mean(spark, d):
 @query
 def rouge1_mean(spark, d):
     """Sum (in millionths) and count of unstemmed ROUGE-1 by run."""
-    rows = _predictions(spark, d)
-    return rows.join(E.ngram_f(rows, "pred_id", 1), "pred_id").groupBy("run_id").agg(F.sum(F.round(F.col("rouge1") * 1_000_000).cast("bigint")).alias("micro"), F.count(F.lit(1)).alias("n"))
+    scored = E.ngram_f(_predictions(spark, d), "pred_id", 1, keep=("run_id",))
+    return scored.groupBy("run_id").agg(F.sum(F.round(F.col("rouge1") * 1_000_000).cast("bigint")).alias("micro"), F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -545,16 +645,97 @@ def metric_rows(spark, d):
     return E.metric_rows(E.rouge_mean(E.rouge_rows(_predictions(spark, d), "pred_id")))
 
 
+@query
+def metrics_file(spark, d):
+    """The metrics written to a file and read back."""
+    path = scratch(spark, "metrics")
+    formats.write_metrics(metric_rows(spark, d), path)
+    return formats.read_metrics(spark, path)
+
+
 @query
 def best_runs(spark, d):
     """The ten best runs by mean ROUGE; the ten are the report's own limit."""
     return formats.best_runs(E.rouge_mean(_scored_runs(spark, d), "run_id"))
 
 
+@query
+def selector_grid(spark, d):
+    """Mean ROUGE of the fused selector by weight and trade-off, straight on the records."""
+    configs = [({"w_base": w, "alpha": a}, Config(method="fast", unit="sentences", max_sentences=3, w_base=w, w_semantic=1 - w, alpha=a)) for w in (0.3, 0.7) for a in (0.5, 0.7)]
+    return E.grid(_scored_docs(spark, d), configs)
+
+
+def _settings(**values):
+    """Every combination of the values."""
+    names = list(values)
+    return [dict(zip(names, x)) for x in itertools.product(*values.values())]
+
+
 @query
 def grid_fusion(spark, d):
-    configs = [({"method": m, "w_base": w, "alpha": a}, Config(method=m, unit="sentences", max_sentences=3, w_base=w, w_semantic=1 - w, alpha=a)) for m in ("fast",) for w in (0.3, 0.7) for a in (0.5, 0.7)]
-    return E.grid(_processed(spark, d).where("sentences IS NOT NULL"), configs)
+    """The whole grid: views of k1 and k2 sentences, cap, final method, weights and trade-off."""
+    return E.fusion_grid(_scored_docs(spark, d), _settings(k1=[5, 10], k2=[5, 10], cap=[8, 15], method=["fast", "fast_grasp", "fast_nsga2"], w_base=[0.5], alpha=[0.7]))
+
+
+def _two_stored(spark, d):
+    runs = _stage1_runs(spark, d, 2)
+    docs = _scored_docs(spark, d)
+    for k in range(2):
+        if k < len(runs):
+            docs = docs.join(_view(spark, d, runs[k]).withColumnRenamed("selected_indices", f"view{k}"), "id", "left")
+        else:
+            docs = docs.withColumn(f"view{k}", F.lit(None).cast("array<int>"))
+    return docs
+
+
+@query
+def stage2_grid(spark, d):
+    """Second-stage settings over the union of two stored views, near-duplicates dropped."""
+    return E.fusion_grid(_two_stored(spark, d), _settings(k1=[10], k2=[10], cap=[4, 8], method=["fast"], w_base=[0.3, 0.7], alpha=[0.5, 0.9]))
+
+
+def _split_docs(spark, d):
+    rows = spread(read_table(spark, d, "articles").select(F.col("row_id").alias("id"), "article", "highlights", formats.split_name(F.col("split_name")).alias("split")))
+    ready = rows.where("split IN ('train', 'validation', 'test')")
+    kept = T.first_sentences(T.at_least(T.split_sentences(F.col("article"))), 25)
+    return ready.select(F.col("id").cast("string").alias("id"), kept.alias("sentences"), F.coalesce("highlights", F.lit("")).alias("highlights"), "split")
+
+
+@query
+def selectors_by_split(spark, d):
+    """The benchmark of selectors by split: every article, two deterministic selectors."""
+    configs = [({"method": "greedy"}, Config(unit="sentences", max_sentences=3)), ({"method": "fast"}, Config(method="fast", unit="sentences", max_sentences=3))]
+    return E.grid(_split_docs(spark, d), configs, "split")
+
+
+@query
+def randomized_selectors_by_split(spark, d):
+    """The same benchmark with the searching selectors."""
+    configs = [({"method": m}, Config(method=m, unit="sentences", max_sentences=3, seed=2024)) for m in ("grasp", "nsga2", "fast_grasp", "fast_nsga2")]
+    return E.grid(_split_docs(spark, d), configs, "split")
+
+
+@query
+def timed_two_phases(spark, d):
+    """Select, write, read back and evaluate with timers; the seconds are left out, since they differ."""
+    rows = E.timed_run(_scored_docs(spark, d), Config(unit="sentences", max_sentences=3), scratch(spark, "timed"))
+    return rows.where("metric LIKE 'rouge%'")
+
+
+@query
+def tune_with_skip(spark, d):
+    """A tuning run twice over: the second time finished settings are skipped."""
+    path = scratch(spark, "tune")
+    configs = {f"k{k}": Config(unit="sentences", max_sentences=k) for k in (1, 3)}
+    first = E.tune(_scored_docs(spark, d), {"k1": configs["k1"]}, path)
+    second = E.tune(_scored_docs(spark, d), configs, path)
+    names = spark.createDataFrame([(n, n in first, n in second) for n in configs], "name string, ran_first boolean, ran_second boolean")
+    metrics = None
+    for n in configs:
+        one = formats.read_metrics(spark, f"{path}/{n}/metrics").where("metric = 'rouge1'").select(F.lit(n).alias("name"), F.col("value").alias("rouge1"))
+        metrics = one if metrics is None else metrics.unionByName(one)
+    return names.join(metrics, "name")
 
 
 @query
@@ -566,18 +747,191 @@ def rerank_fuse(spark, d):
     return E.rerank(grouped, 0.7, 0.3).select("id", F.array_join("rerank_order", ",").alias("rerank_order"), "summary")
 
 
+def _word_overlap(texts, summaries):
+    """A scorer for tests: distinct lower-case words of the summary that the text holds."""
+    return [float(len(set(b.lower().split()) & set(a.lower().split()))) for a, b in zip(texts, summaries)]
+
+
+@query
+def rerank_files(spark, d):
+    """Candidates read from JSON lines, scored by word overlap with the reference, and reranked."""
+    rows = read_table(spark, d, "predictions").where("id IS NOT NULL AND summary IS NOT NULL")
+    one = F.struct("pred_id", "summary", F.col("selected_indices").alias("indices"), F.coalesce(F.size("selected_indices"), F.lit(0)).cast("double").alias("base_score"))
+    grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("c"), F.min("reference").alias("article"))
+    path = scratch(spark, "candidates")
+    formats.write_jsonl(grouped.select("id", "article", F.transform("c", lambda x: F.struct(x["summary"].alias("summary"), x["indices"].alias("indices"), x["base_score"].alias("base_score"))).alias("candidates")), path)
+    found = E.rerank_job(formats.read_jsonl(spark, path, formats.CANDIDATES), scorer=_word_overlap, w_ce=0.6, w_base=0.4, normalize="none")
+    return found.select("id", F.array_join("rerank_order", ",").alias("rerank_order"), "summary")
+
+
 # ---- tables ----
 
 
+@query
+def csv_scan(spark, d):
+    """Articles through a CSV file with quotes and line breaks in its fields."""
+    path = scratch(spark, "articles-csv")
+    rows = read_table(spark, d, "articles").select(F.col("row_id").cast("string").alias("id"), "article", "highlights")
+    formats.write_csv(rows, path)
+    back = formats.read_csv(spark, path)
+    return back.select("id", F.coalesce("article", F.lit("")).alias("article"), F.coalesce("highlights", F.lit("")).alias("highlights"))
+
+
+@query
+def jsonl_scan(spark, d):
+    """Processed records through JSON lines."""
+    path = scratch(spark, "processed-jsonl")
+    formats.write_jsonl(read_table(spark, d, "processed").select("id", "sentences", "highlights"), path)
+    back = formats.read_jsonl(spark, path)
+    return back.select("id", F.size("sentences").cast("bigint").alias("n"), F.array_join("sentences", "\n").alias("joined"), "highlights")
+
+
+@query
+def tagged_scan(spark, d):
+    """Topic folders with tagged files, one topic for each language of the small language table."""
+    root = scratch(spark, "topics")
+    for r in read_table(spark, d, "languages").collect() if formats.exists(spark, f"{d}/languages.parquet") else []:
+        formats.write_text(spark, f"{root}/{r.lang}/b.S", f"<DOC><TEXT><s n='2'> {r.lang_title} </s></TEXT><s>outside</s></DOC>")
+        formats.write_text(spark, f"{root}/{r.lang}/a.S", f"<TEXT>\n<s n='1'>{r.lang}</s>\n<s>again</s></TEXT>")
+        if r.lang > "e":
+            formats.write_text(spark, f"{root}/{r.lang}.A", f" {r.lang_title}\n")
+    return formats.tagged_topics(spark, root)
+
+
+@query
+def run_sidecars(spark, d):
+    """A run's predictions and its sidecars, written and read back."""
+    path = scratch(spark, "run")
+    rows = read_table(spark, d, "runs").select(F.col("run_id").alias("id"), F.array("run_no").alias("selected_indices"), F.col("selector").alias("summary"), F.col("stage_name").alias("reference"))
+    formats.write_run(rows, path, {"method": "greedy", "k": 3})
+    told = spark.read.parquet(f"{path}/_run_metadata").select(F.get_json_object("config", "$.method").alias("method"), (F.col("select_seconds") >= 0).alias("timed"))
+    side = spark.read.text(f"{path}/config_used.json", wholetext=True).select(F.get_json_object("value", "$.k").alias("k"))
+    return formats.read_jsonl(spark, f"{path}/predictions.jsonl", formats.PREDICTIONS).select("id", "summary", F.array_join("selected_indices", ",").alias("places")).crossJoin(told).crossJoin(side)
+
+
+@query
+def run_layouts(spark, d):
+    """Stage, method and sizes out of run folder names."""
+    name = F.when(F.col("stage_name") == "stage1", F.format_string("tune1-%s-k%d-20240101-101010", "selector", "keep_k")).otherwise(F.format_string("fast2-fast_grasp-k1%d-k2%d-cap%d-20240101-101010-x", "run_no", "keep_k", "max_tokens"))
+    return formats.run_layout(read_table(spark, d, "runs").select(name.alias("name")))
+
+
+@query
+def summary_files(spark, d):
+    """Run summaries of several CSV files with different columns, found by a pattern."""
+    root = scratch(spark, "summaries")
+    runs = read_table(spark, d, "runs")
+    formats.write_csv(runs.where("stage_name = 'stage1'").select("run_id", "selector", "keep_k"), f"{root}/tune_summary_1.csv")
+    formats.write_csv(runs.where("stage_name <> 'stage1'").select("run_id", "max_tokens"), f"{root}/tune_summary_2.csv")
+    return formats.read_summaries(spark, f"{root}/tune_summary_*.csv")
+
+
+@query
+def split_files(spark, d):
+    """Files of the splits found by any of their names."""
+    root = scratch(spark, "splits")
+    rows = read_table(spark, d, "articles").select(F.col("row_id").cast("string").alias("id"), formats.split_name(F.col("split_name")).alias("split"))
+    for split, file in (("train", "train"), ("validation", "dev.jsonl"), ("test", "test/test.jsonl")):
+        formats.write_jsonl(rows.where(F.col("split") == split), f"{root}/{file}")
+    found = None
+    for split in ("train", "validation", "test"):
+        one = formats.read_jsonl(spark, formats.split_path(spark, root, split), "id string, split string").withColumn("wanted", F.lit(split))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query
+def dashed_documents(spark, d):
+    """Reports of an article as documents parted by lines of dashes."""
+    rows = read_table(spark, d, "articles").select("row_id", F.replace("article", F.lit("|||||"), F.lit("\n-----\n")).alias("text"))
+    return rows.select("row_id", F.posexplode(T.dashed_documents(F.col("text"))).alias("pos", "document")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query
+def stage1_configs(spark, d):
+    """First-stage configurations generated for the stored runs (a table that does not grow)."""
+    known = [r for r in read_table(spark, d, "runs").where("stage_name = 'stage1'").collect()]
+    made = [(r.run_id, stage1(r.selector, r.keep_k)) for r in known]
+    return spark.createDataFrame([(n, c.method, c.unit, c.max_sentences, c.k, c.use_candidates) for n, c in made], "run_id string, method string, unit string, max_sentences int, k int, use_candidates boolean")
+
+
+@query
+def yaml_configs(spark, d):
+    """Nested configurations through YAML files."""
+    import yaml
+
+    root, out = scratch(spark, "configs"), []
+    for r in read_table(spark, d, "runs").where("selector NOT IN ('bert', 'xlnet')").collect():
+        tree = {"optimizer": {"method": r.selector}, "length_control": {"unit": "tokens", "max_tokens": r.max_tokens}, "candidates": {"k": r.keep_k, "sources": ["score", "position"]}, "seed": r.seed}
+        formats.write_text(spark, f"{root}/{r.run_id}.yaml", yaml.safe_dump(tree))
+        text = spark.read.text(f"{root}/{r.run_id}.yaml", wholetext=True).first()[0]
+        c = Config.of(yaml.safe_load(text))
+        out.append((r.run_id, c.method, c.max_tokens, c.k, ",".join(c.sources), c.seed))
+    return spark.createDataFrame(out, "run_id string, method string, max_tokens int, k int, sources string, seed int")
+
+
+@query
+def sample_then_limit(spark, d):
+    """Half of the articles by a seeded hash, and the first hundred of these; the hundred are the operator's limit."""
+    rows = read_table(spark, d, "articles").select(F.col("row_id").alias("id"), "article", "highlights")
+    return formats.preprocess(rows, share=0.5, limit=100).select("id", F.size("sentences").cast("bigint").alias("n_sentences"), "highlights")
+
+
+@query
+def hub_limit(spark, d):
+    """The first fifty rows of a multi-report set; the fifty are the operator's limit."""
+    rows = read_table(spark, d, "articles").select("row_id", "article", "highlights")
+    return formats.hub_rows(rows, "test", 50, "article", "highlights", "row_id").select("id", F.array_join("sentences", "\n").alias("kept"), "highlights")
+
+
+@query
+def sql_functions(spark, d):
+    """The registered SQL functions over whole tables."""
+    register_functions(spark)
+    read_table(spark, d, "predictions").createOrReplaceTempView("lexloom_predictions")
+    return spark.sql("SELECT pred_id, count_tokens(summary) AS n_tokens, array_join(split_sentences(summary), '|') AS sentences, round(rouge_f(summary, reference), 6) AS rouge1 FROM lexloom_predictions")
+
+
+@query
+def sentence_token_function(spark, d):
+    """The table function of sentence tokens, joined laterally."""
+    register_functions(spark)
+    read_table(spark, d, "predictions").createOrReplaceTempView("lexloom_predictions")
+    return spark.sql("SELECT p.pred_id, CAST(t.pos AS BIGINT) AS pos, t.token FROM lexloom_predictions p, LATERAL sentence_tokens(p.summary) t")
+
+
+@query
+def streamed_summaries(spark, d):
+    """Documents through a stream of JSON lines to summaries in parquet."""
+    root = scratch(spark, "stream")
+    formats.write_jsonl(_as_ids(_docs(spark, d)), f"{root}/in")
+    summarize_stream(read_documents(spark, f"{root}/in"), Config(), f"{root}/out", f"{root}/log").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("id", F.array_join("selected_indices", ",").alias("places"), "summary")
+
+
+@query
+def service_answers(spark, d):
+    """Whole answers of the request surface to the request presets, over texts of the small language table."""
+    out = []
+    known = read_table(spark, d, "languages").orderBy("lang").collect() if formats.exists(spark, f"{d}/languages.parquet") else []
+    for r in known:
+        text = f"{r.lang_title} comes first. A second sentence stands here.\n---\nThe code is {r.lang}!"
+        status, body = handle(spark, {**payload_of("news-3sent", text), "reference": r.lang_title})
+        out.append((r.lang, status, body["summary"], len(body["candidate_indices"]), round(body["metrics"]["rouge1"], 6)))
+    bad = handle(spark, {"documents": []})[0]
+    legacy = legacy_request({"text": "A b c.", "unit": "tokens", "limit": 100})
+    return spark.createDataFrame([(*x, bad, legacy.limit, health()["status"]) for x in out], "lang string, status int, summary string, n_candidates int, rouge1 double, bad_status int, legacy_limit int, health string")
+
+
 @query
 def split_70_20_10(spark, d):
-    return formats.split_rows(read_table(spark, d, "articles").select("row_id"), "row_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return formats.split_rows(read_table(spark, d, "articles").select("row_id"), "row_id")
 
 
 @query
 def sample_n(spark, d):
-    """A seeded sample of a hundred rows; counted, since hashes differ between engines."""
-    return formats.sample_n(read_table(spark, d, "articles").select("row_id"), "row_id", 100).agg(F.count(F.lit(1)).alias("n"))
+    """A seeded sample of a hundred rows."""
+    return formats.sample_n(read_table(spark, d, "articles").select("row_id"), "row_id", 100)
 
 
 @query
@@ -595,7 +949,7 @@ def run_summary_union(spark, d):
 @query
 def hub_rows(spark, d):
     rows = spread(read_table(spark, d, "articles").select("row_id", "article", "highlights"))
-    return formats.hub_rows(rows, "train", 0, "article", "highlights", "row_id").select("id", F.size("sentences").cast("bigint").alias("n_sentences"), "highlights")
+    return formats.hub_rows(rows, "train", 0, "article", "highlights", "row_id").select("id", F.array_join("sentences", "\n").alias("kept"), "highlights")
 
 
 @query

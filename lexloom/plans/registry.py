@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ORACLES
+from .oracles_runs import ORACLES
 from .queries import QUERIES
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import rouge
-from ..operators.fusion import ordered_union
-from ..operators.summarize import summarize
+from ..operators.arrow import per_document
+from ..operators.summarize import Prepared, summarize_one
 from .config import ENCODERS, REQUEST_PRESETS, stage1, stage2
 
 STAGE1, STAGE2 = ("greedy", "grasp", "nsga2"), ("fast", "fast_grasp", "fast_nsga2", "greedy")
@@ -83,6 +83,20 @@ def payload_of(preset: str, text: str, algorithm: str = "greedy", encoder: str |
     }
 
 
+def legacy_request(body: dict) -> Request:
+    """A request of the earlier flat form: one text, and token limits as sentences of 20 tokens.
+
+    Keys: ``text`` (documents parted by lines of dashes) or ``documents``, ``base`` and ``llm`` (names
+    of the first-stage selectors), ``k``, ``method``, ``cap``, ``unit``, ``limit``.
+    """
+    documents = body.get("documents") or [p for p in (x.strip() for x in re.split(r"\n-{3,}\n", body.get("text") or "")) if p]
+    limit = int(body.get("limit") or 3)
+    if body.get("unit") == "tokens":
+        limit = max(1, limit // 20)
+    encoder = body.get("llm")
+    return Request(list(documents), [body.get("base") or "greedy"], [encoder] if encoder else [], int(body.get("k") or 25), body.get("method") or "fast", int(body.get("cap") or 15), "sentences", limit, reference=body.get("reference"))
+
+
 def request_documents(df: DataFrame, texts: str = "documents") -> DataFrame:
     """Sentences of all documents of a request in one list; short sentences stay."""
     return df.withColumn("sentences", F.flatten(F.transform(texts, T.split_sentences)))
@@ -91,20 +105,25 @@ def request_documents(df: DataFrame, texts: str = "documents") -> DataFrame:
 def two_stage(df: DataFrame, request: Request) -> DataFrame:
     """Both stages over documents ``id, sentences``: the plan of a request for any number of rows.
 
-    Selections come back in the order of the union, base first, which need not be document order.
+    One narrow pass runs the stages of a document one behind the other, so repeated ids stay rows
+    of their own.  Selections come back in the order of the union, base first, which need not be
+    document order.
     """
-    base = summarize(df, stage1(request.algorithms[0], request.candidate_k)).select("id", F.col("selected_indices").alias("base"), F.col("summary").alias("base_summary"))
-    joined = df.join(base, "id")
-    views = [F.col("base")]
-    for name in request.encoders:
-        found = summarize(df, stage1(name, request.candidate_k)).select("id", F.col("selected_indices").alias(name))
-        joined = joined.join(found, "id")
-        views.append(F.col(name))
-    united = joined.withColumn("union", ordered_union(views, request.union_cap))
-    members = united.select("id", F.transform("union", lambda i: F.get("sentences", i)).alias("sentences"))
-    final = summarize(members, stage2(request.method, request.unit, request.limit)).select("id", F.col("selected_indices").alias("last"), F.col("summary").alias("last_summary"))
-    done = united.join(final, "id").withColumn("places", F.transform("last", lambda i: F.get("union", i)))
-    return done.select("id", T.joined(F.col("sentences"), F.col("places")).alias("summary"), F.col("places").alias("selected_indices"), F.col("union").alias("candidate_indices"), "base", "base_summary", *request.encoders, "sentences")
+    names = ["base", *request.encoders]
+    stages = [stage1(m, request.candidate_k) for m in (request.algorithms[0], *request.encoders)]
+    last = stage2(request.method, request.unit, request.limit)
+
+    def make(row):
+        ready = Prepared(row["sentences"])
+        views = [summarize_one(row["id"], ready, None, cfg)["selected_indices"] for cfg in stages]
+        union = list(dict.fromkeys(i for v in views for i in v))[: request.union_cap]
+        final = summarize_one(row["id"], [ready.sentences[i] for i in union], None, last)["selected_indices"]
+        places = [union[i] for i in final]
+        text = lambda at: " ".join(ready.sentences[i] for i in at)
+        return [(row["id"], text(places), places, union, *views, text(views[0]), row["sentences"])]
+
+    schema = "id string, summary string, selected_indices array<int>, candidate_indices array<int>, " + ", ".join(f"`{n}` array<int>" for n in names) + ", base_summary string, sentences array<string>"
+    return per_document(df.select(F.col("id").cast("string").alias("id"), "sentences"), schema, make)
 
 
 def answer(spark: SparkSession, body: dict) -> dict:
@@ -139,20 +158,15 @@ def handle(spark: SparkSession, body: dict) -> tuple[int, dict]:
 
 def register_functions(spark: SparkSession) -> None:
     """SQL functions: count_tokens, split_sentences, summarize_sentences, textrank, rouge_f, sentence_tokens."""
-    from ..operators.summarize import summarize_one
     from .config import Config
 
-    @F.pandas_udf("array<string>")
-    def split_sentences(text: pd.Series) -> pd.Series:
-        return text.map(python_split)
-
-    @F.pandas_udf("int")
-    def count_tokens(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: len((s or "").split()))
+    # plain SQL expressions where columns can say it: they stay inside code generation
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION split_sentences(x STRING) RETURNS ARRAY<STRING> RETURN {T.SQL_SPLIT.format('x')}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION count_tokens(x STRING) RETURNS INT RETURN {T.SQL_COUNT.format('x')}")
 
     @F.pandas_udf("array<double>")
     def textrank(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: K.textrank(K.TermVectors(list(s)).similarity()).tolist() if s is not None and len(s) else [])
+        return sentences.map(lambda s: K.textrank(K.TermVectors(list(s))).tolist() if s is not None and len(s) else [])
 
     @F.pandas_udf("double")
     def rouge_f(predicted: pd.Series, reference: pd.Series) -> pd.Series:
@@ -169,7 +183,7 @@ def register_functions(spark: SparkSession) -> None:
             for k, t in enumerate(K.vectorizer_tokens(sentence or "")):
                 yield k, t
 
-    for f in (split_sentences, count_tokens, textrank, rouge_f, summarize_sentences):
+    for f in (textrank, rouge_f, summarize_sentences):
         spark.udf.register(f.__name__, f)
     spark.udtf.register("sentence_tokens", SentenceTokens)
 

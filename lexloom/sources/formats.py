@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +34,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def preprocess(raw: DataFrame, least: int = 3, most: int | None = None) -> DataFrame:
-    """``id, sentences, highlights`` of raw rows; missing texts are empty."""
+def preprocess(raw: DataFrame, least: int = 3, most: int | None = None, n: int | None = None, share: float | None = None, limit: int | None = None, seed: int = 2024) -> DataFrame:
+    """``id, sentences, highlights`` of raw rows; missing texts are empty.
+
+    Rows may be sampled (a number or a share), and then the first ``limit`` by id taken.
+    """
+    raw = sample_n(raw, "id", n, share, seed)
+    raw = raw.orderBy("id").limit(limit) if limit else raw
     kept = T.first_sentences(T.at_least(T.split_sentences(F.col("article")), least), most)
     return raw.select(F.col("id").cast("string").alias("id"), kept.alias("sentences"), F.coalesce("highlights", F.lit("")).alias("highlights"))
 
@@ -66,7 +70,7 @@ def tagged_topics(spark: SparkSession, root: str) -> DataFrame:
     pieces = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("id"), "path", F.array_join(parts, " ").alias("text"), F.col("value").rlike(r"(?s)<TEXT>.*?</TEXT>").alias("has"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("has"), F.struct("path", "text"))))
     topics = pieces.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("article"))
-    if any(name.endswith(".A") for name in os.listdir(root)):
+    if matches(spark, f"{root}/*.A"):
         notes = spark.read.text(f"{root}/*.A", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.A$", 1).alias("id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("highlights"))
         topics = topics.join(notes, "id", "left")
     else:
@@ -107,14 +111,20 @@ def best_runs(summary: DataFrame, n: int = 10) -> DataFrame:
     return summary.orderBy(*(F.col(c).cast("double").desc() for c in ("rouge1", "rouge2", "rougeL")), *(c for c in summary.columns if c.startswith("run"))).limit(n)
 
 
+def _mark(key: str, seed: int):
+    """A seeded hash of the key that every engine can compute: hexadecimal MD5 of ``seed|key``."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+
+
 def sample_n(df: DataFrame, key: str, n: int | None = None, share: float | None = None, seed: int = 2024) -> DataFrame:
-    """``n`` rows, or about a share of the rows, by a seeded hash of the key; both is an error."""
+    """``n`` rows, or about a share of the rows, by a seeded hash of the key; both is an error, none keeps all."""
     if n is not None and share is not None:
         raise ValueError("give a number of rows or a share, not both")
-    mark = F.xxhash64(F.col(key), F.lit(seed))
     if n is not None:
-        return df.orderBy(mark, key).limit(n)
-    return df if share is None else df.where(F.pmod(mark, F.lit(1_000_000)) < int(share * 1_000_000))
+        return df.orderBy(_mark(key, seed), key).limit(n)
+    if share is None or share >= 1:
+        return df
+    return df.where(F.substring(_mark(key, seed), 1, 8) < f"{int(share * (1 << 32)):08x}")
 
 
 def split_rows(df: DataFrame, key: str, shares: tuple[float, float] = (0.7, 0.2), seed: int = 2024) -> DataFrame:
@@ -127,7 +137,7 @@ def split_rows(df: DataFrame, key: str, shares: tuple[float, float] = (0.7, 0.2)
 
     from .tables import settled
 
-    marked = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    marked = df.withColumn("_h", _mark(key, seed))
     ranged = settled(marked.repartitionByRange("_h", key).sortWithinPartitions("_h", key).withColumn("_p", F.spark_partition_id()))
     counts = {r[0]: r[1] for r in ranged.groupBy("_p").count().collect()}  # one row for each range
     start, offsets = 0, {}
@@ -141,12 +151,50 @@ def split_rows(df: DataFrame, key: str, shares: tuple[float, float] = (0.7, 0.2)
     return ranged.withColumn("split", name).drop("_h", "_p")
 
 
-def split_path(root: str, split: str) -> str | None:
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted."""
+    p, fs = _path(spark, pattern)
+    return sorted(s.getPath().toString() for s in (fs.globStatus(p) or ()))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on the path's own file system."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
+    """Run summaries of all CSV files that match the pattern under each other, whatever columns each has."""
+    return union_summaries([spark.read.option("header", True).csv(p) for p in matches(spark, pattern)])
+
+
+def split_name(name):
+    """train, validation, test or another split's name without outer spaces and case; null is none."""
+    plain = F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
+    return F.when(plain == "training", "train").when(plain.isin("valid", "val", "dev"), "validation").otherwise(plain)
+
+
+def split_path(spark: SparkSession, root: str, split: str) -> str | None:
     """The file or folder of a split under ``root``, by any of its names, nested or not."""
     names = {"validation": ["validation", "valid", "val", "dev"]}.get(split, [split])
     for name in names:
-        for path in (f"{root}/{name}", f"{root}/{name}.jsonl", f"{root}/{name}.csv", f"{root}/{name}/{name}.jsonl", f"{root}/{name}/{name}.csv"):
-            if os.path.exists(path):
+        for path in (f"{root}/{name}.jsonl", f"{root}/{name}.csv", f"{root}/{name}/{name}.jsonl", f"{root}/{name}/{name}.csv", f"{root}/{name}"):
+            if exists(spark, path):
                 return path
     return None
 
@@ -178,14 +226,17 @@ def run_stamp() -> str:
 
 
 def write_run(df: DataFrame, path: str, config: dict) -> float:
-    """Write predictions with their configuration and the seconds it took beside them."""
+    """Write predictions with their configuration and the seconds it took beside them.
+
+    The sidecars are small files on the path's own file system; ``_run_metadata`` holds the same as
+    a table of one row.
+    """
+    spark = df.sparkSession
     began = time.perf_counter()
     write_jsonl(df, f"{path}/predictions.jsonl")
     took = time.perf_counter() - began
-    with open(f"{path}/config_used.json", "w", encoding="utf-8") as f:
-        json.dump(config, f, ensure_ascii=False, indent=2, default=str)
-    with open(f"{path}/time_select_seconds.txt", "w", encoding="utf-8") as f:
-        f.write(f"{took:.6f}")
+    told = json.dumps(config, ensure_ascii=False, indent=2, default=str)
+    write_text(spark, f"{path}/config_used.json", told)
+    write_text(spark, f"{path}/time_select_seconds.txt", f"{took:.6f}")
+    spark.createDataFrame([(run_stamp(), told, took)], "stamp string, config string, select_seconds double").coalesce(1).write.mode("overwrite").parquet(f"{path}/_run_metadata")
     return took
-
-

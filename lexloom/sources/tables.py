@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,35 @@ def spread(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder all executors share, so that a lost executor loses nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a
-    local session) a temporary folder is made.
+    The folder is :func:`shared_folder`'s; what a query leaves there is removed by
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` when its frames are gone.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a session of one machine (tests, a local run) gets a temporary folder; on a
+    cluster that would be no shared one, so it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    global _own
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="lexloom-checkpoint-")
+    return _own
+
+
+_own: str | None = None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -61,6 +61,7 @@ def small(tmp_path_factory, spark):
     spark.createDataFrame(preds, "pred_id bigint, run_id string, id string, selected_indices array<int>, summary string, reference string, written_at timestamp").write.parquet(f"{d}/predictions.parquet")
     spark.createDataFrame([(0, "greedy-k10-stage1", "greedy", "stage1", 10, 100, 1), (1, "x", "fast", "stage2", 3, 245, 2)], "run_no int, run_id string, selector string, stage_name string, keep_k int, max_tokens int, seed int").write.parquet(f"{d}/runs.parquet")
     spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, None, 1), (3, [1.0, 1.0], None)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([("en", "English"), ("fr", "French")], "lang string, lang_title string").write.parquet(f"{d}/languages.parquet")
     return str(d)
 
 
@@ -71,7 +72,7 @@ def test_every_query_on_dirty_tables(spark, small, name):
     if sql is None:
         return
     db = duckdb.connect()
-    for t in ("documents", "articles", "processed", "predictions", "runs", "embeddings"):
+    for t in ("documents", "articles", "processed", "predictions", "runs", "embeddings", "languages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet/*.parquet')")
     found = db.execute(sql)
     names = [c[0] for c in found.description]
@@ -127,7 +128,7 @@ def test_files(spark, tmp_path):
     formats.write_run(ready, f"{tmp_path}/run", {"k": 1})
     assert json.load(open(f"{tmp_path}/run/config_used.json")) == {"k": 1}
     (tmp_path / "valid.jsonl").write_text("")
-    assert formats.split_path(str(tmp_path), "validation").endswith("valid.jsonl") and formats.split_path(str(tmp_path), "nope") is None
+    assert formats.split_path(spark, str(tmp_path), "validation").endswith("valid.jsonl") and formats.split_path(spark, str(tmp_path), "nope") is None
     with pytest.raises(ValueError):
         formats.sample_n(ready, "id", 1, 0.5)
     assert formats.sample_n(ready, "id", 1).count() == 1 and formats.sample_n(ready, "id", share=1.0).count() == 2
@@ -144,6 +145,43 @@ def test_service(spark):
     assert service.handle(spark, {**body, "length_control": {"unit": "tokens"}})[0] == 400
 
 
+def test_service_passes_keep_repeated_ids(spark):
+    docs = spark.createDataFrame([("a", ["One two three.", "Four five six."]), ("a", ["Other words stand here."]), ("b", None)], "id string, sentences array<string>")
+    rows = service.two_stage(docs, service.Request(["-"], ["greedy"], ["bert"], max_sentences=1)).collect()
+    assert sorted((r.id, len(r.selected_indices)) for r in rows) == [("a", 1), ("a", 1), ("b", 0)]
+    flat = service.legacy_request({"text": "A b.\n----\nC d.", "unit": "tokens", "limit": 60, "llm": "bert"})
+    assert flat.documents == ["A b.", "C d."] and flat.max_sentences == 3 and flat.encoders == ["bert"]
+
+
+def test_models_are_asked_for(spark):
+    df = spark.createDataFrame([("a", "text")], "id string, article string")
+    with pytest.raises(NotImplementedError):
+        evaluation.abstract(df, None)
+    made = evaluation.abstract(df, lambda: lambda texts, beams, most_in, most_out: [f"{t} {beams} {most_in} {most_out}" for t in texts])
+    assert made.first().summary == "text 4 1024 128"
+    pairs = spark.createDataFrame([("a", "x", [("s", [1], 0.5), ("t", [2], 0.1)]), ("b", None, None)], "id string, article string, candidates array<struct<summary:string,indices:array<int>,base_score:double>>")
+    with pytest.raises(ValueError):
+        evaluation.rerank_job(pairs, enabled=False)
+    with pytest.raises(NotImplementedError):
+        evaluation.CrossEncoder()(["a"], ["b"])
+    scorer = evaluation.CrossEncoder(lambda: lambda texts, sums: [float(len(s) + (s == "t")) for s in sums])
+    assert {r.id: r.rerank_order for r in evaluation.rerank_job(pairs, scorer=scorer).collect()} == {"a": [1, 0], "b": []}
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    from lexloom.sources import tables
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://far:7077"
+
+    with pytest.raises(RuntimeError):
+        tables.shared_folder(Far)
+
+
 def test_sql_functions(spark):
     service.register_functions(spark)
     row = spark.sql("SELECT split_sentences('A b. C d!') s, count_tokens('a b c') n, rouge_f('a cat', 'a cat') r, size(textrank(array('red fox', 'red cat'))) k, summarize_sentences(array('one two', 'three four'), 'greedy').summary z").first()

@@ -10,7 +10,7 @@ import pytest
 from lexloom.operators import kernels as K
 from lexloom.operators import rouge
 from lexloom.operators import selectors as S
-from lexloom.operators.summarize import base_scores, summarize_one
+from lexloom.operators.summarize import Encoder, base_scores, summarize_one
 from lexloom.plans.config import PRESETS, Config
 from lexloom.plans.service import python_split
 
@@ -57,8 +57,14 @@ def test_similarity_by_hand():
 
 def test_wide_vocabulary_is_sliced(monkeypatch):
     whole = K.TermVectors(DOC, True, True).similarity()
-    monkeypatch.setattr(K, "SLICE", 7)
+    linear, held = K.textrank(K.TermVectors(DOC)), K.textrank(K.TermVectors(DOC), 0.05)
+    assert np.allclose(linear, K.textrank(K.TermVectors(DOC).similarity())) and np.allclose(held, K.textrank(K.TermVectors(DOC).similarity(), 0.05))
+    some = K.TermVectors(DOC, True, True).similarity([3, 1], [0, 2, 3])
+    assert np.allclose(some, whole[np.ix_([3, 1], [0, 2, 3])])
+    monkeypatch.setattr(K, "SLICE_CELLS", 7)
     assert np.allclose(K.TermVectors(DOC, True, True).similarity(), whole)
+    assert np.allclose(np.concatenate([b for _, b in K.TermVectors(DOC, True, True).blocks()]), whole)
+    assert np.allclose(K.textrank(K.TermVectors(DOC), 0.05), held)
 
 
 def test_graph_and_centrality():
@@ -101,9 +107,9 @@ def test_searches_against_every_subset(seed):
     for method in ("max", "diversity"):
         value = lambda c: sum(scores[list(c)]) + 0.8 * S.coverage(sim, c, method) - 0.7 * S.redundancy(sim, c)
         best = max(map(value, subsets))
-        exact = S.nsga2(scores, sim, budget, method=method)
+        exact = S.best_subset(scores, sim, budget, method=method)
         assert np.isclose(value(exact), best)
-        search = S.nsga2(scores, sim, budget, method=method, exact_up_to=0, seed=3)
+        search = S.nsga2(scores, sim, budget, method=method, seed=3)
         assert sum(cost[search]) <= 14 and value(search) >= 0.97 * best
     found = S.grasp(scores, sim, budget, seed=1)
     assert found == S.grasp(scores, sim, budget, seed=1) and sum(cost[found]) <= 14
@@ -142,7 +148,7 @@ def test_documents():
         assert found == sorted(set(found)) and sum(len(DOC[i].split()) for i in found) <= 30
     assert summarize_one("d", DOC, "", Config(method="nsga2", similarity=False))["fallback_reason"]
     graph = PRESETS["graph"].with_(weights={**PRESETS["graph"].weights, "centrality": 0.5, "novelty": 0.5})
-    assert len(base_scores(DOC, graph, K.TermVectors(DOC).similarity())) == 5
+    assert len(base_scores(DOC, graph, K.TermVectors(DOC))) == 5
 
 
 def test_recall_target_grows_the_pool():
@@ -188,3 +194,30 @@ def test_configuration():
 def test_plain_split():
     assert python_split("One. Two!Three? 四。五！ ... x") == ["One.", "Two!", "Three?", "四。", "五！", ".", ".", ".", "x"]
     assert python_split(None) == [] == python_split("  ")
+
+
+def test_published_stems():
+    pairs = "dies:die dying:die skies:sky sky:sky news:news flies:fli cries:cri possibly:possibl rationally:ration archeology:archeolog caresses:caress ponies:poni agreed:agre hopping:hop filing:file relational:relat triplicate:triplic electrical:electr adjustment:adjust innings:inning proceed:proceed tied:tie enjoy:enjoy happy:happi controlling:control feed:feed".split()
+    for word, want in (p.split(":") for p in pairs):
+        assert rouge.stem(word) == want, word
+
+
+def test_encoder_loads_once_and_batches():
+    calls = []
+
+    def load():
+        calls.append("load")
+        return lambda texts: (calls.append(len(texts)), np.ones((len(texts), 2)))[1]
+
+    encoder = Encoder("test", load, batch=2)
+    assert encoder(DOC).shape == (5, 2) and encoder([]).shape[0] == 0 and calls == ["load", 2, 2, 1]
+
+
+def test_fallbacks_are_named(monkeypatch):
+    def fail(*_, **__):
+        raise FloatingPointError("no")
+
+    monkeypatch.setattr(S, "nsga2", fail)
+    assert summarize_one("d", DOC, "", Config(method="nsga2"))["fallback_reason"] == "nsga2 failed: no"
+    with pytest.raises(FloatingPointError):
+        summarize_one("d", DOC, "", Config(method="fast_nsga2"))
