@@ -2,7 +2,7 @@
 
 The skeleton follows the shape of the public look-alike procedure (decompose, replace every
 character by its prototype, decompose again).  The prototype table is built by rule from the
-Unicode character database; only letters of identical shape in different alphabets are listed.
+Unicode character database and the public look-alike table (:mod:`prototypes`).
 
 Two texts have equal skeletons when a reader sees the same letters, marks, digits and
 punctuation: width, invisible characters, stored or combined accents and voicing marks, joined
@@ -18,20 +18,13 @@ import unicodedata
 import numpy as np
 import regex
 
-# Letters of other alphabets that have the shape of a Latin letter (or, last line,
-# of a letter of a sister script), each followed by the letter whose shape it has.
+from .prototypes import letters_of_one_shape
+
+# Characters of identical shape that the public table joins with something else or
+# not at all (l, I and 1; hyphens; one Hiragana and Katakana letter), each followed by its prototype.
 LOOK_ALIKE = (
-    # Cyrillic
-    "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ӏl ѵv "
-    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS ԚQ ԜW ҮY ЗЗ "
-    # Greek
-    "οo νv ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϲc ͿJ "
-    # Armenian
-    "օo սu հh ՕO ՍU "
-    # Cherokee
-    "ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏚS ᎢT ᏙV ᎳW ᏃZ "
-    # Lisu
-    "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ "
+    # Cyrillic, Greek, Armenian, Lisu
+    "һh ԁd ԛq ӏl ІI ԚQ ЗЗ νv ΙI ϹC ϲc հh ոn ցg ꓲI "
     # Latin letters encoded twice, hyphens of one shape
     "ɡg ‐- ‑- "
     # Katakana with the shape of a Hiragana letter
@@ -55,11 +48,14 @@ def _prototypes() -> dict[int, str]:
             kind == "<compat>" and (0x2E80 <= cp <= 0x2FDF or 0x2160 <= cp <= 0x217F)
         ):
             table[cp] = unicodedata.normalize("NFD", "".join(chr(int(p, 16)) for p in parts.split()))
+    table.update(letters_of_one_shape())
     for pair in LOOK_ALIKE.split():
         table[ord(pair[0])] = pair[1:]
     table[0x309B], table[0x309C] = "゙", "゚"
     # a variant that leads to a letter that itself has a prototype ends at that prototype
-    return {cp: "".join(table.get(ord(c), c) for c in to) for cp, to in table.items()}
+    for _ in range(2):
+        table = {cp: "".join(table.get(ord(c), c) for c in to) for cp, to in table.items()}
+    return table
 
 
 PROTOTYPE = _prototypes()

@@ -74,6 +74,18 @@ def test_skeleton_keeps_what_is_seen():
         assert forms.skeleton(forms.skeleton(x)) == forms.skeleton(x)
 
 
+def test_letters_of_other_alphabets():
+    for a, b in zip("ⲞᴏᴄᴠᴢոցᎡᏀⵔ\U00010404αορ", "OocvzngRGOOaop"):
+        assert forms.skeleton(a) == b, a
+    # other letters: a digit's or a stroke's look, ideographs and syllables, letters of one script
+    for a, b in [x.split() for x in ("г r", "σ o", "ס o", "ⵏ l", "ニ 二", "ロ 口", "エ 工", "ک ك", "ی ى", "ɑ a", "− -", "ɪ i", "Ꮞ 4")]:
+        assert forms.skeleton(a) != forms.skeleton(b), (a, b)
+    for cp in range(0x80, 0x20000):
+        if not 0xD800 <= cp < 0xE000:
+            once = forms.skeleton(f"x{chr(cp)}x")
+            assert forms.skeleton(once) == once, hex(cp)
+
+
 def test_batch_form_equals_single_form():
     rng = random.Random(3)
     letters = "abcéÄßｆﬁо́​ 、。ハﾊﾞ年人ก้ أ\n1²"
