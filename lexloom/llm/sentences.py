@@ -2,8 +2,9 @@
 
 The rules are the character-property sentence-break rules (every script's terminators, closing
 marks belong to the sentence they close) with three tailorings: suppression of full stops of
-abbreviations by language, no break inside a pair of quotation marks or brackets, and the rule
-for Thai, which has no end mark.
+abbreviations by language (told by the script, or by closed-class words of the block or the text;
+where these don't tell, every language's abbreviations count), no break inside a pair of quotation
+marks or brackets, and the rule for Thai, which has no end mark.
 
 Defined results: a null, empty or blank text, and a text without a letter or digit, has no
 sentence.  Every end is the offset, in code points, behind the last visible character of the
@@ -33,29 +34,33 @@ def _words(*lists: str) -> frozenset[str]:
     return frozenset(_fold(w) for words in lists for w in words.split())
 
 
+def _by_language(lists: dict[str, str]) -> dict[str, frozenset[str]]:
+    """Folded word -> the languages that list it."""
+    out: dict[str, set[str]] = {}
+    for lang, words in lists.items():
+        for w in _words(words):
+            out.setdefault(w, set()).add(lang)
+    return {w: frozenset(langs) for w, langs in out.items()}
+
+
 # Abbreviations by language, without their last full stop.
 #: Never the end of a sentence: something always follows.
-NEVER = _words(
-    # English
-    "mr mrs ms dr prof capt lt sgt col gen maj cmdr rev hon sen gov rep pres mt st ft messrs cpl adm",
-    "approx vs incl eg ie viz cf i.e e.g",
-    # German
-    "hr fr hrn frl nr ca bzw insb inkl exkl evtl ggf sog mio mrd tsd vgl dipl ing bd hl str z.b d.h u.a z.t i.d.r",
-    # French
-    "m mm mme mmes mlle mgr env cf p.ex c.-à-d av boul bd",
-    # Spanish and Portuguese
-    "sr sra srta sres dra dña don ud uds av avda pág págs núm aprox fig ee gral prof profa eng exmo exma p.ej pe",
-    # Italian
-    "sig sigg sig.ra sig.na dott dott.ssa prof.ssa avv ing geom arch ca pag pagg",
-    # Dutch
-    "dhr mevr mw drs ir bijv nr mln mld ca o.a d.w.z m.b.t i.v.m t.a.v",
-    # Russian
-    "ул пл пр просп пер обл р-н тыс млн млрд трлн проф акад доц инж гл напр см ср стр табл т.е",
-    # Hindi
-    "डॉ प्रो श्री सुश्री कु",
-    # Arabic
-    "أ.د",
-)
+NEVER = _by_language({
+    "en": "mr mrs ms dr prof capt lt sgt col gen maj cmdr rev hon sen gov rep pres mt st ft messrs cpl adm approx vs incl eg ie viz cf i.e e.g",
+    "de": "hr fr hrn frl dr prof nr ca bzw insb inkl exkl evtl ggf sog mio mrd tsd vgl dipl ing bd hl str st z.b d.h u.a z.t i.d.r",
+    "fr": "m mm mme mmes mlle mgr dr prof env cf p.ex c.-à-d av boul bd st",
+    "es": "sr sra srta sres dr dra d dña ud uds av avda pág págs pag pags núm aprox fig ee gral gen prof profa ing cap p.ej",
+    "pt": "sr sra srta sres dr dra d aprox av pág págs pag pags núm fig gen prof profa eng exmo exma pe p.ej",
+    "it": "sig sigg sig.ra sig.na dr dott dott.ssa prof prof.ssa avv ing geom arch gen ca pag pagg",
+    "nl": "dhr mevr mw dr drs ir prof bijv nr mln mld ca st o.a d.w.z m.b.t i.v.m t.a.v",
+    "ru": "ул пл пр просп пер обл р-н тыс млн млрд трлн проф акад доц инж гл напр см ср стр табл т.е",
+    "hi": "डॉ प्रो श्री सुश्री कु",
+    "ar": "أ.د",
+})
+#: English titles are written with a capital; the same letters in small ones are words.
+TITLES = _words("rep gen col sen gov hon rev pres mt ft")
+#: Measures behind a number may end a sentence.
+MEASURES = _words("ft mm m см г тыс млн млрд трлн")
 #: Not the end before a number.
 NUMBERED = _words(
     "no nos nr fig figs pp pop vol ch sec ed jan feb mar apr jun jul aug sep sept oct nov dec p pt",
@@ -71,27 +76,54 @@ MAYBE = _words(
 _DAYS = _words("monday tuesday wednesday thursday friday saturday sunday")
 _CLOCK = _words("a.m p.m")
 _STATES = _words("u.s u.k u.n d.c")
-_STARTERS = _words("the a an it he she they we this that these those there in on at but and nobody two all")
+# Words of the closed classes (articles, pronouns, prepositions, conjunctions, the
+# commonest verbs).  They tell the language of a text, and as capitalised words open a sentence.
+FUNCTION_WORDS = {
+    "en": "the a an it he she they we this that these those there in on at but and or nor so yet for of to from with by as if when while after before since until because although though "
+    "i you his her its our their my your who what which where why how all both each every either neither no not none some any many much more most few several other another such "
+    "one two three everyone everybody everything someone somebody something anyone anybody anything nobody nothing is was were are be been has have had will would could should may might can do does did",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber denn weil dass wenn als wie auf aus bei mit nach seit von vor zu zum zur im am in an für über unter "
+    "ich du er sie es wir ihr man sich sein seine ihre dieser diese dieses jeder alle viele einige keiner niemand nicht kein keine ist war waren sind hat haben hatte wird wurde werden auch noch nur",
+    "fr": "le la les un une des du de et ou mais car donc que qui quoi dont où au aux dans sur sous par pour sans avec chez vers depuis après avant pendant selon "
+    "je tu il elle on nous vous ils elles ce cet cette ces son sa ses leur leurs notre votre tout tous toute toutes plusieurs personne rien ne pas plus est sont était ont a été",
+    "es": "el la los las un una unos unas y o pero porque que quien cual donde cuando como de del al a en con por para sin sobre entre desde hasta tras según "
+    "yo tú él ella nosotros ellos ellas usted ustedes este esta estos estas ese esa su sus se lo le les todo todos nadie nada muchos varios no ni es son era fue han ha está",
+    "pt": "o a os as um uma uns umas e ou mas porque que quem qual onde quando como de do da dos das ao à em no na nos nas com por para sem sobre entre desde até após segundo "
+    "eu tu ele ela nós eles elas você este esta estes estas esse essa seu sua seus suas se lhe todo todos ninguém nada muitos vários não nem é são era foi foram tem há está",
+    "it": "il lo la i gli le un uno una e o ma perché che chi cui dove quando come di del della dei delle al alla ai alle in nel nella con per senza su sul sulla tra fra da dal dalla dopo prima secondo "
+    "io tu lui lei noi voi loro questo questa questi queste quello suo sua suoi sue si ci tutto tutti nessuno nulla molti alcuni non né è sono era ha hanno fu",
+    "nl": "de het een en of maar want omdat dat die wie wat waar wanneer als van in op aan met voor door bij uit naar om over onder tussen tot sinds na volgens "
+    "ik jij hij zij ze we wij jullie men zich zijn haar hun deze dit alle veel enkele niemand niets niet geen is was waren heeft hebben had wordt werd worden ook nog",
+}
+_VOTES = {}
+for _lang, _list in FUNCTION_WORDS.items():
+    for _w in _list.split():
+        _VOTES.setdefault(unicodedata.normalize("NFD", _w), []).append(_lang)
+_OPENERS = _words(*FUNCTION_WORDS.values())
 _MONTHS = _words("januar jänner februar märz april mai juni juli august september oktober november dezember")
 _RU_YEAR = _words("г гг в вв")
 _T, _DP = _fold("т"), _words("д п")
 # Words that name a speaker after a quotation.
-_SAY_ZH = regex.compile(r"[^。！？!?“”「」\n]{1,24}?(?:说道|说|问道|问|喊道|喊|表示|答道|答|回答|称|指出|补充道|写道|道)[。！!]")
-_SAY_HI = regex.compile(r"[^।?!“”\n]{1,60} ने (?:कहा|पूछा|बताया|लिखा|चिल्लाया|जोड़ा|चिल्लाकर कहा)")
-_SAY_AR = _words("قال قالت سأل سألت صاح صاحت أضاف أضافت أجاب أجابت")
+_SAY_ZH = regex.compile(r"[^。！？!?“”「」\n]+?(?:说道|说|问道|问|喊道|喊|表示|答道|答|回答|称|指出|补充道|写道|道|认为|强调|解释|承认|警告|宣布|透露)[。！!]")
+_SAY_HI = regex.compile(r"[^।?!“”\n]+? ने (?:कहा|पूछा|बताया|लिखा|चिल्लाया|जोड़ा|चिल्लाकर कहा|जवाब दिया|स्वीकार किया|समझाया)")
+_SAY_AR = _words("قال قالت سأل سألت صاح صاحت أضاف أضافت أجاب أجابت أوضح أوضحت أكد أكدت ذكر ذكرت صرح صرحت كتب كتبت")
 _SAY_JA = ("と", "って", "などと")
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "｢": "｣", "«": "»", "‹": "›", "“": "”", "„": "“", "‚": "‘"}
 _CLOSE = {v: k for k, v in _OPEN.items() if v not in "“‘"}
 _BRACKETS = frozenset("([{（［【")
 _STRAIGHT = frozenset('"＂')
-_STRONG = frozenset("!?。！？｡．।॥؟۔‼⁇⁈⁉։።፧፨၊။។៕᠃᠉᭚᭛꓿꘎꛳")
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
+#: Every script's terminators by character property, but for the plain full stops, and the full-width full stop.
+_STRONG = frozenset(c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Break=STerm}", c)) | {"．"}
+#: Ideographic and Indic full stops, which end a sentence whatever follows.
+_FINAL = frozenset("。｡．।॥")
 _DOTS = frozenset("….‥。")
 _HARD = regex.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|\|{5}| +")
-_MARKS = regex.compile(r"[!?。！？｡．।॥؟۔‼⁇⁈⁉։።፧፨။។៕.…‥\"＂“”„«»‹›「」『』｢｣《》〈〉()\[\]{}（）［］【】]")
+_MARKS = regex.compile("[" + regex.escape("".join(sorted(_STRONG)) + ".…‥\"＂“”„«»‹›「」『』｢｣《》〈〉()[]{}（）［］【】", special_only=False) + "]")
 _THAI_GAP = regex.compile(r"(?<=[\p{Thai}”’」）)\]»])\s+(?=[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Devanagari}\p{Cyrillic}])")
 _VISIBLE = regex.compile(r"[\p{L}\p{Nd}\p{No}\p{Nl}]")
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}.\-‐‑&]*\Z")
+_IN_TOKEN = frozenset(".-‐‑&")
 _IGNORED = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 _CLAUSE = frozenset(",;:–—-،、，；：؛)")
 #: The rest of a date such as 16. 5. 1992 behind its day, and its head up to the month.
@@ -147,11 +179,65 @@ def _skip(text: str, at: int, end: int) -> int:
     return at
 
 
+def _language(text: str) -> str | None:
+    """Language of the closed-class words of a text in Latin letters; None if they don't tell clearly."""
+    votes: dict[str, float] = {}
+    for m in _WORD.finditer(skeleton(text).lower()):
+        langs = _VOTES.get(m.group())
+        if langs:
+            for lang in langs:
+                votes[lang] = votes.get(lang, 0) + 1 / len(langs)
+    ranked = sorted(votes.items(), key=lambda x: -x[1])
+    if not ranked or ranked[0][1] < 1 or len(ranked) > 1 and ranked[0][1] < 1.5 * ranked[1][1]:
+        return None
+    return ranked[0][0]
+
+
+def _back(text: str, at: int, begin: int) -> int:
+    """Where the token that ends at ``at`` begins."""
+    while at > begin and (text[at - 1].isalnum() or text[at - 1] in _IN_TOKEN or unicodedata.category(text[at - 1])[0] in "MN"):
+        at -= 1
+    return at
+
+
+def _word_before(text: str, at: int, begin: int) -> str:
+    """The word before the one that begins at ``at``."""
+    stop = at
+    while stop > begin and text[stop - 1].isspace():
+        stop -= 1
+    start = stop
+    while start > begin and not text[start - 1].isspace():
+        start -= 1
+    return text[start:stop]
+
+
 class _Block:
     """One stretch of text without hard breaks."""
 
     def __init__(self, text: str, start: int, end: int):
         self.text, self.start, self.end = text, start, end
+        self._lang: str | None = None
+        self._asked = False
+
+    def lang(self) -> str | None:
+        """Language of the block, else of the whole text; asked for where abbreviations differ."""
+        if not self._asked:
+            self._asked = True
+            self._lang = _language(self.text[self.start : self.end]) or _language(self.text)
+        return self._lang
+
+    def never(self, whole: str, last: str, behind_number: bool) -> bool:
+        """Whether the token is an abbreviation that something always follows, in the text's own language."""
+        folded = _fold(last)
+        langs = NEVER.get(_fold(whole)) or NEVER.get(folded)
+        if langs is None or behind_number and folded in MEASURES:
+            return False
+        if not last.isascii() and not (langs & FUNCTION_WORDS.keys()):
+            return True  # the script says it all
+        lang = self.lang()
+        if lang == "en" and folded in TITLES and last[:1].islower():
+            return False
+        return lang is None or lang in langs
 
     def new_sentence(self, at: int) -> bool:
         """Whether what stands at ``at`` can open a sentence (a small plain letter cannot)."""
@@ -168,6 +254,11 @@ class _Block:
             return _mixed_case(_next_word(text, at))
         return ch not in "&/%=+*"
 
+    def opens(self, at: int) -> bool:
+        """Whether a capitalised word of the closed classes stands at ``at``."""
+        word = _next_word(self.text, at)
+        return len(word) > 1 and word[0].isupper() and _fold(word) in _OPENERS
+
     def after_quote(self, at: int, opener: int, begin: int, close: str) -> bool:
         """Whether the sentence ends at a quotation that closed before ``at``."""
         text = self.text
@@ -182,7 +273,7 @@ class _Block:
         if text.startswith(_SAY_JA, nxt):
             return False
         if opener == begin:  # nothing before the quotation: its speaker may follow
-            if _SAY_ZH.match(text, nxt, min(self.end, nxt + 40)) and "一" <= ch <= "鿿":
+            if _SAY_ZH.match(text, nxt, self.end) and "一" <= ch <= "鿿":
                 return False
             if "ऀ" <= ch <= "ॿ" and _SAY_HI.match(text, nxt, self.end):
                 return False
@@ -196,7 +287,8 @@ class _Block:
         nxt = _skip(text, at + 1, end)
         if nxt >= end:
             return True
-        token = _TOKEN.search(text, max(begin, at - 24), at).group()
+        token_at = _back(text, at, begin)
+        token = text[token_at:at]
         last = token.replace("-", ".").rpartition(".")[2]
         follow = text[nxt]
         if nxt == at + 1:  # no space behind
@@ -212,7 +304,7 @@ class _Block:
             if follow.islower() and not _mixed_case(_next_word(text, nxt)):
                 return False
             folded = _fold(last)
-            return not (folded in NEVER or folded in NUMBERED or folded in MAYBE or _fold(token) in MAYBE)
+            return not (self.never(token, last, False) or folded in NUMBERED or folded in MAYBE or _fold(token) in MAYBE)
         if not token:
             return self.new_sentence(nxt)
         if _NUMBER.match(token):
@@ -228,8 +320,9 @@ class _Block:
         if not self.new_sentence(nxt):
             return False
         whole, folded = _fold(token), _fold(last)
-        before = text[max(begin, at - 12) : at - len(last)].split()
-        previous = _fold(before[-1]).rstrip(".") if before else ""
+        before = _word_before(text, token_at, begin) if len(token) == len(last) else text[token_at : at - len(last)]
+        previous = _fold(before.split()[-1]).rstrip(".") if before else ""
+        opens = self.opens(nxt)
         if folded in _RU_YEAR:
             return previous[-1:].isdigit()
         if whole in MAYBE or folded in MAYBE and len(last) > 1:
@@ -237,20 +330,22 @@ class _Block:
             if whole in _CLOCK:
                 return word not in _DAYS
             if whole in _STATES:
-                return word in _STARTERS
+                return opens
             return True
-        if whole in NEVER or folded in NEVER or folded.endswith("str") and follow.isdigit():
+        if self.never(token, last, previous[-1:].isdigit()) or folded.endswith("str") and follow.isdigit():
             return False
         if (whole in NUMBERED or folded in NUMBERED) and follow.isdigit():
             return False
         if len(_IGNORED.sub("", unicodedata.normalize("NFC", last))) == 1 and not last.isdigit() and not _wide(last):
-            return previous == _T and folded in _DP
+            # an initial, unless a word of the closed classes goes on that no name begins with
+            return previous == _T and folded in _DP or opens and before[:1].islower() or previous[-1:].isdigit() and folded in MEASURES
         return True
 
     def ends(self) -> list[int]:
         text, start, end = self.text, self.start, self.end
         marks = [(m.start(), m.group()) for m in _MARKS.finditer(text, start, end)]
         pairs = _pairs(text, marks)
+        closers = set(pairs.values())
         out: list[int] = []
         begin = _skip(text, start, end)
         skip_to = start
@@ -288,10 +383,10 @@ class _Block:
                 elif all(c in _DOTS for c in run) and run != "。":
                     if nxt >= end or self.new_sentence(nxt):
                         cut = stop
-                elif nxt >= end or run[-1] in "。｡．।॥" or self.new_sentence(nxt):
+                elif nxt >= end or run[-1] in _FINAL or self.new_sentence(nxt):
                     cut = stop
                 if cut >= 0:
-                    while cut < end and text[cut] in "”’»›」』）)]" and cut not in pairs.values():
+                    while cut < end and text[cut] in "”’»›」』）)]" and cut not in closers:
                         cut += 1
             if cut >= 0:
                 out.append(cut)

@@ -29,12 +29,25 @@ def cut(text):
         ("คุณวีลถามว่า “ใครจะจ่าย 82 บาท” เด็กๆ ในเมืองนี้ ราคาขึ้น 27 บาท", 3),
         ("Kopf ohne Punkt\n\nEin Satz.\n1. Erster Punkt. 2. Zweiter Punkt. ||||| Letzter", 5),
         ("यह पहला है। डॉ. राम आए। “ठीक है,” सीता ने कहा।", 3),
+        ("The gap is 5 mm. Then it closed.", 2), ("Длина 5 см. Затем он ушёл.", 2), ("The pole is 6 ft. It fell over.", 2), ("He met the don. They talked.", 2),
+        ("We saw the rep. He was late.", 2), ("He got vitamin C. Everyone was glad.", 2), ("She lives in Washington D.C. Nobody came.", 2), ("It left the U.S. Several people came.", 2),
+        ("They passed the old arch. Then it rained on the town.", 2), ("Il vit M. Dupont et Mme. Roux. Il partit.", 2), ("Rep. Lee met Gen. Day at Ft. Hill. He saw Col. May.", 2),
+        ("W. H. Oden met J. R. Tall. The U.S. Senate met.", 2),
     ],
 )
 def test_sentence_counts(text, wanted):
     assert len(cut(text)) == wanted, cut(text)
 
 
+def test_every_terminator_ends_a_sentence():
+    import regex
+
+    marks = [c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Break=STerm}", c)]
+    assert len(marks) > 130
+    for mark in marks:
+        assert len(cut(f"אבג דהו{mark} זחט יכל{mark}")) == 2, hex(ord(mark))
+
+
 def test_ends_count_code_points_of_the_raw_text():
     raw = "Mem​ber⁠s left.  The énd 𝒜 came.\n"
     stops = sentences.ends(raw)
