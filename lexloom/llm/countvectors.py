@@ -11,7 +11,10 @@ A token set (hashes of all runs of 10 characters) is described by
 Vectors of one high-dimensional corpus can't be split over executors by their bounding boxes: with
 hundreds of dimensions nearly every point would have to be copied to every box.  So the forest of
 R-trees is split by the keys: sets meet in a cell when they begin alike in four ranges of groups.
-Two sets of similarity s share a cell with probability 1 - (1 - s^4)^32, 0.9997 at 0.69.
+Two sets of similarity s share a cell with probability 1 - (1 - s^4)^40: 0.996 at 0.6, 0.9999 at
+0.69.  A range without tokens takes the first token of another range, told by a hash, so that the
+cells of small sets do not repeat each other; sets of less than ``SHORT`` tokens, for which that is
+not enough, bring their tokens along and are joined exactly (:mod:`prefixes`).
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from .lookalike import LEAST_VISIBLE
 
 WIDTH = 10  # characters of a run
 GROUPS, PACK = 256, 15
-CELLS, RANGES = 32, 4
+CELLS, RANGES = 40, 4
+#: Pairs with a set of fewer tokens are found exactly.
+SHORT = 150
 _SALT = mixed(np.arange(1, CELLS + 1, dtype=np.uint64))
 
 
@@ -81,21 +86,38 @@ class Sketches(TokenSets):
         self.packed = low[:, 0::2] << 4 | low[:, 1::2]
 
     def _keys(self, own: np.ndarray) -> np.ndarray:
-        """Keys of the cells each set lies in, from its first token at or behind each range's edge."""
+        """Keys of the cells each set lies in, from the first token of each range."""
         m, places = len(self.n), CELLS * RANGES
-        first = np.full((m, places), len(self.tokens), np.int64)
+        first = np.full((m, places), -1, np.int64)
         back = np.arange(len(self.tokens))[::-1]
-        first[own[back], (self.tokens[back] >> np.uint64(57)).astype(np.int64)] = back
-        first = np.minimum.accumulate(first[:, ::-1], axis=1)[:, ::-1]
-        # behind the last token it starts over
-        first = np.where(first >= (self.start + self.n)[:, None], self.start[:, None], first)
+        first[own[back], ((self.tokens[back] >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)] = back
+        row, place = np.nonzero(first < 0)
+        known, step = first.copy(), 0
+        while len(row):
+            # another range by a hash of the place and the try
+            step += 1
+            other = (mixed(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step)) % np.uint64(places)).astype(np.int64)
+            found = known[row, other]
+            first[row, place] = found
+            row, place = row[found < 0], place[found < 0]
         key = np.tile(_SALT, (m, 1))
         if m:
-            for row in range(RANGES):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + self.tokens[first[:, row * CELLS : (row + 1) * CELLS]])
+            for k in range(RANGES):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + self.tokens[first[:, k * CELLS : (k + 1) * CELLS]])
         return key.astype(np.int64)
 
 
+class GivenSets:
+    """Token sets that are known already, from their bytes."""
+
+    def __init__(self, tokens: list[bytes], fp_a: np.ndarray, fp_b: np.ndarray):
+        self.which = np.arange(len(tokens))
+        self.n = np.array([len(t) // 8 for t in tokens], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.tokens = np.frombuffer(b"".join(tokens), np.uint64)
+        self.fp_a, self.fp_b = fp_a, fp_b
+
+
 def unpacked(vectors: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), GROUPS // 2)
     out = np.empty((len(vectors), GROUPS), np.uint8)

@@ -7,7 +7,7 @@
    ``BLOCK`` members, and every pair of blocks of a cell is its own unit of work, so a hot cell is
    spread over the cluster without a cap on its members.  Equal blocks are handled once.
 4. In each unit an R-tree over the members' count vectors yields the pairs whose bound admits the
-   threshold.
+   threshold.  Pairs with a short value, which cells can miss, are found by an exact join instead.
 5. The surviving pairs are verified on the texts, and representatives expand to their copies.
 
 Defined results: null values and values with fewer than 40 letters and digits are in no pair;
@@ -25,14 +25,20 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import settled
 from .batches import map_columns
-from .countvectors import GROUPS, CELLS, CountRTree, Sketches, similarity, tokens, unpacked
+from .countvectors import CELLS, GROUPS, SHORT, CountRTree, Sketches, similarity, tokens, unpacked
+from .prefixes import given_pairs
 
 THRESHOLD = 0.6
 BLOCK = 64
+#: Groups that the partners of a row are dealt to for verification.
+PARTS = 16
 
 
-def sketches(df: DataFrame, id_column: str, fields: list[str], tag: str | None = None) -> DataFrame:
-    """``row, field, tag, n, fp_a, fp_b, keys, counts, excess`` of every value with tokens."""
+def sketches(df: DataFrame, id_column: str, fields: list[str], tag: str | None = None, least: float = THRESHOLD) -> DataFrame:
+    """``row, field, tag, n, fp_a, fp_b, keys, counts, excess, tokens`` of every value with tokens.
+
+    ``tokens`` is null but for sets small enough to be near one of less than ``SHORT`` at similarity ``least``.
+    """
 
     def make(columns):
         for k in range(len(fields)):
@@ -43,8 +49,10 @@ def sketches(df: DataFrame, id_column: str, fields: list[str], tag: str | None =
             which = pa.array(found.which)
             keys = pa.FixedSizeListArray.from_arrays(pa.array((found.keys + np.int64(k * 0x5DEECE66D)).ravel()), CELLS).cast(pa.list_(pa.int64()))
             counts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS // 2), m, [None, pa.py_buffer(np.ascontiguousarray(found.packed))]).cast(pa.binary())
+            # the tokens of short sets come along for the exact join
+            short = [found.tokens[a : a + n].tobytes() if n < SHORT / least else None for a, n in zip(found.start.tolist(), found.n.tolist())]
             yield {
-                "row": columns["key"].take(which), "field": pa.array(np.full(m, k, np.int32)), "tag": columns["tag"].take(which), "n": found.n,
+                "tokens": pa.array(short, pa.binary()), "row": columns["key"].take(which), "field": pa.array(np.full(m, k, np.int32)), "tag": columns["tag"].take(which), "n": found.n,
                 "fp_a": found.fp_a, "fp_b": found.fp_b, "keys": keys, "counts": counts, "excess": found.excess,
             }
 
@@ -53,13 +61,13 @@ def sketches(df: DataFrame, id_column: str, fields: list[str], tag: str | None =
         (F.col(f"`{tag}`") if tag else F.lit(None)).cast("string").alias("tag"),
         *(F.col(f"`{f}`").alias(f"v{k}") for k, f in enumerate(fields)),
     )
-    schema = "row bigint, field int, tag string, n int, fp_a bigint, fp_b bigint, keys array<bigint>, counts binary, excess int"
+    schema = "row bigint, field int, tag string, n int, fp_a bigint, fp_b bigint, keys array<bigint>, counts binary, excess int, tokens binary"
     return map_columns(chosen, schema, make)
 
 
 def representatives(base: DataFrame, *extra) -> DataFrame:
     """One row per distinct token set: the smallest row with its sketch, and the number of copies."""
-    best = F.min(F.struct("row", "n", "keys", "counts", "excess")).alias("best")
+    best = F.min(F.struct("row", "n", "keys", "counts", "excess", "tokens")).alias("best")
     grouped = base.groupBy("field", "fp_a", "fp_b").agg(best, F.count(F.lit(1)).alias("copies"), *extra)
     kept = [c for c in grouped.columns if c not in ("best",)]
     return grouped.select("best.*", *kept)
@@ -163,7 +171,10 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     right = units.select("unit", F.lit(True).alias("right"), F.explode("right").alias("row"))
     placed = left.unionByName(right).join(reps.select("row", "n", "counts", "excess"), "row")
     sorted_units = placed.select("unit", "right", "row", "n", "counts", "excess").repartition("unit").sortWithinPartitions("unit")
-    return sorted_units.mapInArrow(_join_units(threshold), "row_a bigint, row_b bigint").dropDuplicates(["row_a", "row_b"])
+    found = sorted_units.mapInArrow(_join_units(threshold), "row_a bigint, row_b bigint")
+    short = given_pairs(reps.where("tokens IS NOT NULL").select("row", "n", "fp_a", "fp_b", "tokens"), threshold)
+    exact = short.select(F.shiftright(F.least("e", "t"), 1).alias("row_a"), F.shiftright(F.greatest("e", "t"), 1).alias("row_b"))
+    return found.unionByName(exact).dropDuplicates(["row_a", "row_b"])
 
 
 class _Recent:
@@ -184,37 +195,59 @@ class _Recent:
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose texts (``row``, ``text``) reach the threshold, with their ``similarity``.
 
-    Texts travel once to the pairs they are in; both texts of a pair meet in a second shuffle of
-    the candidates only.
+    The partners of a row are dealt to ``PARTS`` groups by hash, and its text travels once to each
+    group that has some, so that a row with very many partners is spread over as many tasks.
     """
-    asked = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row"), "row_a", "row_b")
-    met = asked.join(texts, "row").select("row_a", "row_b", "row", "text").repartition("row_a").sortWithinPartitions("row_a", "row_b", "row")
+    part = F.pmod(F.xxhash64("row_b"), F.lit(PARTS)).cast("int").alias("part")
+    whole = pairs.select("row_a", part, "row_b")
+    asked = whole.select("row_a", "part", F.col("row_b").alias("row"), F.lit(True).alias("partner")).unionByName(
+        whole.select("row_a", "part", F.col("row_a").alias("row"), F.lit(False).alias("partner")).distinct()
+    )
+    met = asked.join(texts, "row").select("row_a", "part", "partner", "row", "text").repartition("row_a", "part").sortWithinPartitions("row_a", "part", "partner", "row")
 
     def run(batches):
         first, recent = None, _Recent()
         for batch in batches:
             out = ([], [], [])
-            for a, b, row, text in zip(*(batch.column(n).to_pylist() for n in ("row_a", "row_b", "row", "text"))):
-                t = recent.of(row, text)
-                if first is not None and first[:2] == (a, b):
-                    s = similarity(first[2], t)
-                    if s >= threshold:
-                        for store, value in zip(out, (a, b, s)):
-                            store.append(value)
-                    first = None
-                else:
-                    first = (a, b, t)
+            for a, partner, row, text in zip(*(batch.column(n).to_pylist() for n in ("row_a", "partner", "row", "text"))):
+                if not partner:
+                    first = recent.of(row, text)
+                    continue
+                s = similarity(first, recent.of(row, text))
+                if s >= threshold:
+                    for store, value in zip(out, (a, row, s)):
+                        store.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["row_a", "row_b", "similarity"])
 
     return met.mapInArrow(run, "row_a bigint, row_b bigint, similarity double")
 
 
-def near_pairs(df: DataFrame, id_column: str = "row_id", text_column: str = "article", threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of rows whose texts reach the threshold: ``row_a < row_b, similarity``."""
-    base = settled(sketches(df, id_column, [text_column]))
+def _linked(df: DataFrame, id_column: str, text_column: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches, representatives, and verified pairs of representatives."""
+    base = settled(sketches(df, id_column, [text_column], least=threshold))
     reps = settled(representatives(base))
     texts = df.select(F.col(f"`{id_column}`").alias("row"), F.col(f"`{text_column}`").alias("text"))
-    pairs = verified(candidates(reps, threshold), texts, threshold)
+    return base, reps, verified(candidates(reps, threshold), texts, threshold)
+
+
+def near_classes(df: DataFrame, id_column: str = "row_id", text_column: str = "article", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per text that takes part: ``row, class_id, copies, links``.
+
+    ``class_id`` is the smallest row with an equal token set, ``copies`` the rows of that class, and
+    ``links`` the other rows whose texts reach the threshold, copies included.  Nothing expands to
+    pairs of copies, so a class of a third of all rows costs its rows.
+    """
+    base, reps, pairs = _linked(df, id_column, text_column, threshold)
+    size = reps.select(F.col("row").alias("other"), F.col("copies").alias("weight"))
+    both = pairs.select(F.col("row_a").alias("rep"), F.col("row_b").alias("other")).unionByName(pairs.select(F.col("row_b").alias("rep"), F.col("row_a").alias("other")))
+    reached = both.join(size, "other").groupBy("rep").agg(F.sum("weight").alias("near"))
+    known = reps.select("fp_a", "fp_b", F.col("row").alias("rep"), "copies").join(reached, "rep", "left")
+    return base.select("row", "fp_a", "fp_b").join(known, ["fp_a", "fp_b"]).select("row", F.col("rep").alias("class_id"), "copies", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+
+
+def near_pairs(df: DataFrame, id_column: str = "row_id", text_column: str = "article", threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair of rows whose texts reach the threshold: ``row_a < row_b, similarity``."""
+    base, reps, pairs = _linked(df, id_column, text_column, threshold)
     group = ["fp_a", "fp_b"]
     classes = reps.where("copies > 1").select(*group, F.col("row").alias("rep"))
     copies = base.select(*group, "row").join(classes, group).select("rep", "row")

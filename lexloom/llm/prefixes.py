@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_columns
-from .countvectors import TokenSets
+from .countvectors import GivenSets, TokenSets
 
 SAMPLE_ROWS = 2_000
 RARITY_BITS = 22
 #: One more common token is asked of the prefixes for so many of the smaller set.
 STEP = 20
-BUCKET_TOKENS = 5_000_000
+BUCKET_TOKENS = 1_000_000
+LEAST_BUCKETS = 64
 #: Meetings held at a time.
 HELD = 4_000_000
 
@@ -51,20 +52,26 @@ def least_shared(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
-def rarity(df: DataFrame, id_column: str, fields: list[str], rows: int) -> np.ndarray:
+def _sets(columns, field: int):
+    """Token sets of one field of a batch, made of its texts or given."""
+    if "tokens" in columns:
+        return GivenSets(columns["tokens"].to_pylist(), columns["fp_a"].to_numpy(), columns["fp_b"].to_numpy())
+    return TokenSets(columns[f"v{field}"].to_pylist())
+
+
+def rarity(chosen: DataFrame, fields: int, rows: int) -> np.ndarray:
     """Counts, up to 255, of the tokens of a sample of about ``SAMPLE_ROWS`` rows by their first bits."""
-    part = F.pmod(F.xxhash64(f"`{id_column}`"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / max(1, rows)) * (1 << 20))
+    part = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / max(1, rows)) * (1 << 20))
 
     def make(columns):
         total = np.zeros(1 << RARITY_BITS, np.int64)
-        for k in range(len(fields)):
-            t = TokenSets(columns[f"v{k}"].to_pylist()).tokens
+        for k in range(fields):
+            t = _sets(columns, k).tokens
             total += np.bincount((t >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
         yield {"counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]}
 
-    sample = df.where(part).select(*(F.col(f"`{f}`").alias(f"v{k}") for k, f in enumerate(fields))).repartition(4)
     total = np.zeros(1 << RARITY_BITS, np.int64)
-    for r in map_columns(sample, "counts binary", make).toLocalIterator():
+    for r in map_columns(chosen.where(part).repartition(4), "counts binary", make).toLocalIterator():
         total += np.frombuffer(r.counts, np.uint8)
     return np.minimum(total, 255).astype(np.uint8)
 
@@ -201,26 +208,37 @@ def prefix_pairs(df: DataFrame, base: DataFrame, id_column: str, fields: list[st
     without them e < t.  ``base`` has ``n`` of every value.
     """
     sides = evaluated is not None
+    truth = F.lit(True)
+    chosen = df.select(
+        F.col(f"`{id_column}`").alias("key"), (evaluated if sides else truth).alias("evaluated"), (trained if sides else truth).alias("trained"),
+        *(F.col(f"`{f}`").alias(f"v{k}") for k, f in enumerate(fields)),
+    )
+    return _pairs(chosen, base, len(fields), threshold, sides)
+
+
+def given_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``e, t``: :func:`prefix_pairs` of known sets ``row, n, fp_a, fp_b, tokens``; ids are ``2 row``."""
+    truth = F.lit(True)
+    chosen = sets.select(F.col("row").alias("key"), truth.alias("evaluated"), truth.alias("trained"), "tokens", "fp_a", "fp_b")
+    return _pairs(chosen, sets, 1, threshold, False)
+
+
+def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, sides: bool) -> DataFrame:
     count = base.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    buckets = int(min(1 << 16, max(4, -(-int(count.tokens * (1 - threshold + 1 / STEP)) // BUCKET_TOKENS))))
-    rare = df.sparkSession.sparkContext.broadcast(rarity(df, id_column, fields, count.rows))
+    buckets = int(min(1 << 16, max(LEAST_BUCKETS, -(-int(count.tokens * (1 - threshold + 1 / STEP)) // BUCKET_TOKENS))))
+    rare = chosen.sparkSession.sparkContext.broadcast(rarity(chosen, fields, count.rows))
 
     def deal(columns):
         rows = columns["key"].to_numpy()
         e, t = (columns[n].to_numpy(zero_copy_only=False) for n in ("evaluated", "trained"))
-        for k in range(len(fields)):
-            sets = TokenSets(columns[f"v{k}"].to_pylist())
+        for k in range(fields):
+            sets = _sets(columns, k)
             if len(sets.which):
                 own = sets.which
                 found = list(_dealt(sets, rows[own] * 2 + k, e[own], t[own], rare.value, threshold, buckets))
-                yield {"bucket": np.array([b * len(fields) + k for b, _ in found], np.int32), "data": [d for _, d in found]}
+                yield {"bucket": np.array([b * fields + k for b, _ in found], np.int32), "data": [d for _, d in found]}
 
-    truth = F.lit(True)
-    chosen = df.select(
-        F.col(f"`{id_column}`").alias("key"), (evaluated if sides else truth).alias("evaluated"), (trained if sides else truth).alias("trained"),
-        *(F.col(f"`{f}`").alias(f"v{k}") for k, f in enumerate(fields)),
-    )
-    dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(min(buckets * len(fields), 4096), "bucket").sortWithinPartitions("bucket")
+    dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(min(buckets * fields, 4096), "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("e", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("others", pa.binary())])
 
     def meet(batches):

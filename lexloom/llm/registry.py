@@ -22,6 +22,12 @@ def p2_found(spark, sf_dir):
     return nearcopies.near_pairs(articles).select("row_a", "row_b")
 
 
+def p2_classes(spark, sf_dir):
+    """Every article with its class of equal ones and the number of its near-duplicates."""
+    articles = spread(read_table(spark, sf_dir, "articles").select("row_id", "article"))
+    return nearcopies.near_classes(articles)
+
+
 def p3_found(spark, sf_dir):
     """Pairs of rows whose article or highlights read the same in other code points."""
     return lookalike.same_reading(spread(read_table(spark, sf_dir, "articles").select("row_id", "article", "highlights")))
@@ -116,7 +122,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p3_found, p3_forms, p4_found, p4_counts, p4_coverage, p5_subsets, p5_comparison, p5_scope_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_lists, p2_found, p2_classes, p3_found, p3_forms, p4_found, p4_counts, p4_coverage, p5_subsets, p5_comparison, p5_scope_comparison, p6_ids, p6_decoded, p7_containers, p7_usage, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict:

@@ -54,6 +54,47 @@ def test_hot_cell_is_cut_into_blocks(spark, monkeypatch):
     assert {tuple(r)[:2] for r in nearcopies.near_pairs(df).collect()} == brute_pairs(rows)
 
 
+def test_keys_meet_in_every_class():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for chars in (170, 300, 900):
+        a, b, near = [], [], []
+        for _ in range(400):
+            x = "".join(rng.choice(letters) for _ in range(chars))
+            cut = int(chars * rng.uniform(0.08, 0.26))
+            at = rng.randrange(chars - cut)
+            y = x[:at] + "".join(rng.choice(letters) for _ in range(cut)) + x[at + cut :]
+            s = countvectors.similarity(countvectors.tokens(x), countvectors.tokens(y))
+            if s >= 0.6:
+                a.append(x)
+                b.append(y)
+        met = (countvectors.Sketches(a).keys == countvectors.Sketches(b).keys).any(axis=1)
+        assert len(a) > 150 and met.mean() >= 0.985, chars
+
+
+def test_short_values_and_classes(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefghijkl") for _ in range(n)) for n in (45, 60, 80, 120) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    for k, t in enumerate(base):
+        at = rng.randrange(len(t) - 4)
+        rows.append((1000 + k, t[:at] + "zz" + t[at + 1 :]))
+        rows.append((2000 + k, t[: int(len(t) * 0.8)] + "q" * 9))
+        if k % 3 == 0:
+            rows.append((3000 + k, t))
+    want = brute_pairs(rows)
+    df = spark.createDataFrame(rows, "row_id bigint, article string")
+    assert {tuple(r)[:2] for r in nearcopies.near_pairs(df).collect()} == want
+    links = {}
+    for a, b in want:
+        links[a] = links.get(a, 0) + 1
+        links[b] = links.get(b, 0) + 1
+    found = {r.row: r for r in nearcopies.near_classes(df).collect()}
+    assert {k: r.links for k, r in found.items()} == {k: links.get(k, 0) for k, _ in rows}
+    assert found[3000].class_id == 0 and found[3000].copies == 2 and nearcopies.near_classes(df.limit(0)).count() == 0
+
+
+
 def test_tree_bound_loses_nothing():
     rng = random.Random(9)
     texts = [passage(rng) for _ in range(60)]
