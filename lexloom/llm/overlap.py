@@ -22,13 +22,14 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.formats import split_name
 from ..sources.tables import settled
 from .coverage import covered
 from .countvectors import WIDTH, distinct, similarity
-from .forms import bare, run_hashes
+from .forms import bare_batch, run_hashes
 from .nearcopies import THRESHOLD
 from .prefixes import fingerprints, prefix_pairs
 
@@ -38,10 +39,7 @@ SHARD_VALUES = 16
 AUTOMATON_PASSAGES = 200_000
 
 
-def split_of(name: Column) -> Column:
-    """train, validation, test or another split's name without outer spaces and case; null is none."""
-    plain = F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
-    return F.when(plain == "training", "train").when(plain.isin("valid", "val", "dev"), "validation").otherwise(plain)
+split_of = split_name  # train, validation, test or another split's name; null is none
 
 
 class _Shard:
@@ -56,15 +54,12 @@ class _Shard:
         self.open: dict[str, list[int]] = {}
         self.automata: list = []
 
-    def add(self, row: int, text: str, tokens: np.ndarray) -> None:
+    def add(self, row: int, text: str, runs: np.ndarray, tokens: np.ndarray) -> None:
         number = len(self.values) << 32
-        first: dict[str, int] = {}
-        for k in range(len(text) - WIDTH + 1):
-            first.setdefault(text[k : k + WIDTH], k)
-        passages = list(first)[::2]
-        for k, passage in enumerate(passages):
-            self.open.setdefault(passage, []).append(number | k)
-        self.values.append((row, tokens, len(text), [first[x] for x in passages]))
+        places = np.sort(np.unique(runs, return_index=True)[1])[::2].tolist()
+        for k, at in enumerate(places):
+            self.open.setdefault(text[at : at + WIDTH], []).append(number | k)
+        self.values.append((row, tokens, len(text), places))
         if len(self.open) >= AUTOMATON_PASSAGES:
             self.close()
 
@@ -106,13 +101,16 @@ def _scan(threshold: float):
         shard_key, shard, ready = None, _Shard(), False
         for batch in batches:
             out = ([], [], [], [])
-            for key, train, row, text in zip(*(batch.column(n).to_pylist() for n in ("shard", "train", "row", "text"))):
+            c, sizes = bare_batch(batch.column("text").to_pylist())
+            whole, runs = c.tobytes().decode("utf-32-le", "surrogatepass"), run_hashes(c, WIDTH)
+            begin = (np.cumsum(sizes) - sizes).tolist()
+            for key, train, row, a, n in zip(*(batch.column(n).to_pylist() for n in ("shard", "train", "row")), begin, sizes.tolist()):
                 if key != shard_key:
                     shard_key, shard, ready = key, _Shard(), False
-                c = bare(text)
-                plain, tokens = c.tobytes().decode("utf-32-le", "surrogatepass"), distinct(run_hashes(c, WIDTH))
+                own = runs[a : a + n - WIDTH + 1]
+                plain, tokens = whole[a : a + n], distinct(own)
                 if not train:
-                    shard.add(row, plain, tokens)
+                    shard.add(row, plain, own, tokens)
                     continue
                 if not ready:
                     shard.close()
