@@ -11,7 +11,7 @@ A token set (hashes of all runs of 10 characters) is described by
 Vectors of one high-dimensional corpus can't be split over executors by their bounding boxes: with
 hundreds of dimensions nearly every point would have to be copied to every box.  So the forest of
 R-trees is split by the keys: sets meet in a cell when they begin alike in four ranges of groups.
-Two sets of similarity s share a cell with probability 1 - (1 - s^4)^40: 0.996 at 0.6, 0.9999 at
+Two sets of similarity s share a cell with probability 1 - (1 - s^4)^34: 0.991 at 0.6, 0.9998 at
 0.69.  A range without tokens takes the first token of another range, told by a hash, so that the
 cells of small sets do not repeat each other; sets of less than ``SHORT`` tokens, for which that is
 not enough, bring their tokens along and are joined exactly (:mod:`prefixes`).
@@ -26,7 +26,7 @@ from .lookalike import LEAST_VISIBLE
 
 WIDTH = 10  # characters of a run
 GROUPS, PACK = 256, 15
-CELLS, RANGES = 40, 4
+CELLS, RANGES = 34, 4
 #: Pairs with a set of fewer tokens are found exactly.
 SHORT = 150
 _SALT = mixed(np.arange(1, CELLS + 1, dtype=np.uint64))

@@ -24,8 +24,9 @@ SAMPLE_ROWS = 2_000
 RARITY_BITS = 22
 #: One more common token is asked of the prefixes for so many of the smaller set.
 STEP = 20
-BUCKET_TOKENS = 1_000_000
-LEAST_BUCKETS = 64
+#: Every bucket repeats the heads of its sets, so buckets are as large as a task can hold.
+BUCKET_TOKENS = 5_000_000
+LEAST_BUCKETS = 4
 #: Meetings held at a time.
 HELD = 4_000_000
 
@@ -238,7 +239,7 @@ def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, si
                 found = list(_dealt(sets, rows[own] * 2 + k, e[own], t[own], rare.value, threshold, buckets))
                 yield {"bucket": np.array([b * fields + k for b, _ in found], np.int32), "data": [d for _, d in found]}
 
-    dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(min(buckets * fields, 4096), "bucket").sortWithinPartitions("bucket")
+    dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(min(16 * buckets * fields, 4096), "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("e", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("others", pa.binary())])
 
     def meet(batches):
