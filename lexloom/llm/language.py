@@ -52,16 +52,25 @@ CODES = {
 NAMED = {name: code for code, names in CODES.items() for name in names.split()}
 
 
-def named_language(label: str | None) -> str | None:
+def names_of(languages) -> dict[str, str]:
+    """Name -> code of the rows ``lang, lang_title`` of a language table: codes, titles, and known three-letter codes."""
+    out = {}
+    for code, title in languages:
+        for name in [code.lower(), *([title.strip().lower()] if title else []), *CODES.get(code.lower(), "").split()]:
+            out[name] = code.lower()
+    return out
+
+
+def named_language(label: str | None, named: dict[str, str] = NAMED) -> str | None:
     """The code a label names, or None: a code with or without a region, or the English name."""
     if label is None:
         return None
     name = label.strip().lower()
-    found = NAMED.get(name)
+    found = named.get(name)
     if found is None:
         head, _, region = name.replace("_", "-").partition("-")
         if region and len(head) <= 3:
-            found = NAMED.get(head)
+            found = named.get(head)
     return found
 
 
@@ -128,6 +137,7 @@ class Model:
 
     def __init__(self, table: np.ndarray, bias: np.ndarray, names: list[str], temperature: float, reject: float):
         self.table, self.bias, self.names, self.temperature, self.reject = table, bias, names, temperature, reject
+        self.noise = 0.0  # share of wrong labels among the held-out sentences, as estimated
 
     def logits(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated logits of each line, its number of letters, and its share of known runs."""
@@ -202,23 +212,62 @@ def _descend(runs: list[np.ndarray], y: np.ndarray, classes: int, rng, epochs: i
     return emb, w, b
 
 
-def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
-    """A calibrated model from labelled texts; ``labels`` are codes of :data:`CODES`."""
+def sampled(text: str, seed: int, most: int = SAMPLE_SENTENCES) -> list[str]:
+    """Up to ``most`` sentences with at least eight letters, drawn from the whole text."""
+    found = [s for s in (text[a:b] for a, b in spans(text)) if sum(ch.isalpha() for ch in s) >= 8]
+    if len(found) <= most:
+        return found
+    rng = np.random.default_rng(seed)
+    return [found[k] for k in np.sort(rng.choice(len(found), most, replace=False))]
+
+
+def calibrated(z: np.ndarray, answer: np.ndarray) -> tuple[float, float, float]:
+    """Temperature, share of wrong labels, and rejection threshold from held-out sentences with noisy labels.
+
+    A label is right with probability 1 - noise and else any of the languages, so its likelihood is
+    (1 - noise) p + noise / K; temperature and noise maximise it over all held-out sentences.  The
+    threshold is the least confidence above which the accuracy, corrected for the noise, is
+    ``ACCEPTED_ACCURACY``.
+    """
+    k, every = z.shape[1], np.arange(len(z))
+    best = (-np.inf, 1.0, 0.0)
+    for t in np.geomspace(0.2, 4, 40):
+        own = softmax(z / t)[every, answer]
+        for noise in np.linspace(0, 0.5, 51):
+            likely = float(np.log((1 - noise) * own + noise / k + 1e-12).mean())
+            if likely > best[0]:
+                best = (likely, float(t), float(noise))
+    _, t, noise = best
+    p = softmax(z / t)
+    sure, agrees = p.max(axis=1), p.argmax(axis=1) == answer
+    order = np.argsort(-sure)
+    agreement = np.cumsum(agrees[order]) / np.arange(1, len(order) + 1)
+    accuracy = (agreement - noise / k) / (1 - noise)
+    good = np.flatnonzero(accuracy >= ACCEPTED_ACCURACY)
+    return t, noise, float(min(0.9, max(0.5, sure[order][good[-1]]))) if len(good) else 0.9
+
+
+def fit(texts: list[list[str]] | list[str], labels: list[str], seed: int = SEED) -> Model:
+    """A calibrated model from labelled texts or their sampled sentences; ``labels`` are language codes.
+
+    Labels may be wrong: training sentences are cleaned by models of the other half of the documents;
+    calibration uses all sentences of the held-out documents, clean or not (:func:`calibrated`).
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     index = {n: k for k, n in enumerate(names)}
-    lines, y = [], []
-    for text, label in zip(texts, labels):
-        found = [text[a:b] for a, b in spans(text[:20_000])[:SAMPLE_SENTENCES]]
-        found = [s for s in found if sum(ch.isalpha() for ch in s) >= 8]
+    lines, y, owner = [], [], []
+    for k, (text, label) in enumerate(zip(texts, labels)):
+        found = sampled(text, seed + k) if isinstance(text, str) else text
         lines += found
         y += [index[label]] * len(found)
-    y = np.array(y, np.int64)
+        owner += [k] * len(found)
+    y, owner = np.array(y, np.int64), np.array(owner, np.int64)
     c = folded(lines)
     stops = np.flatnonzero(c == 10) + 1
     by_order = hashed(c)
     runs = [np.concatenate([h[a:b] for h in by_order]) for a, b in zip(np.concatenate([[0], stops[:-1]]), stops)]
-    part = rng.integers(0, 20, len(y))
+    part = rng.integers(0, 20, len(texts))[owner]
     held, left = part < 3, part % 2 == 0
 
     def train(keep: np.ndarray, epochs: int) -> Model:
@@ -236,38 +285,34 @@ def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
         if half.any() and (~half).any():
             z = train(~half, 2).logits([lines[i] for i in np.flatnonzero(half)])[0]
             clean[half] = z.argmax(axis=1) == y[half]
-    if not (held & clean).any() or not (~held & clean).any():
+    if not held.any() or not (~held & clean).any():
         return train(np.ones(len(y), bool), 3)
     model = train(~held & clean, 3)
-    z = model.logits([lines[i] for i in np.flatnonzero(held & clean)])[0]
-    answer = y[held & clean]
-    best = min(np.geomspace(0.2, 4, 40), key=lambda t: -np.log(softmax(z / t)[np.arange(len(answer)), answer] + 1e-12).mean())
-    model.temperature = float(best)
-    p = softmax(z / best)
-    sure, right = p.max(axis=1), p.argmax(axis=1) == answer
-    order = np.argsort(-sure)
-    accuracy = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(accuracy >= ACCEPTED_ACCURACY)
-    model.reject = float(min(0.9, max(0.5, sure[order][good[-1]]))) if len(good) else 0.9
+    z = model.logits([lines[i] for i in np.flatnonzero(held)])[0]
+    model.temperature, model.noise, model.reject = calibrated(z, y[held])
     return model
 
 
-def train(df: DataFrame, text_column: str = "text", label_column: str = "lang", id_column: str = "doc_id", most: int = SAMPLE_DOCS) -> Model:
+def train(df: DataFrame, text_column: str = "text", label_column: str = "lang", id_column: str = "doc_id", most: int = SAMPLE_DOCS, named: dict[str, str] = NAMED) -> Model:
     """Fit on at most about ``most`` labelled documents, drawn by a hash of their id.
 
-    Only the sample reaches the driver; its size is bounded whatever the table's.
+    Only the sample's sentences (``SAMPLE_SENTENCES`` of each document, from the whole text) reach
+    the driver; their number is bounded whatever the table's size.
     """
-    known = sorted({s for names in CODES.values() for s in names.split()})
     head = F.split(F.lower(F.trim(F.col(label_column))), "[-_]")[0]
-    labelled = df.where(head.isin(known) & F.col(text_column).isNotNull())
+    labelled = df.where(head.isin(sorted(named)) & F.col(text_column).isNotNull())
     there = labelled.select(label_column).count()
     share = min(1.0, most / max(1, there))
     picked = labelled.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = picked.select(F.substring(text_column, 1, 20_000).alias("t"), F.col(label_column).alias("l")).limit(2 * most).collect()
-    pairs = [(r.t, code) for r in rows if (code := named_language(r.l))]
+
+    def make(columns):
+        return {"l": columns["l"], "s": [sampled(t, SEED) for t in columns["t"].to_pylist()]}
+
+    rows = map_columns(picked.select(F.col(text_column).alias("t"), F.col(label_column).alias("l")), "l string, s array<string>", make).limit(2 * most).collect()
+    pairs = [(r.s, code) for r in rows if (code := named_language(r.l, named))]
     if not pairs:
         raise ValueError("no document carries a label that names a known language")
-    return fit([t for t, _ in pairs], [c for _, c in pairs])
+    return fit([s for s, _ in pairs], [c for _, c in pairs])
 
 
 def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
@@ -349,7 +394,7 @@ def _join(model: Model, z, p, letters, known, told, cuts) -> list[tuple[str, int
     return out
 
 
-def languages(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> DataFrame:
+def languages(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", named: dict[str, str] = NAMED) -> DataFrame:
     """One row per stretch: ``seg_no, lang, start_char, end_char, confidence, is_case``.
 
     ``is_case`` holds for documents with more than one stretch and for those whose label does not
@@ -361,7 +406,7 @@ def languages(df: DataFrame, model: Model, id_column: str = "doc_id", text_colum
         out = {k: [] for k in (id_column, "seg_no", "lang", "start_char", "end_char", "confidence", "is_case")}
         keys, labels = columns["key"].to_pylist(), columns["label"].to_pylist()
         for key, label, found in zip(keys, labels, stretches(shared.value, columns["text"].to_pylist())):
-            case = len(found) > 1 or len(found) == 1 and named_language(label) != found[0][0]
+            case = len(found) > 1 or len(found) == 1 and named_language(label, named) != found[0][0]
             for k, (lang, a, b, sure) in enumerate(found):
                 for name, value in zip(out, (key, k, lang, a, b, sure, case)):
                     out[name].append(value)

@@ -113,7 +113,8 @@ def p7_usage(spark, sf_dir):
 def p8_languages(spark, sf_dir):
     """Every stretch of every document with its language, place and confidence."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language.languages(spread(documents), language.train(documents))
+    named = language.names_of([(r.lang, r.lang_title) for r in read_table(spark, sf_dir, "languages").collect()])  # a table that does not grow
+    return language.languages(spread(documents), language.train(documents, named=named), named=named)
 
 
 def p8_found(spark, sf_dir):

@@ -173,3 +173,22 @@ def test_language_table(spark, model):
 
 def test_unicode_data_is_current():
     assert unicodedata.unidata_version >= "15"
+
+
+def test_calibration_sees_wrong_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    truth = rng.integers(0, 5, 6000)
+    z = rng.normal(0, 1, (6000, 5))
+    z[np.arange(6000), truth] += 2.5
+    # logits of a calibrated model: the class means are 2.5 apart with unit noise
+    z *= 2.5
+    label = np.where(rng.random(6000) < 0.2, rng.integers(0, 5, 6000), truth)
+    t, noise, reject = language.calibrated(z * 3, label)
+    assert abs(t - 3) < 0.6 and abs(noise - 0.2) < 0.04 and 0.5 <= reject <= 0.9
+
+
+def test_names_come_from_the_language_table():
+    named = language.names_of([("en", "English"), ("xx", "Newish")])
+    assert language.named_language("eng", named) == "en" and language.named_language("Newish", named) == "xx" and language.named_language("de", named) is None
