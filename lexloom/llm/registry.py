@@ -67,7 +67,7 @@ def _subsets(spark, sf_dir):
     base = varied.records(
         spread(read_table(spark, sf_dir, "processed").select("id", "sentences")),
         read_table(spark, sf_dir, "articles").select("id", "split_name", "source"),
-        read_table(spark, sf_dir, "predictions").select("id", "selected_indices"),
+        read_table(spark, sf_dir, "predictions").select("run_id", "id", "selected_indices"),
         requests,
     )
     return varied.subsets(base, requests), base

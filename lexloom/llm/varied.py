@@ -230,18 +230,21 @@ def records(processed: DataFrame, articles: DataFrame, predictions: DataFrame, r
     """``rec, id, sentences, asked, votes, voters``: each record with the requests that ask for it.
 
     ``votes`` has how many predictions of the id selected each sentence; indices out of range
-    don't count, repeated ones count once a prediction.
+    don't count, repeated ones count once a prediction, and a selection that a run wrote twice
+    counts once.  Records are told apart by two hashes, so that none is dropped by chance.
     """
-    base = processed.select("id", "sentences", F.xxhash64("id", "sentences").alias("rec")).where("sentences IS NOT NULL").dropDuplicates(["rec"])
+    marked = processed.select("id", "sentences", F.xxhash64("id", "sentences").alias("rec"), F.hash("sentences", "id").alias("rec2")).where("sentences IS NOT NULL")
+    base = marked.dropDuplicates(["rec", "rec2"]).drop("rec2")
+    predictions = predictions.select("run_id", "id", "selected_indices").where("id IS NOT NULL AND selected_indices IS NOT NULL").distinct()
     kinds = requests.select("request_id", "scope_kind", "scope_name")
     own = articles.select("id", split_of(F.col("split_name")).alias("split"), "source").where("id IS NOT NULL").distinct()
-    named = F.broadcast(kinds.where("scope_kind IN ('split', 'source')"))  # a few stated requests, whatever the data
-    hit = ((F.col("scope_kind") == "split") & (F.col("scope_name") == F.col("split"))) | ((F.col("scope_kind") == "source") & (F.col("scope_name") == F.col("source")))
-    scoped = own.join(named, hit).groupBy("id").agg(F.collect_set("request_id").alias("named"))
+    # one equi-join for each kind of scope; the requests are a stated table that does not grow
+    of = lambda kind: own.join(kinds.where(F.col("scope_kind") == kind).select("request_id", F.col("scope_name").alias(kind)), kind).select("id", "request_id")
+    scoped = of("split").unionByName(of("source")).groupBy("id").agg(F.collect_set("request_id").alias("named"))
     sizes = base.groupBy("id").agg(F.max(F.size("sentences")).alias("n"))
     marks = predictions.select("id", F.explode(F.array_distinct("selected_indices")).alias("k")).where("k >= 0").groupBy("id", "k").agg(F.count(F.lit(1)).alias("c"))
     votes = marks.join(sizes, "id").where("k < n").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("votes"))
-    voters = predictions.where("selected_indices IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("voters"))
+    voters = predictions.groupBy("id").agg(F.count(F.lit(1)).alias("voters"))
     everyone = [r[0] for r in kinds.where("scope_kind = 'all'").collect()]
     asked = F.concat(F.array(*map(F.lit, everyone)).cast("array<int>"), F.coalesce("named", F.expr("CAST(array() AS array<int>)")))
     joined = base.join(scoped, "id", "left").join(votes, "id", "left").join(voters, "id", "left")

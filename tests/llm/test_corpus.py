@@ -249,7 +249,7 @@ def test_subsets(spark):
     lists = [[s for t in topics for s in t[k : k + 2]] + ["same sentence everywhere."] * (k % 4) for k in range(0, 30, 2)]
     processed = spark.createDataFrame([(f"train_{k}", x, "h") for k, x in enumerate(lists)] + [("none", None, ""), ("empty", [], ""), ("few", ["Only one here.", None, "…"], "")], "id string, sentences array<string>, highlights string")
     articles = spark.createDataFrame([(f"train_{k}", "test" if k % 2 else "valid", "s1") for k in range(15)], "id string, split_name string, source string")
-    predictions = spark.createDataFrame([("train_0", [0, 2, 2, 99]), ("train_0", [0]), ("train_1", None)], "id string, selected_indices array<int>")
+    predictions = spark.createDataFrame([("r", "train_0", [0, 2, 2, 99]), ("r", "train_0", [0, 2, 2, 99]), ("r", "train_0", [0]), ("r", "train_1", None)], "run_id string, id string, selected_indices array<int>")
     requests = spark.createDataFrame([(1, "all", None, 6), (2, "each_record", None, 3), (3, "split", "test", 4), (4, "source", "s1", 500), (5, "source", "nobody", 5)], "request_id int, scope_kind string, scope_name string, pick_count int")
     base = varied.records(processed, articles, predictions, requests)
     picked = varied.subsets(base, requests)
@@ -273,7 +273,7 @@ def test_scope_of_alike_sentences_gives_the_whole_count(spark):
     lists = [[f"Flight {k} landed at gate {k + n}." for n in range(3)] for k in range(10)] * 2 + [["One other sentence stands here."]] * 40
     processed = spark.createDataFrame([(f"train_{k}", x) for k, x in enumerate(lists)], "id string, sentences array<string>")
     articles = spark.createDataFrame([(f"train_{k}", "test" if k < 15 else "train", "s1") for k in range(len(lists))], "id string, split_name string, source string")
-    predictions = spark.createDataFrame([("train_0", [0])], "id string, selected_indices array<int>")
+    predictions = spark.createDataFrame([("r", "train_0", [0])], "run_id string, id string, selected_indices array<int>")
     requests = spark.createDataFrame([(1, "all", None, 25), (2, "split", "test", 30), (3, "source", "s1", 900)], "request_id int, scope_kind string, scope_name string, pick_count int")
     rows = varied.subsets(varied.records(processed, articles, predictions, requests), requests).collect()
     for request, count in ((1, 25), (2, 30), (3, 31)):
