@@ -48,6 +48,16 @@ def fingerprints(df: DataFrame, id_column: str, fields: list[str], tag: str) ->
     return map_columns(chosen, "row bigint, field int, tag string, n int, fp_a bigint, fp_b bigint", make)
 
 
+def even_keys(spark, n: int, parts: int) -> np.ndarray:
+    """``n`` different keys that hash partitioning deals evenly to ``parts`` partitions."""
+    tried = spark.range(0, max(1000, 40 * n), numPartitions=1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).collect()
+    by: list[list[int]] = [[] for _ in range(parts)]
+    for r in tried:
+        by[r.p].append(r.k)
+    spare = iter([k for held in by for k in held[-(-n // parts) :]])
+    return np.array([by[i % parts][i // parts] if i // parts < len(by[i % parts]) else next(spare) for i in range(n)], np.int32)
+
+
 def least_shared(n: np.ndarray, threshold: float) -> np.ndarray:
     """Tokens that a set of ``n`` shares with any set it reaches the threshold with."""
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
@@ -229,6 +239,9 @@ def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, si
     buckets = int(min(1 << 16, max(LEAST_BUCKETS, -(-int(count.tokens * (1 - threshold + 1 / STEP)) // BUCKET_TOKENS))))
     rare = chosen.sparkSession.sparkContext.broadcast(rarity(chosen, fields, count.rows))
 
+    parts = min(buckets * fields, 4096)
+    slots = even_keys(chosen.sparkSession, buckets * fields, parts)
+
     def deal(columns):
         rows = columns["key"].to_numpy()
         e, t = (columns[n].to_numpy(zero_copy_only=False) for n in ("evaluated", "trained"))
@@ -237,9 +250,9 @@ def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, si
             if len(sets.which):
                 own = sets.which
                 found = list(_dealt(sets, rows[own] * 2 + k, e[own], t[own], rare.value, threshold, buckets))
-                yield {"bucket": np.array([b * fields + k for b, _ in found], np.int32), "data": [d for _, d in found]}
+                yield {"bucket": slots[[b * fields + k for b, _ in found]], "data": [d for _, d in found]}
 
-    dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(min(16 * buckets * fields, 4096), "bucket").sortWithinPartitions("bucket")
+    dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(parts, "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("e", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("others", pa.binary())])
 
     def meet(batches):

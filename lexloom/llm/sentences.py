@@ -14,7 +14,9 @@ however long.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
 import regex
@@ -98,7 +100,7 @@ FUNCTION_WORDS = {
 _VOTES = {}
 for _lang, _list in FUNCTION_WORDS.items():
     for _w in _list.split():
-        _VOTES.setdefault(unicodedata.normalize("NFD", _w), []).append(_lang)
+        _VOTES.setdefault(unicodedata.normalize("NFC", _w), []).append(_lang)
 _OPENERS = _words(*FUNCTION_WORDS.values())
 _MONTHS = _words("januar jänner februar märz april mai juni juli august september oktober november dezember")
 _RU_YEAR = _words("г гг в вв")
@@ -113,7 +115,7 @@ _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」",
 _CLOSE = {v: k for k, v in _OPEN.items() if v not in "“‘"}
 _BRACKETS = frozenset("([{（［【")
 _STRAIGHT = frozenset('"＂')
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 #: Every script's terminators by character property, but for the plain full stops, and the full-width full stop.
 _STRONG = frozenset(c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Break=STerm}", c)) | {"．"}
 #: Ideographic and Indic full stops, which end a sentence whatever follows.
@@ -182,11 +184,11 @@ def _skip(text: str, at: int, end: int) -> int:
 def _language(text: str) -> str | None:
     """Language of the closed-class words of a text in Latin letters; None if they don't tell clearly."""
     votes: dict[str, float] = {}
-    for m in _WORD.finditer(skeleton(text).lower()):
-        langs = _VOTES.get(m.group())
-        if langs:
-            for lang in langs:
-                votes[lang] = votes.get(lang, 0) + 1 / len(langs)
+    counts = Counter(_WORD.findall(unicodedata.normalize("NFC", skeleton(text)).lower()))
+    for word in counts.keys() & _VOTES.keys():
+        langs = _VOTES[word]
+        for lang in langs:
+            votes[lang] = votes.get(lang, 0) + counts[word] / len(langs)
     ranked = sorted(votes.items(), key=lambda x: -x[1])
     if not ranked or ranked[0][1] < 1 or len(ranked) > 1 and ranked[0][1] < 1.5 * ranked[1][1]:
         return None
@@ -320,27 +322,32 @@ class _Block:
         if not self.new_sentence(nxt):
             return False
         whole, folded = _fold(token), _fold(last)
-        before = _word_before(text, token_at, begin) if len(token) == len(last) else text[token_at : at - len(last)]
-        previous = _fold(before.split()[-1]).rstrip(".") if before else ""
-        opens = self.opens(nxt)
         if folded in _RU_YEAR:
-            return previous[-1:].isdigit()
+            return self.previous(token_at, at, token, last, begin)[-1:].isdigit()
         if whole in MAYBE or folded in MAYBE and len(last) > 1:
-            word = _fold(_next_word(text, nxt))
             if whole in _CLOCK:
-                return word not in _DAYS
-            if whole in _STATES:
-                return opens
-            return True
-        if self.never(token, last, previous[-1:].isdigit()) or folded.endswith("str") and follow.isdigit():
-            return False
-        if (whole in NUMBERED or folded in NUMBERED) and follow.isdigit():
+                return _fold(_next_word(text, nxt)) not in _DAYS
+            return self.opens(nxt) if whole in _STATES else True
+        if folded in NEVER or whole in NEVER:
+            if self.never(token, last, self.previous(token_at, at, token, last, begin)[-1:].isdigit()):
+                return False
+        if follow.isdigit() and (folded.endswith("str") or whole in NUMBERED or folded in NUMBERED):
             return False
-        if len(_IGNORED.sub("", unicodedata.normalize("NFC", last))) == 1 and not last.isdigit() and not _wide(last):
+        if len(last) < 4 and len(_IGNORED.sub("", unicodedata.normalize("NFC", last))) == 1 and not last.isdigit() and not _wide(last):
             # an initial, unless a word of the closed classes goes on that no name begins with
-            return previous == _T and folded in _DP or opens and before[:1].islower() or previous[-1:].isdigit() and folded in MEASURES
+            before = self.before(token_at, at, token, last, begin)
+            previous = _fold(before.split()[-1]).rstrip(".") if before else ""
+            return previous == _T and folded in _DP or before[:1].islower() and self.opens(nxt) or previous[-1:].isdigit() and folded in MEASURES
         return True
 
+    def before(self, token_at: int, at: int, token: str, last: str, begin: int) -> str:
+        """What stands before the last part of the token that ends at ``at``."""
+        return _word_before(self.text, token_at, begin) if len(token) == len(last) else self.text[token_at : at - len(last)]
+
+    def previous(self, token_at: int, at: int, token: str, last: str, begin: int) -> str:
+        found = self.before(token_at, at, token, last, begin)
+        return _fold(found.split()[-1]).rstrip(".") if found else ""
+
     def ends(self) -> list[int]:
         text, start, end = self.text, self.start, self.end
         marks = [(m.start(), m.group()) for m in _MARKS.finditer(text, start, end)]
