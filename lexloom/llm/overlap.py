@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.formats import split_name
-from ..sources.tables import settled
+from ..sources.tables import released, settled
 from .coverage import covered
 from .countvectors import WIDTH, distinct, similarity
 from .forms import bare_batch, run_hashes
@@ -142,6 +142,7 @@ def overlaps(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "row_
     # one row per distinct token set: the smallest row and the number of copies
     reps = settled(numbered.groupBy("field", "fp_a", "fp_b").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")))
     routed = settled(prefix_pairs(rows, base, "row_id", FIELDS, threshold, F.col("split") != "train", F.col("split") == "train"))
+    released(df.sparkSession)  # the passages of all values are the largest shuffle
     shards = max(1, -(-routed.select("e").distinct().count() // SHARD_VALUES))
     shard = F.pmod(F.xxhash64("e"), F.lit(shards))
     asked = routed.select(shard.alias("shard"), F.lit(False).alias("train"), F.col("e").alias("row")).unionByName(
