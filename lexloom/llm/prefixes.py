@@ -7,11 +7,15 @@ ordered by their count in a fixed-size sample, the rarest first, so that few oth
 
 1. Prefix tokens are dealt to buckets by hash, packed by batch; a bucket collapses equal sets to
    the smallest row, and lists who meets whom on each token, if the sizes admit the threshold.
+   With many buckets a set has few tokens in each, so its head there is a few bytes: the fingerprint
+   that tells equal sets goes along only where a bitmap of the repeated ones asks for it.
 2. The lists (deltas of row numbers) of a row are added up; who met often enough is a candidate.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +28,14 @@ SAMPLE_ROWS = 2_000
 RARITY_BITS = 22
 #: One more common token is asked of the prefixes for so many of the smaller set.
 STEP = 20
-#: Every bucket repeats the heads of its sets, so buckets are as large as a task can hold.
+#: Every bucket repeats the heads of its sets, so buckets are as large as a task can hold.  24 bits
+#: of a token are enough there: chance meetings only add candidates.
 BUCKET_TOKENS = 5_000_000
 LEAST_BUCKETS = 4
 #: Meetings held at a time.
 HELD = 4_000_000
-
-_HEAD = np.dtype([("row", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("tokens", "<i4"), ("evaluated", "?"), ("trained", "?")])
+#: Bitmap of the fingerprints that several values have.
+REPEATED_BITS = 24
 
 
 def fingerprints(df: DataFrame, id_column: str, fields: list[str], tag: str) -> DataFrame:
@@ -97,7 +102,50 @@ def prefixes(sets: TokenSets, rare: np.ndarray, threshold: float) -> tuple[np.nd
     return (np.concatenate(kept) if kept else ordered) & np.uint64((1 << 48) - 1), size
 
 
-def _dealt(sets: TokenSets, rows: np.ndarray, evaluated: np.ndarray, trained: np.ndarray, rare: np.ndarray, threshold: float, buckets: int):
+def _fingerprint(fp_a: np.ndarray, fp_b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (fp_a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ fp_b.astype(np.uint64)
+
+
+def repeated_bits(repeated: DataFrame) -> np.ndarray:
+    """A bitmap of the fingerprints ``fp_a, fp_b`` by their first bits; others may share a bit."""
+
+    def make(columns):
+        bits = np.zeros(1 << REPEATED_BITS, bool)
+        bits[_fingerprint(columns["fp_a"].to_numpy(), columns["fp_b"].to_numpy()) >> np.uint64(64 - REPEATED_BITS)] = True
+        yield {"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]}
+
+    bits = np.zeros(1 << (REPEATED_BITS - 3), np.uint8)
+    for r in map_columns(repeated.select("fp_a", "fp_b").coalesce(4), "bits binary", make).toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return np.unpackbits(bits).astype(bool)
+
+
+def _packed(rows: np.ndarray, n: np.ndarray, held: np.ndarray, sides: np.ndarray, fp: np.ndarray, told: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Heads of sets (steps of the row, size, tokens with flags; the fingerprint where it is told), then their tokens."""
+    step = np.diff(rows, prepend=0)
+    numbers = np.concatenate([step << 1 ^ step >> 63, n, held << 3 | sides << 1 | told]).astype(np.uint64)
+    head = zlib.compress(_varints(numbers)[0].tobytes(), 1)
+    return np.array([len(rows), len(head)], np.int64).tobytes() + head + fp[told].tobytes() + tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes):
+    """rows, sizes, held tokens, sides, fingerprints (0 where not told), told or not, tokens."""
+    m, size = np.frombuffer(data, np.int64, 2)
+    numbers = _numbers(np.frombuffer(zlib.decompress(data[16 : 16 + size]), np.uint8))
+    step = numbers[:m]
+    rows = np.cumsum((step >> np.uint64(1)).astype(np.int64) ^ -(step & np.uint64(1)).astype(np.int64))
+    n, flags = numbers[m : 2 * m].astype(np.int64), numbers[2 * m :].astype(np.int64)
+    told, fp = flags & 1 > 0, np.zeros(m, np.uint64)
+    at = 16 + int(size)
+    fp[told] = np.frombuffer(data, np.uint64, int(told.sum()), at)
+    low = np.frombuffer(data, np.uint8, -1, at + 8 * int(told.sum())).reshape(-1, 3)
+    tokens = np.zeros((len(low), 4), np.uint8)
+    tokens[:, :3] = low
+    return rows, n, flags >> 3, flags >> 1 & 3, fp, told, tokens.view("<u4").ravel()
+
+
+def _dealt(sets: TokenSets, rows: np.ndarray, sides: np.ndarray, repeated: np.ndarray | None, rare: np.ndarray, threshold: float, buckets: int):
     """(bucket, bytes) of the prefix tokens: heads of the sets that have some, then their tokens."""
     tokens, size = prefixes(sets, rare, threshold)
     own = np.repeat(np.arange(len(size)), size)
@@ -105,14 +153,11 @@ def _dealt(sets: TokenSets, rows: np.ndarray, evaluated: np.ndarray, trained: np
     order = np.argsort(bucket, kind="stable")
     tokens, own, bucket = tokens[order].astype(np.uint32), own[order], bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    with np.errstate(over="ignore"):
-        fp = (sets.fp_a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ sets.fp_b.astype(np.uint64)
+    fp = _fingerprint(sets.fp_a, sets.fp_b)
+    told = np.ones(len(fp), bool) if repeated is None else repeated[fp >> np.uint64(64 - REPEATED_BITS)]
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)]):
         who, held = np.unique(own[a:b], return_counts=True)
-        head = np.zeros(len(who), _HEAD)
-        head["row"], head["fp"], head["n"], head["tokens"] = rows[who], fp[who], sets.n[who], held
-        head["evaluated"], head["trained"] = evaluated[who], trained[who]
-        yield int(bucket[a]), np.int64(len(who)).tobytes() + head.tobytes() + tokens[a:b].tobytes()
+        yield int(bucket[a]), _packed(rows[who], sets.n[who], held, sides[who], fp[who], told[who], tokens[a:b])
 
 
 def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,27 +190,21 @@ class _Bucket:
     """The sets of one bucket and who meets whom on its tokens."""
 
     def __init__(self, packed: list[bytes], threshold: float, sides: bool):
-        heads, tokens = [], []
-        for p in packed:
-            m = int(np.frombuffer(p, np.int64, 1)[0])
-            heads.append(np.frombuffer(p, _HEAD, m, 8))
-            tokens.append(np.frombuffer(p, np.uint32, -1, 8 + m * _HEAD.itemsize))
-        head, tokens = np.concatenate(heads), np.concatenate(tokens)
-        own = np.repeat(np.arange(len(head)), head["tokens"])
+        row, n, held, sides_of, fp, told, tokens = (np.concatenate(x) for x in zip(*map(_unpacked, packed)))
+        own = np.repeat(np.arange(len(row)), held)
         # equal sets: the smallest row stands for all of them, on either side if one of them is
-        order = np.lexsort((head["row"], head["fp"]))
-        first = np.concatenate([[True], head["fp"][order][1:] != head["fp"][order][:-1]])
+        order = np.lexsort((row, fp, ~told))
+        first = np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | ~told[order][1:]])
         kept = order[first]
-        at = np.flatnonzero(first)
-        evaluated, trained = np.logical_or.reduceat(head["evaluated"][order], at), np.logical_or.reduceat(head["trained"][order], at)
-        by_row = np.argsort(head["row"][kept])
-        place = np.full(len(head), -1)
+        either = np.bitwise_or.reduceat(sides_of[order], np.flatnonzero(first))
+        by_row = np.argsort(row[kept])
+        place = np.full(len(row), -1)
         place[kept[by_row]] = np.arange(len(kept))
         own = place[own]
         both = np.sort(tokens[own >= 0].astype(np.uint64) << np.uint64(32) | own[own >= 0].astype(np.uint64))
         self.tokens, self.own = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.rows, self.n = head["row"][kept][by_row], head["n"][kept][by_row].astype(np.int64)
-        self.evaluated, self.trained = evaluated[by_row], trained[by_row]
+        self.rows, self.n = row[kept][by_row], n[kept][by_row]
+        self.evaluated, self.trained = either[by_row] & 2 > 0, either[by_row] & 1 > 0
         self.threshold, self.sides = threshold, sides
 
     def meetings(self):
@@ -211,12 +250,13 @@ class _Bucket:
             yield self.rows[e[edges]], self.n[e[edges]], t[edges].astype(np.int64), lists
 
 
-def prefix_pairs(df: DataFrame, base: DataFrame, id_column: str, fields: list[str], threshold: float, evaluated=None, trained=None) -> DataFrame:
+def prefix_pairs(df: DataFrame, base: DataFrame, id_column: str, fields: list[str], threshold: float, evaluated=None, trained=None, repeated: DataFrame | None = None) -> DataFrame:
     """``e, t``: every pair of different token sets of one field that can reach the threshold.
 
     ``e`` and ``t`` are ``2 row + field`` of the smallest rows with the sets.  With the conditions
     ``evaluated`` and ``trained`` an e has a copy with the first and its t one with the second;
-    without them e < t.  ``base`` has ``n`` of every value.
+    without them e < t.  ``base`` has ``field, n`` of every value.  ``repeated`` has the fingerprints
+    ``fp_a, fp_b`` that more than one value has, if these are known.
     """
     sides = evaluated is not None
     truth = F.lit(True)
@@ -224,23 +264,26 @@ def prefix_pairs(df: DataFrame, base: DataFrame, id_column: str, fields: list[st
         F.col(f"`{id_column}`").alias("key"), (evaluated if sides else truth).alias("evaluated"), (trained if sides else truth).alias("trained"),
         *(F.col(f"`{f}`").alias(f"v{k}") for k, f in enumerate(fields)),
     )
-    return _pairs(chosen, base, len(fields), threshold, sides)
+    return _pairs(chosen, base, len(fields), threshold, sides, repeated)
 
 
 def given_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """``e, t``: :func:`prefix_pairs` of known sets ``row, n, fp_a, fp_b, tokens``; ids are ``2 row``."""
     truth = F.lit(True)
     chosen = sets.select(F.col("row").alias("key"), truth.alias("evaluated"), truth.alias("trained"), "tokens", "fp_a", "fp_b")
-    return _pairs(chosen, sets, 1, threshold, False)
+    return _pairs(chosen, sets.withColumn("field", F.lit(0)), 1, threshold, False)
 
 
-def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, sides: bool) -> DataFrame:
-    count = base.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    buckets = int(min(1 << 16, max(LEAST_BUCKETS, -(-int(count.tokens * (1 - threshold + 1 / STEP)) // BUCKET_TOKENS))))
-    rare = chosen.sparkSession.sparkContext.broadcast(rarity(chosen, fields, count.rows))
+def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, sides: bool, repeated: DataFrame | None = None) -> DataFrame:
+    counts = {r.field: r for r in base.groupBy("field").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).collect()}
+    buckets = [int(min(1 << 16, max(LEAST_BUCKETS, -(-int(counts[k].tokens * (1 - threshold + 1 / STEP)) // BUCKET_TOKENS)))) if k in counts else LEAST_BUCKETS for k in range(fields)]
+    begin = np.cumsum([0, *buckets]).tolist()
+    context = chosen.sparkSession.sparkContext
+    rare = context.broadcast(rarity(chosen, fields, sum(r.rows for r in counts.values())))
+    bits = context.broadcast(None if repeated is None else repeated_bits(repeated))
 
-    parts = min(buckets * fields, 4096)
-    slots = even_keys(chosen.sparkSession, buckets * fields, parts)
+    parts = min(begin[-1], 4096)
+    slots = even_keys(chosen.sparkSession, begin[-1], parts)
 
     def deal(columns):
         rows = columns["key"].to_numpy()
@@ -249,8 +292,8 @@ def _pairs(chosen: DataFrame, base: DataFrame, fields: int, threshold: float, si
             sets = _sets(columns, k)
             if len(sets.which):
                 own = sets.which
-                found = list(_dealt(sets, rows[own] * 2 + k, e[own], t[own], rare.value, threshold, buckets))
-                yield {"bucket": slots[[b * fields + k for b, _ in found]], "data": [d for _, d in found]}
+                found = list(_dealt(sets, rows[own] * 2 + k, (e[own] * 2 + t[own]).astype(np.int64), bits.value, rare.value, threshold, buckets[k]))
+                yield {"bucket": slots[[begin[k] + b for b, _ in found]], "data": [d for _, d in found]}
 
     dealt = map_columns(chosen, "bucket int, data binary", deal).repartition(parts, "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("e", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("others", pa.binary())])

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from lexloom.llm import binpack, bpe, countvectors, nearcopies, overlap, varied
+from lexloom.llm import binpack, bpe, countvectors, nearcopies, overlap, prefixes, varied
+from lexloom.sources.tables import settled
 
 WORDS = [a + b + c for a in ("ba", "ko", "ri", "tu") for b in ("len", "mor", "sip", "vak") for c in ("d", "sto", "ri", "nem")]
 
@@ -303,3 +304,33 @@ def test_cf_tree_keeps_mass_and_bounds_entries():
     tree = varied.CFTree(200)
     tree.add(np.ones(5000), points, (points**2).sum(axis=1))
     assert len(tree.n) <= 200 and tree.n.sum() == 5000 and np.allclose(tree.sums.sum(axis=0), points.sum(axis=0))
+
+
+def test_many_buckets_find_the_same_in_small_heads(spark, monkeypatch):
+    """p4 at size: a set with few tokens in each of many buckets; equal sets still collapse."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(20)]
+    rows = [(k, texts[k % 20] if k % 3 else texts[k % 20][:330], None, "test" if k // 20 % 2 else "train", "s") for k in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, article string, highlights string, split_name string, source string").repartition(3)
+    few = sorted(map(tuple, overlap.overlap_pairs(overlap.overlaps(df)).collect()))
+    monkeypatch.setattr(prefixes, "BUCKET_TOKENS", 20)
+    assert few and sorted(map(tuple, overlap.overlap_pairs(overlap.overlaps(df)).collect())) == few
+
+    sets = countvectors.TokenSets(texts * 50)
+    n = np.arange(len(sets.n))
+    made = list(prefixes._dealt(sets, n * 2 + 10**9, np.ones(len(n), np.int64), np.zeros(1 << 24, bool), np.zeros(1 << 22, np.uint8), 0.6, 400))
+    size, tokens = sum(len(d) for _, d in made), prefixes.prefixes(sets, np.zeros(1 << 22, np.uint8), 0.6)[1].sum()
+    assert len(made) == 400 and size < 8.5 * tokens
+    told = list(prefixes._dealt(sets, n[::-1] * 2, n % 3 + 1, None, np.zeros(1 << 22, np.uint8), 0.6, 4))
+    back = [prefixes._unpacked(d) for _, d in told]
+    assert all(((n % 3 + 1)[len(n) - 1 - r[0] // 2] == r[3]).all() and (sets.n[len(n) - 1 - r[0] // 2] == r[1]).all() and r[5].all() for r in back)
+    assert sum(r[2].sum() for r in back) == tokens == sum(len(r[6]) for r in back)
+
+
+def test_shuffle_files_of_a_last_use_are_gone_at_once(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    df = spark.range(5000).repartition(7, "id")
+    kept = settled(df, last=True)
+    shuffles = list(df._jdf.queryExecution().executedPlan().context().shuffleIds().keySet())
+    names = disk.getAllFiles().mkString(" ")
+    assert shuffles and not any(f"shuffle_{k}_" in names for k in shuffles) and kept.count() == 5000
