@@ -10,7 +10,7 @@ import pytest
 from lexloom.operators import kernels as K
 from lexloom.operators import rouge
 from lexloom.operators import selectors as S
-from lexloom.operators.summarize import Encoder, base_scores, summarize_one
+from lexloom.operators.summarize import Encoder, base_scores, summarize_one, summarizing, together
 from lexloom.plans.config import PRESETS, Config
 from lexloom.plans.service import python_split
 
@@ -221,3 +221,26 @@ def test_fallbacks_are_named(monkeypatch):
     assert summarize_one("d", DOC, "", Config(method="nsga2"))["fallback_reason"] == "nsga2 failed: no"
     with pytest.raises(FloatingPointError):
         summarize_one("d", DOC, "", Config(method="fast_nsga2"))
+
+
+@pytest.mark.parametrize("method", ["max", "set", "diversity"])
+def test_searches_side_by_side_are_the_single_ones(method):
+    """Searches of several sizes, with ties, empty similarities and budgets that nothing fits."""
+    asked = []
+    for seed in range(18):
+        rng = np.random.default_rng(seed)
+        n = (2, 8, 15, 23)[seed % 4]
+        v = rng.random((n, 6)) * (rng.random((n, 6)) < (0.0, 0.3, 1.0)[seed % 3])
+        v /= np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
+        limit = (0, 60, 10**9)[seed // 4 % 3]
+        asked.append(S.Search(np.round(rng.random(n), 2), v @ v.T, S.Budget(rng.integers(1, 30, n), max_tokens=limit), method=method, seed=seed, pop_size=30, n_gen=15))
+    asked += [S.Search(np.zeros(0), np.zeros((0, 0)), S.Budget([])), asked[1]._replace(scores=np.full(8, np.nan)), asked[2]._replace(similarity=np.zeros((2, 2)))]
+    found = S.nsga2_many(asked)
+    assert found[:-1] == [S.nsga2(*a) for a in asked[:-1]] and found[6] and isinstance(found[-1], ValueError)
+
+
+def test_documents_together_are_the_single_ones():
+    docs = [[f"word{k} is {j} of {k * j} many words here" for j in range(3 + k)] for k in range(9)] + [[], ["one"]]
+    for method in ("nsga2", "fast_nsga2", "grasp"):
+        cfg = Config(method=method, seed=5, k=18, max_tokens=40, pop_size=20, n_gen=10)
+        assert together([summarizing(k, d, "", cfg) for k, d in enumerate(docs)]) == [summarize_one(k, d, "", cfg) for k, d in enumerate(docs)]
