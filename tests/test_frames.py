@@ -194,3 +194,12 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.jsonl").write_text('{"id": "1", "sentences": ["One two three.", "Four five six."], "highlights": ""}\n')
     summarize_stream(read_documents(spark, f"{tmp_path}/in"), Config(), f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination(60)
     assert [r.selected_indices for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [[0, 1]]
+
+
+def test_searched_documents_reach_all_cores(spark):
+    """Rows that lie in one split (a large file with few row groups) are searched on every core."""
+    rows = spark.range(0, 64, numPartitions=8).where("id < 8").selectExpr("CAST(id AS string) AS id", "array('a b c', 'd e', concat('f', id)) AS sentences")
+    assert rows.rdd.getNumPartitions() == 8
+    found = summarize(rows, Config(method="nsga2", seed=1, pop_size=4, n_gen=2))
+    assert sum(len(part) > 0 for part in found.rdd.glom().collect()) >= 4
+    assert summarize(rows, Config()).rdd.getNumPartitions() == 8
