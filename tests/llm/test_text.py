@@ -192,3 +192,16 @@ def test_calibration_sees_wrong_labels():
 def test_names_come_from_the_language_table():
     named = language.names_of([("en", "English"), ("xx", "Newish")])
     assert language.named_language("eng", named) == "en" and language.named_language("Newish", named) == "xx" and language.named_language("de", named) is None
+
+
+def test_lines_are_valued_in_blocks(model, monkeypatch):
+    """What a block gathers is bounded, and how lines fall into blocks decides nothing."""
+    texts = [f"The council of the town met on day {k} and nobody knew what the clerks had written. " * 40 for k in range(30)]
+    seen = []
+    plain = language.folded
+    monkeypatch.setattr(language, "folded", lambda lines: (seen.append(sum(map(len, lines))), plain(lines))[1])
+    found = language.stretches(model, texts)
+    assert len(seen) > 1 and max(seen) <= language.BLOCK + 100
+    monkeypatch.setattr(language, "BLOCK", 10**9)
+    for a, b in zip(found, language.stretches(model, texts)):
+        assert [x[:3] for x in a] == [x[:3] for x in b]
