@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .forms import bare, bare_batch, classes, mixed, run_hashes, visible_count
+from .forms import bare, bare_batch, blocks, classes, mixed, run_hashes, visible_count
 from .lookalike import LEAST_VISIBLE
 
 WIDTH = 10  # characters of a run
@@ -52,6 +52,18 @@ class TokenSets:
     """Sizes, fingerprints and tokens of the token sets of many texts at once."""
 
     def __init__(self, texts: list[str | None], least: int = LEAST_VISIBLE):
+        found = [self._of(texts[a:b], a, least) for a, b in blocks(texts)]
+        which, n, tokens, fp_a, fp_b = zip(*found) if found else [()] * 5
+        #: numbers of the texts that have tokens
+        self.which = np.concatenate([np.empty(0, np.int64), *which])
+        self.n = np.concatenate([np.empty(0, np.int64), *n])
+        self.start = np.cumsum(self.n) - self.n
+        self.tokens = np.concatenate([np.empty(0, np.uint64), *tokens])
+        self.fp_a, self.fp_b = (np.concatenate([np.empty(0, np.int64), *fp]) for fp in (fp_a, fp_b))
+
+    @staticmethod
+    def _of(texts: list[str | None], first: int, least: int):
+        """Numbers (from ``first`` on) of the texts with tokens, their sizes, tokens and fingerprints."""
         c, sizes = bare_batch(texts)
         table = classes()
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -59,16 +71,16 @@ class TokenSets:
         runs = np.where(seen >= least, np.maximum(sizes - WIDTH + 1, 0), 0)
         hashes = run_hashes(c, WIDTH)
         begin = np.cumsum(sizes) - sizes
-        #: numbers of the texts that have tokens
-        self.which = np.flatnonzero(runs)
-        sets = [distinct(hashes[a : a + n]) for a, n in zip(begin[self.which].tolist(), runs[self.which].tolist())]
-        self.n = np.array([len(t) for t in sets], np.int64)
-        self.start = np.cumsum(self.n) - self.n
-        t = self.tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        which = np.flatnonzero(runs)
+        sets = [distinct(hashes[a : a + n]) for a, n in zip(begin[which].tolist(), runs[which].tolist())]
+        n = np.array([len(t) for t in sets], np.int64)
+        if not sets:
+            return which, n, *[np.empty(0, kind) for kind in (np.uint64, np.int64, np.int64)]
+        t, start = np.concatenate(sets), np.cumsum(n) - n
         with np.errstate(over="ignore"):
-            if len(sets):
-                self.fp_a = np.add.reduceat(t, self.start).astype(np.int64)
-                self.fp_b = np.add.reduceat(mixed(t + np.uint64(0x5851F42D4C957F2D)), self.start).astype(np.int64)
+            fp_a = np.add.reduceat(t, start).astype(np.int64)
+            fp_b = np.add.reduceat(mixed(t + np.uint64(0x5851F42D4C957F2D)), start).astype(np.int64)
+        return which + first, n, t, fp_a, fp_b
 
 
 class Sketches(TokenSets):

@@ -173,6 +173,23 @@ def bare_batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return c, sizes
 
 
+#: Characters of texts that are handled at a time: their arrays stay in the cache.
+BLOCK = 60_000
+
+
+def blocks(texts: list[str | None]):
+    """First and last place of consecutive texts of about ``BLOCK`` characters; a longer one is by itself."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        more = len(text or "")
+        if size and size + more > BLOCK:
+            yield begin, k
+            begin, size = k, 0
+        size += more + 1
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def visible_count(c: np.ndarray) -> int:
     """Letters and digits (no marks) among code points made by :func:`bare`."""
     table = classes()

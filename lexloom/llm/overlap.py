@@ -29,7 +29,7 @@ from ..sources.formats import split_name
 from ..sources.tables import settled
 from .coverage import covered
 from .countvectors import WIDTH, distinct, similarity
-from .forms import bare_batch, run_hashes
+from .forms import bare_batch, blocks, run_hashes
 from .nearcopies import THRESHOLD
 from .prefixes import fingerprints, prefix_pairs
 
@@ -101,23 +101,25 @@ def _scan(threshold: float):
         shard_key, shard, ready = None, _Shard(), False
         for batch in batches:
             out = ([], [], [], [])
-            c, sizes = bare_batch(batch.column("text").to_pylist())
-            whole, runs = c.tobytes().decode("utf-32-le", "surrogatepass"), run_hashes(c, WIDTH)
-            begin = (np.cumsum(sizes) - sizes).tolist()
-            for key, train, row, a, n in zip(*(batch.column(n).to_pylist() for n in ("shard", "train", "row")), begin, sizes.tolist()):
-                if key != shard_key:
-                    shard_key, shard, ready = key, _Shard(), False
-                own = runs[a : a + n - WIDTH + 1]
-                plain, tokens = whole[a : a + n], distinct(own)
-                if not train:
-                    shard.add(row, plain, own, tokens)
-                    continue
-                if not ready:
-                    shard.close()
-                    ready = True
-                for e, s, coverage in shard.scan(plain, tokens, threshold):
-                    for store, value in zip(out, (e, row, s, coverage)):
-                        store.append(value)
+            texts, *heads = (batch.column(n).to_pylist() for n in ("text", "shard", "train", "row"))
+            for first, stop in blocks(texts):
+                c, sizes = bare_batch(texts[first:stop])
+                whole, runs = c.tobytes().decode("utf-32-le", "surrogatepass"), run_hashes(c, WIDTH)
+                begin = (np.cumsum(sizes) - sizes).tolist()
+                for key, train, row, a, n in zip(*(h[first:stop] for h in heads), begin, sizes.tolist()):
+                    if key != shard_key:
+                        shard_key, shard, ready = key, _Shard(), False
+                    own = runs[a : a + n - WIDTH + 1]
+                    plain, tokens = whole[a : a + n], distinct(own)
+                    if not train:
+                        shard.add(row, plain, own, tokens)
+                        continue
+                    if not ready:
+                        shard.close()
+                        ready = True
+                    for e, s, coverage in shard.scan(plain, tokens, threshold):
+                        for store, value in zip(out, (e, row, s, coverage)):
+                            store.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
 
     return run

@@ -34,6 +34,8 @@ BUCKET_TOKENS = 5_000_000
 LEAST_BUCKETS = 4
 #: Meetings held at a time.
 HELD = 4_000_000
+#: Meetings written out in one step: their arrays stay in the cache.
+SLICE = 1 << 16
 #: Bitmap of the fingerprints that several values have.
 REPEATED_BITS = 24
 
@@ -170,9 +172,11 @@ def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = long[x[long] >> np.uint64(7 * k) > 0] if k < 10 else long[:0]
     ends = np.cumsum(width)
     out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
-    m, k = np.arange(len(x)), 0
+    starts = ends - width
+    out[starts] = x.astype(np.uint8) & 127
+    m, k = np.flatnonzero(width > 1), 1
     while len(m):
-        out[ends[m] - width[m] + k] = (x[m] >> np.uint64(7 * k)).astype(np.uint8) & 127
+        out[starts[m] + k] = (x[m] >> np.uint64(7 * k)).astype(np.uint8) & 127
         k += 1
         m = m[width[m] > k]
     out[ends - 1] |= 128
@@ -201,36 +205,42 @@ class _Bucket:
         place = np.full(len(row), -1)
         place[kept[by_row]] = np.arange(len(kept))
         own = place[own]
-        both = np.sort(tokens[own >= 0].astype(np.uint64) << np.uint64(32) | own[own >= 0].astype(np.uint64))
-        self.tokens, self.own = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.rows, self.n = row[kept][by_row], n[kept][by_row]
+        # on a token sets stand by size, so those that admit the threshold are neighbours
+        self.by_size = np.argsort(self.n, kind="stable")
+        rank = np.empty(len(self.n), np.uint64)
+        rank[self.by_size] = np.arange(len(self.n), dtype=np.uint64)
+        self.keys = np.sort(tokens[own >= 0].astype(np.uint64) << np.uint64(32) | rank[own[own >= 0]])
         self.evaluated, self.trained = either[by_row] & 2 > 0, either[by_row] & 1 > 0
         self.threshold, self.sides = threshold, sides
 
     def meetings(self):
         """Arrays of e * sets + t, a bounded number at a time."""
         m, held, size = len(self.rows), [], 0
-        at, d = np.arange(len(self.tokens)), 0
-        while True:
-            d += 1
-            at = at[at + d < len(self.tokens)]
-            at = at[self.tokens[at + d] == self.tokens[at]]
-            if not len(at):
-                break
-            for k in range(0, len(at), HELD):
-                some = at[k : k + HELD]
-                a, b = self.own[some], self.own[some + d]
-                fits = (np.minimum(self.n[a], self.n[b]) >= self.threshold * np.maximum(self.n[a], self.n[b]) - 1e-9) & (a != b)
-                a, b = a[fits], b[fits]
-                if self.sides:
-                    x, y = self.evaluated[a] & self.trained[b], self.evaluated[b] & self.trained[a]
-                    held += [a[x] * m + b[x], b[y] * m + a[y]]
-                else:
-                    held.append(np.minimum(a, b) * m + np.maximum(a, b))
-                size += len(held[-1]) + (len(held[-2]) if self.sides else 0)
-                if size >= HELD:
-                    yield np.concatenate(held)
-                    held, size = [], 0
+        ordered, low = self.n[self.by_size], np.uint64(0xFFFFFFFF)
+        first = np.searchsorted(ordered, self.threshold * self.n - 1e-9).astype(np.uint64)
+        stop = np.searchsorted(self.threshold * ordered - 1e-9, self.n, "right").astype(np.uint64)
+        theirs, own = self.keys, self.by_size[(self.keys & low).astype(np.int64)]
+        if self.sides:
+            asked, token = own[self.evaluated[own]], (self.keys & ~low)[self.evaluated[own]]
+            theirs, own = self.keys[self.trained[own]], own[self.trained[own]]
+            begin = np.searchsorted(theirs, token | first[asked])
+        else:
+            asked, token, begin = own, self.keys & ~low, np.arange(1, len(own) + 1)
+        count = np.maximum(np.searchsorted(theirs, token | stop[asked]) - begin, 0)
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        edges = [0, *(np.searchsorted(ends, np.arange(SLICE, total, SLICE)) + 1).tolist(), len(ends)]
+        for a, b in zip(edges, edges[1:]):
+            c = count[a:b]
+            e = np.repeat(asked[a:b], c)
+            t = own[np.arange(len(e)) + np.repeat(begin[a:b] - np.cumsum(c) + c, c)]
+            e, t = e[e != t], t[e != t]
+            held.append(e * m + t if self.sides else np.minimum(e, t) * m + np.maximum(e, t))
+            size += len(e)
+            if size >= HELD:
+                yield np.concatenate(held)
+                held, size = [], 0
         if size:
             yield np.concatenate(held)
 

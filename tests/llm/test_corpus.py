@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lexloom.llm import binpack, bpe, countvectors, nearcopies, overlap, prefixes, varied
+from lexloom.llm import binpack, bpe, countvectors, forms, nearcopies, overlap, prefixes, varied
 from lexloom.sources.tables import settled
 
 WORDS = [a + b + c for a in ("ba", "ko", "ri", "tu") for b in ("len", "mor", "sip", "vak") for c in ("d", "sto", "ri", "nem")]
@@ -334,3 +334,44 @@ def test_shuffle_files_of_a_last_use_are_gone_at_once(spark):
     shuffles = list(df._jdf.queryExecution().executedPlan().context().shuffleIds().keySet())
     names = disk.getAllFiles().mkString(" ")
     assert shuffles and not any(f"shuffle_{k}_" in names for k in shuffles) and kept.count() == 5000
+
+
+def test_token_sets_are_made_in_blocks(monkeypatch):
+    """Arrays as long as a block, not as a batch; the sets of each text are those of the text alone."""
+    rng = random.Random(3)
+    texts = [None, "", "short", *(passage(rng, rng.randrange(5, 60)) for _ in range(60)), passage(rng, 400)]
+    sizes, plain = [], countvectors.bare_batch
+    monkeypatch.setattr(countvectors, "bare_batch", lambda some: (sizes.append(sum(len(t or "") for t in some)), plain(some))[1])
+    monkeypatch.setattr(forms, "BLOCK", 1000)
+    found = countvectors.TokenSets(texts)
+    assert max(sizes[:-1]) <= 1000 < sizes[-1] == len(texts[-1]) and sum(sizes) == sum(len(t or "") for t in texts)
+    want = [countvectors.tokens(t) for t in texts]
+    assert found.which.tolist() == [k for k, t in enumerate(want) if len(t)] and found.n.tolist() == [len(want[k]) for k in found.which]
+    assert all((found.tokens[a : a + n] == want[k]).all() for k, a, n in zip(found.which, found.start, found.n))
+    assert len(countvectors.TokenSets([]).fp_a) == 0 == len(countvectors.TokenSets([None]).tokens)
+
+
+@pytest.mark.parametrize("sides", [True, False])
+def test_meetings_by_brute_force(monkeypatch, sides):
+    """Who meets whom on a bucket's tokens, in steps of any size."""
+    rng = np.random.default_rng(4)
+    m = 60
+    sizes, held, of = rng.integers(5, 40, m), rng.integers(1, 9, m), rng.integers(1, 4, m)
+    tokens = rng.integers(0, 25, held.sum()).astype(np.uint32)
+    rows = rng.permutation(1000)[:m] * 2
+    data = prefixes._packed(rows, sizes, held, of, np.arange(m, dtype=np.uint64), np.zeros(m, bool), tokens)
+    own = np.repeat(np.arange(m), held)
+    want = []
+    for i, a in enumerate(own):
+        for j, b in enumerate(own):
+            if tokens[i] == tokens[j] and a != b and min(sizes[a], sizes[b]) >= 0.6 * max(sizes[a], sizes[b]) - 1e-9:
+                if of[a] & 2 and of[b] & 1 if sides else rows[a] < rows[b]:
+                    want.append((rows[a], rows[b]))
+    for step, most in ((7, 50), (1 << 16, 4_000_000)):
+        monkeypatch.setattr(prefixes, "SLICE", step)
+        monkeypatch.setattr(prefixes, "HELD", most)
+        bucket = prefixes._Bucket([data], 0.6, sides)
+        parts = list(bucket.meetings())
+        assert len(parts) == 1 or max(map(len, parts)) <= most + step + m
+        e, t = np.divmod(np.concatenate(parts), m)
+        assert want and sorted(zip(bucket.rows[e], bucket.rows[t])) == sorted(want)
