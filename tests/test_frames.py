@@ -203,3 +203,13 @@ def test_searched_documents_reach_all_cores(spark):
     found = summarize(rows, Config(method="nsga2", seed=1, pop_size=4, n_gen=2))
     assert sum(len(part) > 0 for part in found.rdd.glom().collect()) >= 4
     assert summarize(rows, Config()).rdd.getNumPartitions() == 8
+
+
+def test_views_with_a_search_reach_all_cores(spark):
+    """Every pass with a search in one of its steps deals its documents, those without one do not."""
+    rows = spark.range(0, 64, numPartitions=8).where("id < 8").selectExpr("CAST(id AS string) AS id", "array('a b c', 'd e', concat('f', id)) AS sentences", "'a b' AS highlights")
+    search = Config(method="nsga2", seed=1, pop_size=4, n_gen=2)
+    for stages, last in (([search], Config()), ([Config()], search)):
+        found = evaluation.view_pipeline(rows, stages, last)
+        assert sum(len(part) > 0 for part in found.rdd.glom().collect()) >= 4
+    assert evaluation.view_pipeline(rows, [Config()], Config()).rdd.getNumPartitions() == 8
