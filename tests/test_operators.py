@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lexloom.operators import kernels as K
-from lexloom.operators import rouge
+from lexloom.operators import evaluation, rouge
 from lexloom.operators import selectors as S
 from lexloom.operators.summarize import Encoder, base_scores, summarize_one, summarizing, together
 from lexloom.plans.config import PRESETS, Config
@@ -244,3 +244,23 @@ def test_documents_together_are_the_single_ones():
     for method in ("nsga2", "fast_nsga2", "grasp"):
         cfg = Config(method=method, seed=5, k=18, max_tokens=40, pop_size=20, n_gen=10)
         assert together([summarizing(k, d, "", cfg) for k, d in enumerate(docs)]) == [summarize_one(k, d, "", cfg) for k, d in enumerate(docs)]
+
+
+def test_settings_with_the_same_members_search_once():
+    """Four settings of which two keep the same members: two searches, the values of four single settings."""
+    row = {"id": "d", "sentences": [f"word{j} and {j * j} many words{j % 5} stand here" for j in range(14)], "highlights": "word3 and many words2"}
+    settings = [{"k1": a, "k2": 4, "cap": c, "method": "fast_nsga2", "w_base": 0.5, "alpha": 0.7} for a in (4, 6) for c in (12, 15)]
+    finals = [Config(method="fast_nsga2", unit="sentences", max_sentences=3, use_candidates=False, seed=5, pop_size=20, n_gen=5) for _ in settings]
+
+    def run(some):
+        steps, asked, found = evaluation._grid_steps(row, [settings[k] for k in some], [finals[k] for k in some], lambda ready, side, k: list(range(side, 2 * k, 2)), None), 0, None
+        while True:
+            try:
+                search = steps.send(found)
+            except StopIteration as end:
+                return asked, end.value
+            asked, found = asked + 1, S.nsga2(*search)
+
+    asked, values = run([0, 1, 2, 3])
+    assert asked == 2
+    assert [v[1:] for v in values] == [run([k])[1][0][1:] for k in range(4)] and [v[0] for v in values] == [0, 1, 2, 3]
