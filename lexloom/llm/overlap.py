@@ -31,7 +31,8 @@ from .coverage import covered
 from .countvectors import WIDTH, distinct, similarity
 from .forms import bare_batch, blocks, run_hashes
 from .nearcopies import THRESHOLD
-from .prefixes import fingerprints, prefix_pairs
+from .prefixes import fingerprints
+from .routes import routed_pairs
 
 FIELDS = ["article", "highlights"]
 SHARD_VALUES = 16
@@ -143,8 +144,7 @@ def overlaps(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "row_
     numbered = base.withColumn("row", F.col("row") * 2 + F.col("field")).withColumn("train", F.col("tag") == "train")
     # one row per distinct token set: the smallest row and the number of copies
     reps = settled(numbered.groupBy("field", "fp_a", "fp_b").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval")))
-    # the passages of all values are the largest shuffle
-    routed = settled(prefix_pairs(rows, base, "row_id", FIELDS, threshold, F.col("split") != "train", F.col("split") == "train", reps.where("copies > 1")), last=True)
+    routed = routed_pairs(rows, base.count(), "row_id", FIELDS, threshold, F.col("split") != "train", F.col("split") == "train", reps.where("copies > 1"))
     shards = max(1, -(-routed.select("e").distinct().count() // SHARD_VALUES))
     shard = F.pmod(F.xxhash64("e"), F.lit(shards))
     asked = routed.select(shard.alias("shard"), F.lit(False).alias("train"), F.col("e").alias("row")).unionByName(

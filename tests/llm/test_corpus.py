@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lexloom.llm import binpack, bpe, countvectors, forms, nearcopies, overlap, prefixes, varied
+from lexloom.llm import binpack, bpe, countvectors, forms, nearcopies, overlap, prefixes, routes, varied
 from lexloom.sources.tables import settled
 
 WORDS = [a + b + c for a in ("ba", "ko", "ri", "tu") for b in ("len", "mor", "sip", "vak") for c in ("d", "sto", "ri", "nem")]
@@ -375,3 +375,31 @@ def test_meetings_by_brute_force(monkeypatch, sides):
         assert len(parts) == 1 or max(map(len, parts)) <= most + step + m
         e, t = np.divmod(np.concatenate(parts), m)
         assert want and sorted(zip(bucket.rows[e], bucket.rows[t])) == sorted(want)
+
+
+def test_texts_of_the_same_phrases_are_not_routed(spark, monkeypatch):
+    """p4 at size: texts that share a third of their phrases meet on rare tokens, yet only near ones come out of any round."""
+    rng = random.Random(6)
+    phrases = [passage(rng, 5) for _ in range(12)]
+    texts = []
+    for k in range(90):
+        text = edited(rng, rng.choice(texts), rng.randrange(0, 12)) if k % 3 == 2 else " ".join(rng.choice(phrases) if j % 3 == 0 else passage(rng, 5) for j in range(rng.randrange(3, 30)))
+        texts.append(text)
+    rows = [(k, t, texts[-k] if k % 5 == 0 else None, k % 2 == 0) for k, t in enumerate(texts)] + [(90, texts[3], None, True), (91, texts[4], "", False), (92, "too short", None, True)]
+    df = spark.createDataFrame(rows, "row_id bigint, article string, highlights string, asked boolean").repartition(3)
+    sets = [(2 * r[0] + f, frozenset(countvectors.tokens(r[1 + f] or "").tolist()), r[3]) for r in rows for f in (0, 1)]
+    sets = [x for x in sets if x[1]]
+    least, sides = {}, {}
+    for row, s, asked in sorted(sets):
+        least.setdefault((row % 2, s), row)
+        sides.setdefault((row % 2, s), set()).add(asked)
+    want = {(a, b) for (f, x), a in least.items() for (g, y), b in least.items() if f == g and a != b and True in sides[f, x] and False in sides[g, y] and len(x & y) >= 0.6 * max(len(x), len(y)) - 1e-9}
+    base = settled(prefixes.fingerprints(df.withColumn("tag", df.asked), "row_id", ["article", "highlights"], "tag"))
+    repeated = base.groupBy("field", "fp_a", "fp_b").count().where("count > 1")
+    met = prefixes.prefix_pairs(df, base, "row_id", ["article", "highlights"], 0.6, df.asked, ~df.asked).count()
+    for most in (8_000_000, 3_000):
+        monkeypatch.setattr(routes, "ROUND_TOKENS", most)
+        found = [tuple(r) for r in routes.routed_pairs(df, len(sets), "row_id", ["article", "highlights"], 0.6, df.asked, ~df.asked, repeated).collect()]
+        assert want and want <= set(found) and len(found) == len(set(found)) and len(found) < 2 * len(want) < met
+    monkeypatch.setattr(routes, "ROUND_TOKENS", 150)
+    assert list(routes._rounds([(3, 100), (5, 60), (9, 400)])) == [(3, 3, 1, 0), (5, 5, 1, 0), (9, 9, 3, 0), (9, 9, 3, 1), (9, 9, 3, 2)]
